@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import minhash
+from quillon.llm import chunks, minhash, tokens, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,44 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d JOIN named c USING (doc_id) LEFT JOIN sized s USING (doc_id)
 """
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.length_histogram(tokens.token_lengths(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP6_SQL = r"""
+WITH plain AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents
+), ranked AS (
+  SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM plain
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
+"""
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wavelet.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_token_counts": op2_token_counts,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash": OP1_SQL,
+    "op6_exact_dedup": OP6_SQL,
 }
