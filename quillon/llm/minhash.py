@@ -9,7 +9,9 @@ Jaccard similarity agree on at least ``matches`` of the coordinates (but for a c
   these. The frequent pairs are skipped when lists are merged; agreements there are counted by comparing signatures.
 
 Texts with equal shingle sets are collapsed first. In each posting list all members are then held against the most
-central one, which links a group of copies without its pairs; after that, only members of different components are held
+central one, which links a group of copies without its pairs. What is left are members of different components that
+share a list and whose signatures agree. Of these, a document whose shingles are too often its own to reach the
+similarity with any member of the list is out: a shingle that no other candidate has cannot be common. The rest are held
 against each other, all of them. Links are confirmed on full shingle sets, so the components lack nothing but what a
 signature misses.
 """
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from quillon.llm._cluster import Scratch, connected_components, ship
 from quillon.llm._text import mix, runs, shingles, utf8, words
 
-#: Coordinates of a signature; eight of them are packed in a long, eight bits each.
-COORDINATES = 32
+#: Coordinates that documents are posted under, and all coordinates of a signature; of these, eight are packed in a
+#: long, eight bits each.
+POSTED, COORDINATES = 32, 64
 _LOWEST = 0x0101010101010101
 
 
@@ -55,14 +58,14 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield row, own
 
 
-def _signatures(size: int, coordinates: int):
+def _signatures(size: int, posted: int, coordinates: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
         odd = mix(salt) | np.uint64(1)
-        place = np.arange(coordinates, dtype=np.uint64) << np.uint64(40)
+        place = np.arange(posted, dtype=np.uint64) << np.uint64(40)
         for batch in batches:
             n = batch.num_rows
-            count, prints, keys, packed = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, coordinates), np.uint64), np.zeros((n, coordinates), np.uint8)
+            count, prints, keys, packed = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, posted), np.uint64), np.zeros((n, coordinates), np.uint8)
             for row, own in _sets(batch, size):
                 count[row] = len(own)
                 if not len(own):
@@ -72,9 +75,9 @@ def _signatures(size: int, coordinates: int):
                 for k in range(0, len(own), 1024):
                     np.minimum(low, (((own[k : k + 1024] ^ salt) * odd) >> np.uint64(8)).min(axis=1), out=low)
                 low = mix(low)
-                keys[row], packed[row] = (low & np.uint64((1 << 40) - 1)) | place, low >> np.uint64(56)
+                keys[row], packed[row] = (low[:posted] & np.uint64((1 << 40) - 1)) | place, low >> np.uint64(56)
             packs = packed.view(np.int64)
-            keys_column = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * coordinates), pa.array(keys.view(np.int64).reshape(-1)))
+            keys_column = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * posted), pa.array(keys.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), keys_column, *(pa.array(np.ascontiguousarray(packs[:, k])) for k in range(coordinates // 8))],
                 names=["doc", "n", "f1", "f2", "keys", *(f"s{k}" for k in range(coordinates // 8))],
@@ -126,6 +129,7 @@ def components(
     text_col: str = "text",
     shingle_words: int = 5,
     similarity: tuple[int, int] = (80, 100),
+    posted: int = POSTED,
     coordinates: int = COORDINATES,
     miss: float = 1e-6,
 ) -> DataFrame:
@@ -145,45 +149,65 @@ def components(
     scratch = Scratch(spark, "minhash")
     num, den = similarity
     longs = coordinates // 8
-    matches = needed_matches(num / den, coordinates, miss)
+    shared_posts, matches = needed_matches(num / den, posted, miss), needed_matches(num / den, coordinates, miss)
     packs = [f"s{k}" for k in range(longs)]
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     schema = "doc bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, " + ", ".join(f"{s} bigint" for s in packs)
-    signed = scratch.table(texts.mapInArrow(_signatures(shingle_words, coordinates), schema), "signatures")
+    signed = scratch.table(texts.mapInArrow(_signatures(shingle_words, posted, coordinates), schema), "signatures")
 
     nodes = signed.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min("doc").alias("node"))
     least = math.ceil(num / (den - num))  # a smaller set can only be similar to an equal one
     firsts = signed.where(F.col("n") >= least).join(nodes.select(F.col("node").alias("doc"), "f1", "f2"), ["doc", "f1", "f2"], "left_semi")
-    posts = firsts.select("doc", "n", *packs, F.explode("keys").alias("key"))
+    posts = firsts.select("doc", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    held = posts.join(shared, "key").groupBy("doc", "n", *packs).agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
-    prefix = held.where(F.size("held") >= matches).select(
-        "doc", "n", *packs, F.aggregate("held", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("central"), F.explode(F.expr(f"slice(held, 1, size(held) - {matches - 1})")).alias("post")
+    held = posts.join(shared, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
+    prefix = held.where(F.size("held") >= shared_posts).select(
+        "doc", F.aggregate("held", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("central"), F.expr(f"slice(held, 1, size(held) - {shared_posts - 1})").alias("held")
     )
-    lists = scratch.table(prefix.select(F.col("post.key").alias("key"), "doc", "n", *packs, "central").distinct(), "lists")
-    sets = scratch.table(texts.join(lists.select("doc").distinct(), "doc", "left_semi").mapInArrow(_full_sets(shingle_words), "doc bigint, own array<bigint>"), "sets")
+    packed = prefix.join(firsts.select("doc", "n", *packs).dropDuplicates(["doc"]), "doc")
+    lists = scratch.table(packed.select("doc", "n", *packs, "central", F.explode("held.key").alias("key")), "lists")
 
-    def candidates(joined: DataFrame) -> DataFrame:
-        alike = (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (_agreements("x", "y", longs) >= matches)
-        return joined.where(alike).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    def sets_of(wanted: DataFrame, tag: str) -> DataFrame:
+        return scratch.table(texts.join(wanted, "doc", "left_semi").mapInArrow(_full_sets(shingle_words), "doc bigint, own array<bigint>"), tag)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    # common >= need(n, n') is what two sets of these sizes must have in common
+    need = lambda x, y: (x + y) * num / F.lit(float(num + den))
+    alike = (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (_agreements("x", "y", longs) >= matches)
+
+    def pairs_of(joined: DataFrame) -> DataFrame:
+        return joined.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a")
         both = with_a.join(sets.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b")
         sized = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).cast("bigint").alias("common"), (F.size("own_a") + F.size("own_b")).cast("bigint").alias("sizes"))
         return sized.where(f"common * {den} >= (sizes - common) * {num}").select("a", "b")
 
     hubs = lists.groupBy("key").agg(F.max(F.struct("central", "doc", "n", *packs)).alias("hub")).select("key", "hub.doc", "hub.n", *(f"hub.{s}" for s in packs))
-    stars = candidates(lists.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") != F.col("y.doc"))))
-    stars = scratch.table(stars, "stars")
-    roots = scratch.table(connected_components(scratch, scratch.table(confirmed(stars), "links")), "roots")
-
+    stars = lists.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") != F.col("y.doc")) & alike)
+    stars = scratch.table(pairs_of(stars), "stars")
+    star_sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "star_sets")
+    roots = scratch.table(connected_components(scratch, scratch.table(confirmed(stars, star_sets), "links")), "roots")
+    scratch.drop(star_sets)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of the lists that hold more than one component, with the least size in each list."""
+        keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi")
+        return rows.join(keys.select("key", "least_n"), "key")
+
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike
     placed = lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_lists = scratch.table(placed.join(mixed, "key", "left_semi"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    across = candidates(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root"))))
-    late = confirmed(scratch.table(across.join(stars, ["a", "b"], "left_anti"), "across"))
+    open_lists = scratch.table(mixed(placed).drop("least_n"), "open")
+    met = scratch.table(open_lists.alias("x").join(open_lists.alias("y"), apart, "left_semi"), "met")
+    scratch.drop(open_lists)
+    met_sets = sets_of(met.select("doc").distinct(), "met_sets")
+    alone = met_sets.select("doc", F.explode("own").alias("shingle")).groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc = last").groupBy("doc").agg(F.count("*").alias("alone"))
+    usable = met.join(alone, "doc", "left").withColumn("usable", F.col("n") - F.coalesce("alone", F.lit(0)))
+    able = mixed(usable).where(F.col("usable") >= need(F.col("n"), F.greatest(F.col("least_n"), F.col("n") * num / den)) - 1e-6).drop("least_n")
+    last = scratch.table(mixed(able), "last")
+    enough = F.least("x.usable", "y.usable") >= need(F.col("x.n"), F.col("y.n")) - 1e-6
+    across = pairs_of(last.alias("x").join(last.alias("y"), apart & enough & (F.col("x.doc") < F.col("y.doc"))))
+    late = confirmed(scratch.table(across, "across"), met_sets)
     for end in ("a", "b"):
         late = late.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     merged = scratch.table(connected_components(scratch, late.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "merged")

@@ -15,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm._cluster import Scratch, ship
 
-#: Pieces that an encoder remembers: about 100 MB.
-REMEMBERED = 500_000
+#: Pieces that an encoder remembers: about 200 MB.
+REMEMBERED = 1_200_000
 #: Characters of text encoded at a time.
 RUN_CHARS = 1 << 20
 #: Lengths summed by one task at a time when the histogram is summed up.
@@ -86,11 +87,10 @@ class Encoder:
         if not self.cuttable:
             return self._whole(texts)
         cut = [[text] if _JOINED(text) else _PIECES(text) for text in texts]
-        wanted: set[str] = set().union(*cut)
-        new = wanted.difference(self.known)
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = wanted
+            new = set(chain.from_iterable(cut))
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
