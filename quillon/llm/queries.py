@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import chunks, minhash, tokens, wavelet
+from quillon.llm import chunks, langid, minhash, quality, tokens, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.token_lengths(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def fold(column: str, parts: int):
+    """The remainder of the CRC of an id as text."""
+    return F.crc32(F.col(column).cast("string")) % parts
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(docs, fold("doc_id", 4) != 2))
+    return found.select(F.col("doc").alias("doc_id"), (fold("doc", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -73,11 +85,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc", 3) != 1)
+    return found.select(F.col("doc").alias("doc_id"), (fold("doc", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
+    "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
