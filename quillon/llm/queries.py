@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunks, langid, minhash, quality, tokens, wavelet
+from quillon.llm import chunks, langid, minhash, mixing, quality, tokens, url_filter, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,52 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), (fold("doc", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+#: Whole weights by level and child; other children weigh 1. Three fifths of all tokens are taken, in two epochs at most.
+MIX = {"weights": {"lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}, "budget": (3, 5), "max_epochs": 2, "seed": 7}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"), **MIX).drop("text_md5")
+
+
+def _op5_level(depth: int, weight: str) -> str:
+    """Common table expressions that hand a level's budgets down, as mixing.share_out does."""
+    keys = ["domain", "lang", "source"][: depth + 1]
+    up, name, by = ", ".join(keys[:-1]), keys[-1], ", ".join(keys)
+    part = f"PARTITION BY {up}" if up else ""
+    budget = f"least(any_value(b.given), sum(sum(s.supply)) OVER ({part}))" if depth else "any_value((SELECT least(wanted, most) FROM total))"
+    source = f"supply s JOIN given{depth - 1} b USING ({up})" if depth else "supply s"
+    return f"""
+children{depth} AS (SELECT {by}, sum(s.supply)::HUGEINT AS supply, {weight} AS weight, ({budget})::HUGEINT AS budget FROM {source} GROUP BY {by}),
+ordered{depth} AS (SELECT *, coalesce(sum(supply) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+  FROM children{depth} WINDOW o AS ({part} ORDER BY supply::DOUBLE / weight, {name})),
+full{depth} AS (SELECT *, (budget - before) * weight >= supply * weight_left AS is_full FROM ordered{depth}),
+part{depth} AS (SELECT *, CASE WHEN is_full THEN supply ELSE ((budget - coalesce(sum(supply) FILTER (is_full) OVER w, 0)) * weight) // sum(weight) FILTER (NOT is_full) OVER w END AS part FROM full{depth} WINDOW w AS ({part})),
+given{depth} AS (SELECT {by}, (part + CASE WHEN NOT is_full AND sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER ({part} ORDER BY {name} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= budget - sum(part) OVER ({part}) THEN 1 ELSE 0 END)::BIGINT AS given FROM part{depth})"""
+
+
+OP5_SQL = (
+    r"""
+WITH rows_ AS (
+  SELECT doc_id, left(coalesce(source, ''), 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS tokens, md5(coalesce(text, '')) AS text_md5
+  FROM documents
+), supply AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, (2 * sum(tokens))::BIGINT AS supply FROM rows_ GROUP BY ALL HAVING sum(tokens) > 0),
+total AS (SELECT (sum(tokens) * 3) // 5 AS wanted, sum(supply) AS most FROM supply),"""
+    + ",".join([_op5_level(0, "1"), _op5_level(1, "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END"), _op5_level(2, "1")])
+    + """,
+plan AS (SELECT domain, lang, source, given // tokens AS whole, given % tokens AS rest FROM supply JOIN given2 USING (domain, lang, source) WHERE given > 0),
+runs AS (
+  SELECT r.*, whole, rest, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '') || ':' || text_md5) ROWS UNBOUNDED PRECEDING) AS run
+  FROM rows_ r JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, unnest(range(1, whole + 1))::BIGINT AS epoch FROM runs
+UNION ALL
+SELECT doc_id, domain, lang, source, tokens::BIGINT, (whole + 1)::BIGINT FROM runs WHERE rest > 0 AND run <= rest
+"""
+)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -90,16 +136,76 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), (fold("doc", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates learn from labels.quality: the first number in a path is the id of the document that the page shows."""
+    _, path = url_filter.split_url(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract(path, "[0-9]{1,18}", 0).try_cast("bigint").alias("shown"))
+    labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("shown")).agg((F.max("quality") == 0).alias("is_bad"))
+    return url_filter.judge(pages.join(labels, "shown", "left"), rules=URL_RULES, bad=F.col("is_bad")).drop("badness")
+
+
+def _op9_level(k: int) -> str:
+    up = ", ".join(["host", *(f"t{j}" for j in range(k))])
+    return f"""
+child{k} AS (SELECT {up}, t{k}, sum(n) AS child_n FROM tree{k} GROUP BY ALL),
+rare{k} AS (SELECT {up}, t{k} FROM child{k} WHERE t{k} <> '' QUALIFY count(*) OVER (PARTITION BY {up}) > 16 AND child_n < 0.05::DOUBLE * sum(child_n) OVER (PARTITION BY {up})),
+tree{k + 1} AS (SELECT t.* REPLACE (CASE WHEN r.t{k} IS NULL THEN t.t{k} ELSE '*' END AS t{k}) FROM tree{k} t LEFT JOIN rare{k} r USING ({up}, t{k})),"""
+
+
+OP9_SQL = (
+    r"""
+WITH split AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM split),
+parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM named),
+good AS (SELECT doc_id, max(quality) = 0 AS is_bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+segments AS (SELECT p.*, is_bad, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS s
+  FROM parts p LEFT JOIN good g ON g.doc_id = try_cast(regexp_extract(path, '[0-9]{1,18}') AS BIGINT)),
+rows_ AS (SELECT page_id, host, path, is_bad, coalesce(s[1], '') AS r0, coalesce(s[2], '') AS r1, coalesce(s[3], '') AS r2, CASE WHEN len(s) > 3 THEN '**' ELSE '' END AS r3 FROM segments),
+counted AS (SELECT host, r0, r1, r2, r3, count(*) AS n, count(is_bad) AS labelled, count(*) FILTER (is_bad) AS bad FROM rows_ GROUP BY ALL),
+tree0 AS (SELECT *, r0 AS t0, r1 AS t1, r2 AS t2, r3 AS t3 FROM counted),"""
+    + "".join(_op9_level(k) for k in range(3))
+    + """
+branch AS (SELECT host, t0, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM tree3 GROUP BY ALL),
+quarters AS (SELECT c.host, c.t0, c.t1, floor(c.n * 4 / b.n + 0.5)::BIGINT AS q FROM (SELECT host, t0, t1, sum(n) AS n FROM tree3 GROUP BY ALL) c JOIN branch b USING (host, t0)),
+shapes AS (SELECT host, t0, array_to_string(list_sort(list(t1 || ':' || q)), '|') AS shape FROM quarters WHERE q > 0 GROUP BY ALL),
+merged AS (SELECT host, t0, CASE WHEN labelled >= 5 THEN '=|' || floor(bad * 4 / labelled + 0.5)::BIGINT || '|' || coalesce(shape, '') ELSE '/' || t0 END AS branch FROM branch LEFT JOIN shapes USING (host, t0)),
+final AS (SELECT * FROM tree3 JOIN merged USING (host, t0)),
+n0 AS (SELECT host, branch, t1, t2, t3, sum(labelled) AS labelled, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) FROM counted) AS p FROM final GROUP BY ALL),"""
+    + "".join(
+        f"""
+n{k + 1} AS (SELECT * REPLACE ((sum(bad) OVER w + 4.0::DOUBLE * p) / (sum(labelled) OVER w + 4.0::DOUBLE) AS p) FROM n{k} WINDOW w AS (PARTITION BY {", ".join(["host", "branch", "t1", "t2", "t3"][: k + 1])})),"""
+        for k in range(5)
+    )
+    + """
+verdicts AS (SELECT f.host, r0, r1, r2, r3, p >= 0.5 AS rejected, f.host || '/' || f.branch || '/' || f.t1 || '/' || f.t2 || '/' || f.t3 AS template FROM final f JOIN n5 USING (host, branch, t1, t2, t3)),
+ruled AS (SELECT rows_.*, '.' || host AS dotted, CASE
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM rows_)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN rejected THEN 'block' ELSE 'allow' END AS verdict, template
+FROM ruled JOIN verdicts USING (host, r0, r1, r2, r3)
+"""
+)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
     "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash": OP1_SQL,
+    "op5_mixing": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op9_url_filter": OP9_SQL,
 }
