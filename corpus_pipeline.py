@@ -1,10 +1,59 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, shards of token ids out.
+
+Each stage works on all that the one before it kept, which is written as Parquet and read again between them. All but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import decontaminate, langid, minhash, mixing, wavelet
+from quillon.llm._cluster import Scratch
+from quillon.llm.queries import table, tokenizer_path
+
+#: Target weights of the mixing stage; children that are not named weigh 1. Nine tenths of the tokens are taken, once.
+MIX = {"weights": {"lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}, "budget": (9, 10), "max_epochs": 1, "seed": 7}
+END_ID = 2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from all rows with a language; texts without letters and texts unlike any language go."""
+    return langid.keep_known(docs, langid.learn(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five words, a similarity of 0.8 or more."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each leaf of the tree of sources gives the prefix that its budget allows."""
+    return mixing.mixed(docs, **MIX)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards of wavelet matrices; per document, read back: doc_id, start, n_tokens, ids_crc32."""
+    return wavelet.token_files(docs, tokenizer_path(), end_id=END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("token_ids", token_ids)]
+
+#: SQL cannot express the language models, the alignments and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to the documents of sf_dir."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.table(docs, name)
+    return docs

@@ -73,15 +73,22 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, bounds): byte positions and hashes of all words; row i has words bounds[i]:bounds[i+1]."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, accents: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, bounds): byte positions and hashes of all words; row i has words bounds[i]:bounds[i+1].
+
+    between: which bytes stand between words. accents: the capitals of Latin-1 hash like their small letters, too.
+    """
     base = int(offsets[0])
     data, offsets = data[base : int(offsets[-1])], offsets - base
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[data]
+    ink = ~between[data]
+    if accents:
+        capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        data = data.copy()
+        data[capital] += 32
     first, last = ink.copy(), ink.copy()
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True

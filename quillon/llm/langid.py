@@ -264,3 +264,24 @@ def predict(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(score, "doc bigint, lang_pred string, score double, entropy double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, models: Models, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text predict() does not reject, with all columns. Texts do not leave their partition."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(models)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            texts, chars = [], 0
+            for i in range(batch.num_rows):
+                texts.append(batch.column(at)[i].as_py() or "")
+                chars += len(texts[-1])
+                if chars >= RUN_CHARS or i + 1 == batch.num_rows:
+                    yield batch.slice(first, len(texts)).filter(pa.array(~judge(shared.value, texts)[3]))
+                    first, texts, chars = i + 1, [], 0
+
+    return docs.mapInArrow(keep, docs.schema)

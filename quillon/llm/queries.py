@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunks, langid, minhash, mixing, quality, tokens, url_filter, wavelet
+from quillon.llm import chunks, decontaminate, html_text, langid, minhash, mixing, quality, tokens, url_filter, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.token_lengths(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def fold(column: str, parts: int):
     """The remainder of the CRC of an id as text."""
     return F.crc32(F.col(column).cast("string")) % parts
@@ -93,7 +97,8 @@ OP5_SQL = (
     r"""
 WITH rows_ AS (
   SELECT doc_id, left(coalesce(source, ''), 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS tokens, md5(coalesce(text, '')) AS text_md5
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS tokens, md5(coalesce(text, '')) AS text_md5
   FROM documents
 ), supply AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, (2 * sum(tokens))::BIGINT AS supply FROM rows_ GROUP BY ALL HAVING sum(tokens) > 0),
 total AS (SELECT (sum(tokens) * 3) // 5 AS wanted, sum(supply) AS most FROM supply),"""
@@ -192,15 +197,21 @@ FROM ruled JOIN verdicts USING (host, r0, r1, r2, r3)
 )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
+    "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
