@@ -6,7 +6,9 @@ of arrays. NULL in gives NULL out; an empty multivector on either side scores 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,11 @@ def bytes_of_words(words: Sequence[int]) -> list[bytes]:
     return [(int(w) & MASK).to_bytes(8, "little") for w in words]
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -72,8 +79,7 @@ def normalized(tokens: Column | str) -> Column:
     """Each token over its Euclidean length; tokens of length 0 stay zero."""
 
     def unit(v: Column) -> Column:
-        norm = F.sqrt(dot(v, v))
-        return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+        return _bound(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)))
 
     return F.transform(_column(tokens), unit)
 
@@ -86,12 +92,27 @@ def cosine_maxsim(query: Column | str, doc: Column | str, *, unit: bool = False)
     query, doc = _column(query), _column(doc)
     width_q, width_d = F.size(F.element_at(query, 1)), F.size(F.element_at(doc, 1))
     q, d = (query, doc) if unit else (normalized(query), normalized(doc))
-    total = F.aggregate(q, F.lit(0.0), lambda s, v: s + F.array_max(F.transform(d, lambda w: dot(v, w))))
+    total = _bound(d, lambda own: F.aggregate(q, F.lit(0.0), lambda s, v: s + F.array_max(F.transform(own, lambda w: dot(v, w)))))
     empty = (F.size(doc) == 0) | (F.size(query) == 0)
     checked = F.when(empty, F.lit(0.0)).when(width_q != width_d, F.raise_error(F.lit("query and document dimensions differ")).cast("double")).otherwise(total)
     return F.when(doc.isNotNull() & query.isNotNull(), checked)
 
 
+def literal(vectors: Sequence[Sequence[float]]) -> Column:
+    """A constant array of arrays; as JSON, so that the plan holds one value."""
+    rows = [[float(x) for x in v] for v in vectors]
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
+
+
+def cosine_to(query: Sequence[Sequence[float]], doc: Column | str) -> Column:
+    """cosine_maxsim() of a constant query, which is normalized once."""
+    units = []
+    for v in query:
+        norm = math.sqrt(sum(float(x) ** 2 for x in v)) or 1.0
+        units.append([float(x) / norm for x in v])
+    return cosine_maxsim(literal(units), normalized(doc), unit=True)
+
+
 def text_tokens(text: Column | str) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
     return F.regexp_extract_all(F.lower(_column(text)), F.lit("[a-z0-9]+"), F.lit(0))

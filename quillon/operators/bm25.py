@@ -47,7 +47,7 @@ def frequencies(tokenized: DataFrame, terms: list[str] | DataFrame) -> DataFrame
 def scores(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score, matched_terms) where the score is above 0.
 
-    A term that a query repeats counts repeatedly; matched_terms counts distinct ones. queries has (query_id, text).
+    Scores are rounded to ten decimals, so that ties do not depend on the order of summation. A term that a query repeats counts repeatedly; matched_terms counts distinct ones. queries has (query_id, text).
     An empty corpus and queries without terms give no rows. Ids of docs are unique.
     """
     tokenized = tokens(docs, id_col, text_col)
@@ -62,7 +62,7 @@ def scores(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B,
     tf_ = F.col("tf").cast("double")
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("length") / F.greatest(F.col("avg_length"), F.lit(1.0))
     part = F.col("times") * F.col("idf") * tf_ * (k1 + 1) / (tf_ + k1 * norm)
-    return tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("matched_terms")).where("score > 0")
+    return tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 10).alias("score"), F.count("*").alias("matched_terms")).where("score > 0")
 
 
 def score_of(tf: int, df: int, n_docs: int, length: int, avg_length: float, k1: float = K1, b: float = B) -> float:

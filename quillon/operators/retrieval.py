@@ -10,11 +10,11 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import filters
-from quillon.functions.kernels import cosine_maxsim, hamming_maxsim, normalized
+from quillon.functions.kernels import cosine_maxsim, cosine_to, hamming_maxsim, normalized
 from quillon.operators import bm25, topk
 from quillon.operators.records import Candidate, Filter, Query
 
@@ -62,10 +62,6 @@ def bm25_then_cosine(queries: DataFrame, docs: DataFrame, k: int, prefilter: int
 # Retrievers ------------------------------------------------------------------------------------------------------------
 
 
-def _literal(vectors: Sequence[Sequence[float]]) -> Column:
-    return F.array(*(F.array(*(F.lit(float(x)) for x in v)) for v in vectors)) if len(vectors) else F.array().cast("array<array<double>>")
-
-
 def _candidates(rows: Sequence, stage: str, debug: Sequence[str] = ()) -> list[Candidate]:
     return [Candidate(str(r["doc_id"]), float(r["score"]), stage, {name: float(r[name]) for name in debug}) for r in rows]
 
@@ -112,7 +108,7 @@ class CosineRetriever(Retriever):
     id, stage, needs = "fp16-ref", "fp16_maxsim", ("fp16",)
 
     def best(self, query: Query, k: int) -> DataFrame:
-        score = cosine_maxsim(_literal(query.fp16), "fp16")
+        score = cosine_to(query.fp16, "fp16")
         return topk.first_k(filters.apply(self.docs, query.filter).select("doc_id", score.alias("score")), k)
 
 
@@ -187,7 +183,7 @@ class StagedRetriever(Retriever):
     def _reranked(self, found: DataFrame, query: Query, k: int) -> DataFrame:
         kept = found.withColumnRenamed("score", self.coarse_score)
         both = kept.join(self.docs.select("doc_id", "fp16"), "doc_id")
-        return topk.first_k(both.withColumn("score", cosine_maxsim(_literal(query.fp16), "fp16")).drop("fp16"), k)
+        return topk.first_k(both.withColumn("score", cosine_to(query.fp16, "fp16")).drop("fp16"), k)
 
     def best(self, query: Query, k: int) -> DataFrame:
         return self._reranked(self.coarse.best(query, self.prefilter), query, k)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import calibrator, filters
-from quillon.functions.kernels import BITS, cosine_maxsim, hamming_maxsim, normalized, register, text_tokens, words_of_bytes
+from quillon.functions.kernels import BITS, cosine_to, hamming_maxsim, normalized, register, text_tokens, words_of_bytes
 from quillon.operators import bm25, metrics, retrieval, topk, triage
 from quillon.operators.records import Clause, Filter
 from quillon.sources import store
@@ -124,8 +124,7 @@ def hamming_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = multivectors(spark, sf_dir)
     query = docs.where("doc_id = 0").first()["fp16"]
-    literal = F.array(*(F.array(*(F.lit(float(x)) for x in v)) for v in query))
-    return scores(topk.first_k(docs.select("doc_id", cosine_maxsim(literal, "fp16").alias("score")), K))
+    return scores(topk.first_k(docs.select("doc_id", cosine_to(query, "fp16").alias("score")), K))
 
 
 def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +169,7 @@ qs(query_id, text) AS (VALUES """
 terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM qs) GROUP BY ALL),
 tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM tf GROUP BY term),
-found AS (SELECT query_id, doc_id, sum(times * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / greatest(avg_length, 1)))) AS score, count(*) AS matched_terms
+found AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / greatest(avg_length, 1)))), 10) AS score, count(*) AS matched_terms
   FROM tf JOIN terms USING (term) JOIN df USING (term), corpus GROUP BY ALL)"""
 )
 
