@@ -178,7 +178,7 @@ quarters AS (SELECT c.host, c.t0, c.t1, floor(c.n * 4 / b.n + 0.5)::BIGINT AS q
 shapes AS (SELECT host, t0, array_to_string(list_sort(list(t1 || ':' || q)), '|') AS shape FROM quarters WHERE q > 0 GROUP BY ALL),
 merged AS (SELECT host, t0, CASE WHEN labelled >= 5 THEN '=|' || floor(bad * 4 / labelled + 0.5)::BIGINT || '|' || coalesce(shape, '') ELSE '/' || t0 END AS branch FROM branch LEFT JOIN shapes USING (host, t0)),
 final AS (SELECT * FROM tree3 JOIN merged USING (host, t0)),
-n0 AS (SELECT host, branch, t1, t2, t3, sum(labelled) AS labelled, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) FROM counted) AS p FROM final GROUP BY ALL),"""
+n0 AS (SELECT host, branch, t1, t2, t3, sum(labelled) AS labelled, sum(bad) AS bad, (SELECT least((coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 10.0::DOUBLE), 0.25::DOUBLE) FROM counted) AS p FROM final GROUP BY ALL),"""
     + "".join(
         f"""
 n{k + 1} AS (SELECT * REPLACE ((sum(bad) OVER w + 4.0::DOUBLE * p) / (sum(labelled) OVER w + 4.0::DOUBLE) AS p) FROM n{k} WINDOW w AS (PARTITION BY {", ".join(["host", "branch", "t1", "t2", "t3"][: k + 1])})),"""

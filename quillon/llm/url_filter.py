@@ -3,7 +3,7 @@
 The paths of a host make a tree of segments, with digits generalised. Where a node has many children, the rare ones are
 one wildcard. Branches below a host are merged when they have the same shape and the same labelled purity. A template is
 rejected when the share of bad pages among its labelled ones, smoothed towards that of the nodes above it, reaches a
-limit. Rules come before the trees.
+limit. Hosts without labelled pages lose nothing. Rules come before the trees.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def _rejected(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
     path = ["host", "branch", *levels[1:]]
     share = rows.agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
-    share = share.select(((F.coalesce("all_bad", F.lit(0)) + 1.0) / (F.coalesce("all_labelled", F.lit(0)) + 2.0)).alias("prior"))
+    share = share.select(F.least((F.coalesce("all_bad", F.lit(0)) + 1.0) / (F.coalesce("all_labelled", F.lit(0)) + 10.0), F.lit(LIMIT / 2)).alias("prior"))
     nodes = tree.groupBy(*path).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(share)  # one row
     for depth in range(1, len(path) + 1):
         keys = path[:depth]
