@@ -104,7 +104,7 @@ def _hits(index: Index, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(score, end) of the best local alignment; end is the number of words of text up to its end, the first best one."""
+    """(score, end) of the best local alignment; end is the number of words of text up to its end; of equally good ones, that of the fewest words of the item."""
     steps = np.arange(len(text)) * GAP
     row, best, end = np.zeros(len(text) + 1, np.int64), 0, 0
     for word in item:
