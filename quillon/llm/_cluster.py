@@ -51,7 +51,7 @@ class Scratch:
     def table(self, frame: DataFrame, tag: str) -> DataFrame:
         """Write the frame and read it back."""
         path = self.path(tag)
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back._quillon_path = path
         return back
