@@ -10,10 +10,9 @@ Jaccard similarity agree on at least ``matches`` of the coordinates (but for a c
 
 Texts with equal shingle sets are collapsed first. In each posting list all members are then held against the most
 central one, which links a group of copies without its pairs. What is left are members of different components that
-share a list and whose signatures agree. Of these, a document whose shingles are too often its own to reach the
-similarity with any member of the list is out: a shingle that no other candidate has cannot be common. The rest are held
-against each other, all of them. Links are confirmed on full shingle sets, so the components lack nothing but what a
-signature misses.
+share a list and whose signatures agree. These are compared by what they have of the shingles of that central member, as
+bits, and by sketches of their other shingles, which bound from above what two documents can have in common. All pairs that this leaves possible are confirmed on full shingle sets, as the links to the central
+members are, so the components lack nothing but what a signature misses.
 """
 
 from __future__ import annotations
@@ -111,6 +110,27 @@ def _full_sets(size: int):
     return build
 
 
+def _hub_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, hub, bits, hidden) of rows with both shingle sets.
+
+    bits: which of the hub's shingles a document has, then a sketch of its others, with two bits for each shingle of the
+    hub; hidden: how many of the others fell on a bit that was set. Two documents with the same hub have at most as many
+    shingles in common as bits, and the smaller hidden.
+    """
+    for batch in batches:
+        bits, hidden = [], []
+        for k in range(batch.num_rows):
+            own, hub = batch.column(2)[k].values.to_numpy(), batch.column(3)[k].values.to_numpy()
+            has = np.isin(hub, own, assume_unique=True)
+            others = own[np.isin(own, hub, assume_unique=True, invert=True)].view(np.uint64)
+            sketch = np.zeros(2 * len(hub), bool)
+            sketch[((others >> np.uint64(20)) % np.uint64(len(sketch))).astype(np.int64)] = True
+            packed = np.packbits(np.concatenate((has, sketch)))
+            bits.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64))
+            hidden.append(len(others) - int(sketch.sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.list_(pa.int64())), pa.array(hidden, pa.int64())], names=["doc", "hub", "bits", "hidden"])
+
+
 def _agreements(left: str, right: str, longs: int) -> Column:
     """Coordinates on which two packed signatures agree: the zero bytes of their exclusive or."""
     differ = F.lit(0)
@@ -158,20 +178,18 @@ def components(
     nodes = signed.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min("doc").alias("node"))
     least = math.ceil(num / (den - num))  # a smaller set can only be similar to an equal one
     firsts = signed.where(F.col("n") >= least).join(nodes.select(F.col("node").alias("doc"), "f1", "f2"), ["doc", "f1", "f2"], "left_semi")
+    firsts = scratch.table(firsts.drop("f1", "f2").dropDuplicates(["doc"]), "firsts")
     posts = firsts.select("doc", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     held = posts.join(shared, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
-    prefix = held.where(F.size("held") >= shared_posts).select(
-        "doc", F.aggregate("held", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("central"), F.expr(f"slice(held, 1, size(held) - {shared_posts - 1})").alias("held")
-    )
-    packed = prefix.join(firsts.select("doc", "n", *packs).dropDuplicates(["doc"]), "doc")
-    lists = scratch.table(packed.select("doc", "n", *packs, "central", F.explode("held.key").alias("key")), "lists")
+    central = F.aggregate("held", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]).alias("central")
+    prefix = held.where(F.size("held") >= shared_posts).select("doc", central, F.explode(F.expr(f"slice(held.key, 1, size(held) - {shared_posts - 1})")).alias("key"))
+    lists = scratch.table(prefix, "lists")
+    signature = firsts.select("doc", "n", *packs)
 
     def sets_of(wanted: DataFrame, tag: str) -> DataFrame:
-        return scratch.table(texts.join(wanted, "doc", "left_semi").mapInArrow(_full_sets(shingle_words), "doc bigint, own array<bigint>"), tag)
+        return scratch.table(texts.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(_full_sets(shingle_words), "doc bigint, own array<bigint>"), tag)
 
-    # common >= need(n, n') is what two sets of these sizes must have in common
-    need = lambda x, y: (x + y) * num / F.lit(float(num + den))
     alike = (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (_agreements("x", "y", longs) >= matches)
 
     def pairs_of(joined: DataFrame) -> DataFrame:
@@ -183,30 +201,33 @@ def components(
         sized = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).cast("bigint").alias("common"), (F.size("own_a") + F.size("own_b")).cast("bigint").alias("sizes"))
         return sized.where(f"common * {den} >= (sizes - common) * {num}").select("a", "b")
 
-    hubs = lists.groupBy("key").agg(F.max(F.struct("central", "doc", "n", *packs)).alias("hub")).select("key", "hub.doc", "hub.n", *(f"hub.{s}" for s in packs))
-    stars = lists.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") != F.col("y.doc")) & alike)
-    stars = scratch.table(pairs_of(stars), "stars")
+    hubs = lists.groupBy("key").agg(F.max(F.struct("central", "doc")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    members = lists.join(hubs.select("key", F.col("hub.doc").alias("hub"), "members"), "key").where("doc <> hub").select("key", "doc", "hub", "members")
+    members = scratch.table(members, "members")
+    scratch.drop(lists)
+    x, y = signature.withColumnRenamed("doc", "x_doc").alias("x"), signature.withColumnRenamed("doc", "y_doc").alias("y")
+    stars = members.select("doc", "hub").distinct().join(x, F.col("doc") == F.col("x.x_doc")).join(y, F.col("hub") == F.col("y.y_doc")).where(alike)
+    stars = scratch.table(stars.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "stars")
     star_sets = sets_of(stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "star_sets")
     roots = scratch.table(connected_components(scratch, scratch.table(confirmed(stars, star_sets), "links")), "roots")
     scratch.drop(star_sets)
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the lists that hold more than one component, with the least size in each list."""
-        keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi")
-        return rows.join(keys.select("key", "least_n"), "key")
-
+    # what a list still has to say are pairs without its central member
+    placed = members.where("members > 2").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).drop("members")
+    placed = scratch.table(placed, "placed")
+    scratch.drop(members)
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_lists = scratch.table(placed.join(mixed, "key", "left_semi").join(signature, "doc"), "open")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike
-    placed = lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_lists = scratch.table(mixed(placed).drop("least_n"), "open")
     met = scratch.table(open_lists.alias("x").join(open_lists.alias("y"), apart, "left_semi"), "met")
     scratch.drop(open_lists)
-    met_sets = sets_of(met.select("doc").distinct(), "met_sets")
-    alone = met_sets.select("doc", F.explode("own").alias("shingle")).groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc = last").groupBy("doc").agg(F.count("*").alias("alone"))
-    usable = met.join(alone, "doc", "left").withColumn("usable", F.col("n") - F.coalesce("alone", F.lit(0)))
-    able = mixed(usable).where(F.col("usable") >= need(F.col("n"), F.greatest(F.col("least_n"), F.col("n") * num / den)) - 1e-6).drop("least_n")
-    last = scratch.table(mixed(able), "last")
-    enough = F.least("x.usable", "y.usable") >= need(F.col("x.n"), F.col("y.n")) - 1e-6
-    across = pairs_of(last.alias("x").join(last.alias("y"), apart & enough & (F.col("x.doc") < F.col("y.doc"))))
+    met_sets = sets_of(met.select(F.explode(F.array("doc", "hub")).alias("doc")).distinct(), "met_sets")
+    against = met.select("doc", "hub").distinct().join(met_sets, "doc").join(met_sets.select(F.col("doc").alias("hub"), F.col("own").alias("hub_own")), "hub")
+    bits = scratch.table(against.select("doc", "hub", "own", "hub_own").mapInArrow(_hub_bits, "doc bigint, hub bigint, bits array<bigint>, hidden bigint"), "bits")
+    last = scratch.table(met.join(bits, ["doc", "hub"]), "last")
+    common_bits = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, k: t + k)
+    possible = (common_bits + F.least("x.hidden", "y.hidden")) * (num + den) >= (F.col("x.n") + F.col("y.n")) * num
+    across = pairs_of(last.alias("x").join(last.alias("y"), apart & (F.col("x.doc") < F.col("y.doc")) & possible))
     late = confirmed(scratch.table(across, "across"), met_sets)
     for end in ("a", "b"):
         late = late.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
