@@ -28,7 +28,7 @@ LEFT_OUT = 0.25
 #: Standard deviations above a language's usual cross-entropy from which on a text is rejected.
 REJECT = 8.0
 #: Cross-entropies may differ by so much, in nats a symbol, before texts of a language count as unusual at all.
-SLACK = 0.35
+SLACK = 1.0
 RUN_CHARS = 1 << 19
 
 _BLANK = 32
@@ -54,7 +54,7 @@ def symbols(texts: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, n
     after[1:] = letter[:-1] & ~starts[1:-1]
     keep = letter | after
     bounds = np.concatenate(([0], np.cumsum(keep)))[ends]
-    kept = np.where(letter, codes, _BLANK)[keep].astype(np.uint64)
+    kept = np.compress(keep, np.where(letter, codes, _BLANK)).astype(np.uint64)
     text = np.repeat(np.arange(len(low)), np.diff(bounds))
     places = np.arange(len(kept)) + (order - 1) * (text + 1)
     padded = np.full(len(kept) + (order - 1) * (len(low) + 1), np.uint64(_BLANK))
