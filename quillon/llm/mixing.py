@@ -130,8 +130,11 @@ def select(
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that select() takes, with all their columns; once for each epoch that takes them."""
-    taken = select(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id", "text_md5").agg(F.count("*").alias("rows_taken"))
-    both = docs.groupBy(F.col(id_col).cast("bigint").alias("doc_id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_md5")).agg(F.count("*").alias("rows_there"))
-    times = taken.join(both, taken.doc_id.eqNullSafe(both.doc_id) & (taken.text_md5 == both.text_md5)).select(taken.doc_id.alias("_id"), taken.text_md5.alias("_md5"), F.expr("rows_taken div rows_there").alias("_times"))
-    on = F.col("_id").eqNullSafe(F.col(id_col).cast("bigint")) & (F.col("_md5") == F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return docs.join(times, on).where("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_id", "_md5", "_times")
+    taken = select(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("taken_id"), F.col("text_md5").alias("taken_md5")).agg(F.count("*").alias("rows_taken"))
+    md5 = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), md5.alias("md5"))
+    there = docs.groupBy(F.col(id_col).cast("bigint").alias("id"), md5.alias("md5")).agg(F.count("*").alias("rows_there"))
+    same = F.col("taken_id").eqNullSafe(F.col("id")) & (F.col("taken_md5") == F.col("md5"))
+    times = taken.join(there, same).select("taken_id", "taken_md5", F.expr("rows_taken div rows_there").alias("times")).where("times > 0")
+    found = whole.join(times, same).withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return found.select("row.*")
