@@ -41,7 +41,7 @@ _VALUES = _byte_values()
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(n, RUN_BYTES + 1)
@@ -95,7 +95,7 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, a
     first[1:] &= ~ink[:-1] | cut[1:n]
     last[:-1] &= ~ink[1:] | cut[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -15,7 +15,6 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +22,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._cluster import Scratch, ship
+from quillon.llm._text import mix, powers, runs, utf8
 
-#: Pieces that an encoder remembers: about 200 MB.
-REMEMBERED = 1_200_000
-#: Characters of text encoded at a time.
-RUN_CHARS = 1 << 20
+#: Pieces that an encoder remembers: about 80 MB. Beyond, it forgets them all.
+REMEMBERED = 2_000_000
 #: Lengths summed by one task at a time when the histogram is summed up.
 STRIDE = 4096
-
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-#: Other white space before a cut belongs with what follows.
-_JOINED = re.compile("[^\\S \n][ \n]|\u180e").search
 _PLAIN = re.compile(r"[ \n]\S{1,64}").fullmatch
 
+_U = np.uint64
+#: A value for each byte, by its rank in a piece's hash; blanks count, unlike in word hashes.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_CUT = np.isin(np.arange(256), [0x20, 0x0A])
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the pieces of each row: cut at its start, and before any blank or line feed that follows
+    a character that is no white space. A character of three bytes that might be white space is not cut after."""
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    if n > 1:
+        inside = _CUT[data[1:]] & ~_WHITE[data[:-1]]
+        inside[1:] &= ~((data[:-2] == 0xC2) & ((data[1:-1] == 0x85) | (data[1:-1] == 0xA0)))
+        if n > 3:
+            inside[2:] &= ~((data[:-3] >= 0xE1) & (data[:-3] <= 0xE3))
+        first[1:n] = inside
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(first[:n])
+    ends = np.append(starts[1:], n) if len(starts) else starts
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them with add_special_tokens=False."""
+    """Ids of texts as the tokenizers library gives them with add_special_tokens=False.
+
+    Pieces are remembered by 64-bit hashes: keys in order, with the place of each one's ids in a pool.
+    """
 
     _loaded: dict[str, Encoder] = {}
 
@@ -59,7 +82,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] in ("Ġ", "Ċ")]] = True  # blank, line feed
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -68,45 +91,78 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _whole(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        plain = [p for p in pieces if _PLAIN(p)]
+    def forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _whole(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _pooled(self, ids: np.ndarray) -> int:
+        """Put ids in the pool; their place."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(len(ids), self.used), self.kind)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Encode new pieces, plain ones in one go: each of these begins with its only white space, so their ids part there."""
+        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        plain = [k for k, t in enumerate(texts) if _PLAIN(t)]
+        rest = range(len(texts))
         if plain:
-            ids = np.array(self.library.encode("".join(plain), add_special_tokens=False).ids, self.kind)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(plain):
-                raw, at = ids.tobytes(), (at * self.kind.itemsize).tolist()
-                self.known.update((p, raw[i:j]) for p, i, j in zip(plain, at, [*at[1:], len(raw)]))
-        rest = [p for p in pieces if p not in self.known]
-        self.known.update(zip(rest, self._whole(rest)))
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text, little-endian in the width of kind."""
+            ids = np.array(self.library.encode("".join([texts[k] for k in plain]), add_special_tokens=False).ids, self.kind)
+            cut = np.flatnonzero(self.opens[ids])
+            if len(cut) == len(plain):
+                at[plain] = self._pooled(ids) + cut
+                size[plain] = np.diff(np.append(cut, len(ids)))
+                done = set(plain)
+                rest = [k for k in rest if k not in done]
+        for k, ids in zip(rest, self._whole([texts[k] for k in rest])):
+            at[k], size[k] = self._pooled(ids), len(ids)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, bounds of each row's) of rows of UTF-8."""
+        base = int(offsets[0])
+        data, offsets = data[base : int(offsets[-1])], offsets - base
         if not self.cuttable:
-            return self._whole(texts)
-        cut = [[text] if _JOINED(text) else _PIECES(text) for text in texts]
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(chain.from_iterable(cut))
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-
-
-def encoded(encoder: Encoder, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, ids of each row) for runs of rows; null texts are empty."""
-    texts, chars, first = [], 0, 0
-    for i in range(len(column)):
-        texts.append(column[i].as_py() or "")
-        chars += len(texts[-1])
-        if chars >= RUN_CHARS:
-            yield first, encoder.encode(texts)
-            texts, chars, first = [], 0, i + 1
-    if texts:
-        yield first, encoder.encode(texts)
+            raw = data.tobytes()
+            each = self._whole([raw[i:j].decode("utf-8", "replace") for i, j in zip(offsets, offsets[1:])])
+            return np.concatenate([np.zeros(0, self.kind), *each]), np.cumsum([0, *map(len, each)])
+        starts, ends, hashes = pieces(data, offsets)
+        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        for attempt in range(2):
+            slot = np.searchsorted(self.keys, distinct)
+            known = np.zeros(len(distinct), bool)
+            there = slot < len(self.keys)
+            known[there] = self.keys[slot[there]] == distinct[there]
+            if known.all():
+                break
+            if not attempt and len(self.keys) + int((~known).sum()) > REMEMBERED:
+                self.forget()
+                known[:] = False
+            raw, new = data.tobytes(), example[~known]
+            self._learn(distinct[~known], [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[new].tolist(), ends[new].tolist())])
+        slot = np.searchsorted(self.keys, distinct)
+        size, at = self.size[slot][which].astype(np.int64), self.at[slot][which]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, offsets)]
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, bounds = self.encode_bytes(*utf8(pa.array(list(texts), pa.large_string())))
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
+
+
+def encoded(encoder: Encoder, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, bounds of each row's ids) for runs of rows of a string column; null texts are empty."""
+    data, offsets = utf8(column)
+    for i, j in runs(offsets):
+        yield i, *encoder.encode_bytes(data, offsets[i : j + 1])
 
 
 def token_lengths(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,9 +173,10 @@ def token_lengths(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
         encoder = Encoder.load(path)
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            for first, ids in encoded(encoder, batch.column(1)):
-                n[first : first + len(ids)] = [len(x) // encoder.kind.itemsize for x in ids]
+            for first, _, bounds in encoded(encoder, batch.column(1)):
+                n[first : first + len(bounds) - 1] = np.diff(bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["doc", "n_tokens"])
+        encoder.forget()  # leaves the memory to what runs next in this worker
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(count, "doc bigint, n_tokens bigint")

@@ -1,13 +1,13 @@
 """Token ids in shards of wavelet matrices.
 
-A shard is one compressed file: rows of blocks, each with the ids of some whole documents. A block holds its ids as a
-wavelet matrix: one bit-plane per bit of an id, the highest first, where each plane orders the ids by the planes before
-it, and per plane the number of zeros and the ones before every RANK_BITS bits. From these alone come the id at a
-position (access), the number of times an id occurs before a position (count) and the place of its k-th occurrence
-(locate).
-
-Payload, all little-endian: u32 number of ids, u32 number of planes, then per plane u32 zeros, the ranks as u32 and the
-bits, the first in the lowest bit of a byte.
+A shard is one compressed file: rows of blocks, each with the ids of some whole documents. A block holds its ids as
+their ranks among the block's distinct ids, and these as a wavelet matrix: one bit-plane per bit of a rank, the highest
+first, where each plane orders the ranks by the planes before it, and per plane the number of zeros and the ones before
+every RANK_BITS bits. From these alone come the id at a position (access), the number of times an id occurs before a
+position (count) and the place of its k-th occurrence (locate).
+
+Payload, all little-endian: u32 number of ids, u32 number of distinct ids, these as u32 in order, then per plane u32
+zeros, the ones before as u32 and the bits, the first in the lowest bit of a byte.
 """
 
 from __future__ import annotations
@@ -25,23 +25,32 @@ from quillon.llm._cluster import Scratch, ship
 from quillon.llm.tokens import Encoder, encoded
 
 #: Ids of a block; a longer document is a block of its own.
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 16
 RANK_BITS = 512
 SHARD_SCHEMA = "shard int, block int, n_ids bigint, docs array<bigint>, lengths array<bigint>, payload binary"
 
 
-def build(ids: np.ndarray, planes: int) -> bytes:
-    """The payload of a block of ids below 2**planes."""
+def build(ids: np.ndarray) -> bytes:
+    """The payload of a block of ids."""
     n = len(ids)
-    parts = [np.array([n, planes], "<u4").tobytes()]
+    if ids.dtype.itemsize == 2:
+        alphabet = np.flatnonzero(np.bincount(ids, minlength=1))[: n or 0].astype("<u4")
+        rank = np.zeros(1 << 16, ids.dtype)
+        rank[alphabet] = np.arange(len(alphabet))
+        ids = rank[ids]
+    else:
+        alphabet, ids = np.unique(ids, return_inverse=True)
+        alphabet, ids = alphabet.astype("<u4"), ids.astype("<u4")
+    planes = max(len(alphabet) - 1, 0).bit_length()
+    parts = [np.array([n, len(alphabet)], "<u4").tobytes(), alphabet.tobytes()]
     for bit in range(planes - 1, -1, -1):
         ones = (ids & ids.dtype.type(1 << bit)) != 0
-        low = ids[~ones]
+        low = np.compress(~ones, ids)
         packed = np.packbits(ones, bitorder="little")
         counts = np.bitwise_count(np.pad(packed, (0, -len(packed) % (RANK_BITS // 8))).view("<u8")).reshape(-1, RANK_BITS // 64).sum(axis=1)
         ranks = np.concatenate(([0], np.cumsum(counts)))[: len(counts)].astype("<u4")
         parts += [np.array([len(low)], "<u4").tobytes(), ranks.tobytes(), packed.tobytes()]
-        ids = np.concatenate((low, ids[ones]))
+        ids = np.concatenate((low, np.compress(ones, ids)))
     return b"".join(parts)
 
 
@@ -50,9 +59,11 @@ class Matrix:
 
     def __init__(self, payload: bytes):
         head = np.frombuffer(payload, "<u4", 2)
-        self.n, self.planes = int(head[0]), int(head[1])
+        self.n = int(head[0])
+        self.alphabet = np.frombuffer(payload, "<u4", int(head[1]), 8)
+        self.planes = max(len(self.alphabet) - 1, 0).bit_length()
         size, marks = (self.n + 7) // 8, -(-((self.n + 7) // 8) // (RANK_BITS // 8))
-        self.zeros, self.ranks, self.bits, at = [], [], [], 8
+        self.zeros, self.ranks, self.bits, at = [], [], [], 8 + 4 * len(self.alphabet)
         for _ in range(self.planes):
             self.zeros.append(int(np.frombuffer(payload, "<u4", 1, at)[0]))
             self.ranks.append(np.frombuffer(payload, "<u4", marks, at + 4))
@@ -91,7 +102,12 @@ class Matrix:
             one = self._bit(p, i)
             value = value << 1 | one
             i = self.zeros[p] + self._ones(p, i) if one else i - self._ones(p, i)
-        return value
+        return int(self.alphabet[value])
+
+    def _rank(self, value: int) -> int:
+        """An id's place in the alphabet; -1 if it has none."""
+        k = int(np.searchsorted(self.alphabet, value))
+        return k if k < len(self.alphabet) and self.alphabet[k] == value else -1
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
         lo, hi = 0, end
@@ -104,14 +120,16 @@ class Matrix:
 
     def count(self, value: int, end: int | None = None) -> int:
         """How often an id occurs before position end."""
-        if value >> self.planes:
+        value = self._rank(value)
+        if value < 0:
             return 0
         lo, hi = self._range(value, self.n if end is None else end)
         return hi - lo
 
     def locate(self, value: int, k: int) -> int:
         """The position of the k-th occurrence (from 0) of an id; -1 if there are fewer."""
-        if value >> self.planes:
+        value = self._rank(value)
+        if value < 0:
             return -1
         lo, hi = self._range(value, self.n)
         if k < 0 or lo + k >= hi:
@@ -124,38 +142,38 @@ class Matrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order, by undoing the planes from the last."""
-        kind = np.dtype("<u2" if self.planes <= 16 else "<u4")
+        kind = np.dtype("<u2" if len(self.alphabet) <= 1 << 16 else "<u4")
         values = np.zeros(self.n, kind)
         for p in range(self.planes - 1, -1, -1):
             ones = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
-            above[~ones] = values[: self.zeros[p]]
-            above[ones] = values[self.zeros[p] :] | kind.type(1 << (self.planes - 1 - p))
+            above[np.flatnonzero(~ones)] = values[: self.zeros[p]]
+            above[np.flatnonzero(ones)] = values[self.zeros[p] :] | kind.type(1 << (self.planes - 1 - p))
             values = above
-        return values
+        letters = self.alphabet.astype(kind if not self.n or int(self.alphabet[-1]) < 1 << 16 else "<u4")
+        return letters[values] if self.n else letters
 
 
 def _blocks(path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path)
-        planes = max(encoder.bits, end_id.bit_length())
-        end = np.array([end_id], encoder.kind).tobytes()
+        kind = np.dtype("<u2" if max(encoder.bits, end_id.bit_length()) <= 16 else "<u4")
         context = TaskContext.get()
         shard, block = context.partitionId() if context else 0, 0
         docs, parts, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            lengths = [len(x) // encoder.kind.itemsize for x in parts]
-            payload = build(np.frombuffer(b"".join(parts), encoder.kind), planes)
+            lengths = [len(x) for x in parts]
+            payload = build(np.concatenate(parts))
             row = {"shard": shard, "block": block, "n_ids": sum(lengths), "docs": docs, "lengths": lengths, "payload": payload}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, ids in encoded(encoder, batch.column(1)):
-                for k, own in enumerate(ids):
-                    own += end
-                    if parts and held + len(own) > BLOCK_IDS * encoder.kind.itemsize:
+            for first, ids, bounds in encoded(encoder, batch.column(1)):
+                for k in range(len(bounds) - 1):
+                    own = np.append(ids[bounds[k] : bounds[k + 1]], kind.type(end_id)).astype(kind, copy=False)
+                    if parts and held + len(own) > BLOCK_IDS:
                         yield out()
                         block, docs, parts, held = block + 1, [], [], 0
                     docs.append(names[first + k])
@@ -163,6 +181,7 @@ def _blocks(path: str, end_id: int):
                     held += len(own)
         if parts:
             yield out()
+        encoder.forget()  # leaves the memory to what runs next in this worker
 
     return write
 

@@ -29,7 +29,7 @@ def test_remembered_pieces_give_the_library_ids():
     assert encoder.cuttable
     want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
-        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == want
+        assert [x.tolist() for x in encoder.encode(texts)] == want
 
 
 def test_forgetting_changes_nothing(monkeypatch):
@@ -37,7 +37,7 @@ def test_forgetting_changes_nothing(monkeypatch):
     texts = awkward_texts(2, 60)
     encoder = tokens.Encoder(PATH)
     want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, encoder.kind).tolist() for t in texts for x in encoder.encode([t])] == want
+    assert [x.tolist() for t in texts for x in encoder.encode([t])] == want
 
 
 def test_files_that_split_otherwise_go_to_the_library_whole():
@@ -80,7 +80,7 @@ def test_token_lengths(spark):
 def test_matrix_round_trip_and_queries(n):
     r = random.Random(n)
     ids = np.array([min(50_256, int(r.paretovariate(0.6))) for _ in range(n)], "<u2")
-    m = wavelet.Matrix(wavelet.build(ids, 16))
+    m = wavelet.Matrix(wavelet.build(ids if n % 2 else ids.astype("<u4")))
     assert (m.ids() == ids).all() and m.n == n
     plain = ids.tolist()
     for i in r.sample(range(n), min(n, 40)):
