@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._cluster import Scratch, ship
-from quillon.llm._text import _SPACE, _VALUES, _powers, runs, utf8
+from quillon.llm._text import _SPACE, _VALUES, powers, runs, utf8
 
 WINDOW = 48
 LEAST, MOST = 512, 16384
@@ -31,7 +31,7 @@ IDENTIFIER = 24
 def cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
     """The ends of the chunks of each row of data; of empty rows, none."""
     n = len(data)
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_VALUES[data] | np.uint64(1)) * up[:n], out=sums[1:])
     places = np.zeros(0, np.int64)
@@ -65,7 +65,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars[i:j] = np.diff(points[at])
             ink = ~_SPACE[own]
             at = np.concatenate(([0], np.cumsum(ink)))[at]
-            own = own[ink]
+            own = np.compress(ink, own)
             raw = own.tobytes()
             for row, ends in enumerate(cuts(own, at)):
                 first = int(at[row])
