@@ -1,8 +1,8 @@
 """Token ids of whole texts, and exact token counts.
 
 The encoder is the tokenizers library with a file given by path. For byte-level BPE files that split as GPT-2 does, a
-text may be cut before any blank or line feed that follows ink without changing its ids; so each distinct piece is
-encoded once by the library and remembered, up to a bounded number of pieces. Other files go to the library whole.
+text may be cut before any blank or line feed that follows ink, and between a letter and punctuation, without changing its
+ids; so each distinct piece is encoded once by the library and remembered, up to a bounded number of pieces. Other files go to the library whole.
 
 Token counts come from an exact length histogram. Documents are aggregated by encoded length, which leaves a table that
 grows with the number of distinct lengths only; suffix sums over it answer totals, quantiles and truncated totals for
@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,12 +35,16 @@ _U = np.uint64
 #: A value for each byte, by its rank in a piece's hash; blanks count, unlike in word hashes.
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _CUT = np.isin(np.arange(256), [0x20, 0x0A])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+#: Second bytes of the letters of U+00C0 to U+00FF.
+_LATIN = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the pieces of each row: cut at its start, and before any blank or line feed that follows
-    a character that is no white space. A character of three bytes that might be white space is not cut after."""
+def pieces(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the pieces of each row: cut at its start, before any blank or line feed that follows a
+    character that is no white space, and before any of the marks that follows a letter of ASCII or Latin-1. A character
+    of three bytes that might be white space is not cut after."""
     n = len(data)
     first = np.zeros(n + 1, bool)
     if n > 1:
@@ -47,7 +52,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         inside[1:] &= ~((data[:-2] == 0xC2) & ((data[1:-1] == 0x85) | (data[1:-1] == 0xA0)))
         if n > 3:
             inside[2:] &= ~((data[:-3] >= 0xE1) & (data[:-3] <= 0xE3))
-        first[1:n] = inside
+        mark = marks[data[1:]]
+        latin = np.zeros(n - 1, bool)
+        latin[1:] = (data[:-2] == 0xC3) & _LATIN[data[1:-1]]
+        first[1:n] = inside | mark & (_LETTER[data[:-1]] | latin)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(first[:n])
     ends = np.append(starts[1:], n) if len(starts) else starts
@@ -82,6 +90,9 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] in ("Ġ", "Ċ")]] = True  # blank, line feed
+        # punctuation parts from a letter before it, but not within an added token
+        within = {b for t in spec.get("added_tokens", []) for a, b in zip(t["content"], t["content"][1:]) if a.isalpha()}
+        self.marks = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c not in within])
         self.forget()
 
     @classmethod
@@ -132,7 +143,7 @@ class Encoder:
             raw = data.tobytes()
             each = self._whole([raw[i:j].decode("utf-8", "replace") for i, j in zip(offsets, offsets[1:])])
             return np.concatenate([np.zeros(0, self.kind), *each]), np.cumsum([0, *map(len, each)])
-        starts, ends, hashes = pieces(data, offsets)
+        starts, ends, hashes = pieces(data, offsets, self.marks)
         distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         for attempt in range(2):
             slot = np.searchsorted(self.keys, distinct)
@@ -176,7 +187,6 @@ def token_lengths(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
             for first, _, bounds in encoded(encoder, batch.column(1)):
                 n[first : first + len(bounds) - 1] = np.diff(bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["doc", "n_tokens"])
-        encoder.forget()  # leaves the memory to what runs next in this worker
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(count, "doc bigint, n_tokens bigint")

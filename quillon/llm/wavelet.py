@@ -181,7 +181,6 @@ def _blocks(path: str, end_id: int):
                     held += len(own)
         if parts:
             yield out()
-        encoder.forget()  # leaves the memory to what runs next in this worker
 
     return write
 

@@ -19,7 +19,7 @@ def library():
 
 def awkward_texts(seed=1, n=400):
     r = random.Random(seed)
-    atoms = ["the", "The", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\xa0", "᠎", " ", "don't", "'s", "12", "é", "ß", "Ġ", "Ċ", "漢字", "!!", "###", "<|endoftext|>", "x" * 80, "​", "á", "🙂"]
+    atoms = ["the", "The", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\xa0", "᠎", " ", "don't", "'s", "12", "é", "ß", "Ġ", "Ċ", "漢字", "!!", "###", "<|endoftext|>", "x" * 80, "a", "Ü", "÷", "×", "_", "-", "''", "'re", "endoftext", "|>", "...", "​", "á", "🙂"]
     return ["".join(r.choice(atoms) for _ in range(r.randrange(30))) for _ in range(n)]
 
 
