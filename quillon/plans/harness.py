@@ -157,6 +157,20 @@ def paired_run(given: Fixtures, *, rerank_depth: int = 5, threads: int = 1, cach
     return out
 
 
+def retrieval_gates(report: dict, *, k: int = 10, speed: float = 0.25, quality: float = 0.02) -> dict[str, bool]:
+    """An extension: the declared gates over a report of retrieval_run().
+
+    The binary lane takes at most ``speed`` of the exact lane's median, and the reranked lane's nDCG is at most
+    ``quality`` below the exact lane's.
+    """
+    of = report["metrics"]
+    exact = of["lance-mv"]
+    return {
+        "g_retrieval_speed": of["hamming-udf-bin"]["p50_ms"] <= speed * exact["p50_ms"],
+        "g_retrieval_quality": of["binary-then-fp16-rerank"][f"ndcg@{k}"] >= exact[f"ndcg@{k}"] - quality,
+    }
+
+
 def evidence_samples(given: Fixtures, *, rerank_depth: int = 2, k: int = 3) -> DataFrame:
     """A batch of samples: each query's text, evidence and target."""
     docs, fitted = given.documents()

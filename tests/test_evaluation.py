@@ -94,7 +94,7 @@ def test_judge_audit_and_gates(spark):
     assert tuple(triage.audit_summary(done, names=names, tools=[]).first()) == (0, 0)
     assert tuple(triage.gates(done, names=names).first()) == (True, True) and tuple(triage.gates(done.limit(0), names=names).first()) == (True, True)
     assert tuple(triage.gates(done, names=names, tool="other").first()) == (False, False)
-    stray = judged(spark).withColumn("evidence", judged(spark)["evidence"]) if False else triage.judge(triage.decide(samples(spark, [("q1", "phishing", [("a", 1.0, "hybrid", "t")])])).selectExpr("*", "'x' expected_action", "'y' expected_disposition", "array('a') expected_evidence_ids", "'k' rationale_keyword").withColumn("cited_evidence_ids", triage.F.array(triage.F.lit("a"), triage.F.lit("zz"))))
+    stray = triage.judge(triage.decide(samples(spark, [("q1", "phishing", [("a", 1.0, "hybrid", "t")])])).selectExpr("*", "'x' expected_action", "'y' expected_disposition", "array('a') expected_evidence_ids", "'k' rationale_keyword").withColumn("cited_evidence_ids", triage.F.array(triage.F.lit("a"), triage.F.lit("zz"))))
     assert stray.first().evidence_grounding == 0.0
 
 
@@ -151,6 +151,13 @@ def test_retrieval_runs(given, tmp_path):
             harness.retrieval_run(given, **bad)
 
 
+def test_retrieval_gates_and_boundary_ties(spark):
+    report = {"metrics": {"lance-mv": {"p50_ms": 8.0, "ndcg@10": 0.9}, "hamming-udf-bin": {"p50_ms": 2.0}, "binary-then-fp16-rerank": {"ndcg@10": 0.87}}}
+    assert harness.retrieval_gates(report) == {"g_retrieval_speed": True, "g_retrieval_quality": False}
+    scored = spark.createDataFrame([("a", 2.0, 1), ("a", 1.0, 2), ("a", 1.0, 3), ("b", 2.0, 1), ("b", 1.0, 2)], "query_id string, score double, rank int")
+    assert {r.query_id: r.tied for r in metrics.boundary_ties(scored, 2).collect()} == {"a": True, "b": False}
+
+
 def test_reasoning_and_disposition_runs(spark, given, folder, tmp_path):
     out = harness.reasoning_run(given, out_json=tmp_path / "t2.json", out_trace=tmp_path / "trace.jsonl")
     assert out["metrics"] == pytest.approx({"action_validity": 1.0, "evidence_grounding": 1.0, "specificity": 1.0, "calibration": 0.945})
