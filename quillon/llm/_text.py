@@ -73,10 +73,34 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, accents: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Code points of scripts without blanks between words, and full-width and CJK punctuation: first and last of each range.
+_UNSPACED = [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3040, 0x30FA), (0x30FC, 0x312F), (0x3190, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+_WIDE_MARKS = [(0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+
+
+def _within(points: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    bounds = np.array(ranges).ravel() + np.tile([0, 1], len(ranges))
+    return np.searchsorted(bounds, points, "right") % 2 == 1
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of characters that are words, their ends, bytes of wide punctuation) of valid UTF-8."""
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return at, at, at
+    four = data[at] >= 0xF0
+    b = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+    three = (b[0] & 0x0F) << 12 | b[1] << 6 | b[2]
+    points = np.where(four, (b[0] & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3], three)
+    alone, marks = _within(points, _UNSPACED), at[_within(points, _WIDE_MARKS)]
+    return at[alone], at[alone] + 3 + four[alone], (marks[:, None] + np.arange(3)).ravel()
+
+
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, accents: bool = False, unspaced: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes, bounds): byte positions and hashes of all words; row i has words bounds[i]:bounds[i+1].
 
     between: which bytes stand between words. accents: the capitals of Latin-1 hash like their small letters, too.
+    unspaced: characters of scripts without blanks are words, and wide punctuation stands between words.
     """
     base = int(offsets[0])
     data, offsets = data[base : int(offsets[-1])], offsets - base
@@ -92,6 +116,10 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, a
     first, last = ink.copy(), ink.copy()
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    if unspaced:
+        begin, end, marks = _characters(data)
+        cut[begin] = cut[end] = True
+        ink[marks] = first[marks] = last[marks] = False
     first[1:] &= ~ink[:-1] | cut[1:n]
     last[:-1] &= ~ink[1:] | cut[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1

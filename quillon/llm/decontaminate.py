@@ -2,8 +2,9 @@
 
 The n-grams of the test items are counted over all documents; the rarer ones of each item are its seeds. Where a
 document has a seed, the words around it are aligned with the item. An alignment's score is its share of a perfect one,
-so paraphrased or edited copies are found as well as exact ones. A word here is a run of ASCII letters and digits and of
-other characters than ASCII; case is ignored, that of accented Latin-1 letters included.
+so paraphrased or edited copies are found as well as exact ones. Items of few words are looked for by exact match of all
+their words. A word here is a run of ASCII letters and digits and of other characters than ASCII; in scripts without
+blanks each character is one. Case is ignored, that of accented Latin-1 letters included.
 
 Items are collected in blocks of bounded size, and each block's index is broadcast to two passes over the documents.
 """
@@ -25,7 +26,7 @@ from quillon.llm._text import runs, shingles, utf8
 SEED_WORDS = 3
 #: Share of an item's n-grams, the rarest first, that are seeds.
 SEED_SHARE = 0.75
-#: Items of fewer words cannot be told from chance and are not looked for.
+#: Items of fewer words are not aligned, as parts of them cannot be told from chance; they are found as a whole.
 LEAST_WORDS = 8
 #: What a matching word earns, and what another or a missing word costs.
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -38,7 +39,7 @@ _BETWEEN = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97,
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return _text.words(data, offsets, _BETWEEN, accents=True)
+    return _text.words(data, offsets, _BETWEEN, accents=True, unspaced=True)
 
 
 
@@ -51,6 +52,7 @@ class Index:
     items: np.ndarray
     places: np.ndarray
     sieve: np.ndarray
+    short: dict[int, tuple[np.ndarray, list[list[int]]]]  # by number of words: sorted hashes of whole items, and their ids
 
 
 def _sieve(keys: np.ndarray) -> np.ndarray:
@@ -63,8 +65,11 @@ def build_index(items: list[tuple[int, str]], seed_words: int) -> Index:
     data, offsets = utf8(pa.array([t for _, t in items], pa.large_string()))
     _, _, hashes, bounds = words(data, offsets)
     ids, own_words, grams, of_item, place = [], [], [], [], []
+    least, whole = max(LEAST_WORDS, seed_words), {}
     for (item, _), i, j in zip(items, bounds, bounds[1:]):
-        if j - i < max(LEAST_WORDS, seed_words):
+        if j - i < least:
+            if j > i:
+                whole.setdefault(int(j - i), {}).setdefault(int(shingles(hashes[i:j], int(j - i))[0]), []).append(item)
             continue
         g = shingles(hashes[i:j], seed_words)
         grams.append(g)
@@ -72,13 +77,14 @@ def build_index(items: list[tuple[int, str]], seed_words: int) -> Index:
         place.append(np.arange(len(g)))
         ids.append(item)
         own_words.append(hashes[i:j])
-    return _index(ids, own_words, *(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (grams, of_item, place)))
+    short = {size: (np.array(sorted(own), np.uint64), [own[h] for h in sorted(own)]) for size, own in whole.items()}
+    return _index(ids, own_words, *(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (grams, of_item, place)), short)
 
 
-def _index(ids, own_words, grams, of_item, place) -> Index:
+def _index(ids, own_words, grams, of_item, place, short) -> Index:
     order = np.argsort(grams, kind="stable")
     keys, first = np.unique(grams[order], return_index=True)
-    return Index(ids, own_words, keys.astype(np.uint64), np.concatenate((first, [len(order)])), of_item[order].astype(np.int64), place[order].astype(np.int64), _sieve(keys.astype(np.uint64)))
+    return Index(ids, own_words, keys.astype(np.uint64), np.concatenate((first, [len(order)])), of_item[order].astype(np.int64), place[order].astype(np.int64), _sieve(keys.astype(np.uint64)), short)
 
 
 def seeds_only(index: Index, counts: np.ndarray, share: float) -> Index:
@@ -90,7 +96,7 @@ def seeds_only(index: Index, counts: np.ndarray, share: float) -> Index:
         distinct = np.unique(key_of[at])
         ranked = distinct[np.argsort(counts[distinct], kind="stable")][: max(1, int(np.ceil(share * len(distinct))))]
         keep[at[np.isin(key_of[at], ranked)]] = True
-    return _index(index.ids, index.item_words, index.keys[key_of[keep]], index.items[keep], index.places[keep])
+    return _index(index.ids, index.item_words, index.keys[key_of[keep]], index.items[keep], index.places[keep], index.short)
 
 
 def _hits(index: Index, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +151,31 @@ def passages(index: Index, own: np.ndarray, seed_words: int, limit: float) -> It
                 yield int(k), score / (MATCH * size), lo + end - back, lo + end
 
 
+def exact(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item id, first word, end word) of each copy of a short item in the words of rows; copies do not overlap."""
+    for size, (keys, ids) in index.short.items():
+        if len(hashes) < size:
+            continue
+        grams = shingles(hashes, size)
+        key = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        at = np.flatnonzero(keys[key] == grams)
+        row = np.searchsorted(bounds, at, "right") - 1
+        inside = at + size <= bounds[row + 1]
+        free: dict[tuple[int, int], int] = {}
+        for i, k, n in zip(row[inside].tolist(), key[at[inside]].tolist(), at[inside].tolist()):
+            if n >= free.get((i, k), 0):
+                free[i, k] = n + size
+                for item in ids[k]:
+                    yield i, item, n, n + size
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, seed_share: float = SEED_SHARE, limit: float = LIMIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per passage of a document that is one of a test item: (doc_id, item_id, score, first_byte, end_byte).
 
     score is the alignment's share of a perfect one, at least limit and at most 1; the bytes bound the passage in the
-    UTF-8 text. A document has a row for each item and each separate passage. Null, empty and short texts have none, nor
-    have items that are null or have fewer than LEAST_WORDS words; null ids stay null. Repeated documents have their
+    UTF-8 text. A document has a row for each item and each separate passage. Items of fewer than LEAST_WORDS words (or
+    seed_words) must be met word for word and have score 1; one of a single word is in each text that has the word. Null
+    texts, texts without words and items that are null or have no words have no rows; null ids stay null. Repeated documents have their
     rows each, repeated items too. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -204,6 +229,8 @@ def _search(spark, texts: DataFrame, whole: Index, seed_words: int, share: float
             rows: list[tuple] = []
             for i, j in runs(offsets):
                 starts, ends, hashes, bounds = words(data, offsets[i : j + 1])
+                for k, item, first, end in exact(index, hashes, bounds):
+                    rows.append((i + k, item, 1.0, int(starts[first]) - int(offsets[i + k] - offsets[i]), int(ends[end - 1]) - int(offsets[i + k] - offsets[i])))
                 if len(hashes) < seed_words:
                     continue
                 at, _ = _hits(index, shingles(hashes, seed_words))

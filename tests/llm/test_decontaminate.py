@@ -85,3 +85,21 @@ def test_a_passage_in_every_document_is_found(spark):
     docs, items = corpus()
     frame = spark.createDataFrame([(k, t.lower() + " " + items[0][1]) for k, t in docs], "doc_id long, text string")
     assert d.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).where("item_id = 100").count() == len(docs)
+
+
+def test_short_items_are_found_word_for_word(spark):
+    docs = [(1, "so: Name, the Capital of FRANCE! name the capital of France"), (2, "name the capital of Spain"), (3, "of France"), (4, ""), (5, "France name the capital of"), (6, None), (7, "x y"), (8, "x y")]
+    items = [(10, "Name the capital of France?"), (11, "of france"), (12, "x"), (None, "x y"), (13, "?!"), (14, "y x")]
+    found = d.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = sorted((r.doc_id, str(r.item_id), r.score, dict(docs)[r.doc_id].encode()[r.first_byte : r.end_byte].decode().lower()) for r in found)
+    copies = ["name the capital of france", "name, the capital of france"]
+    assert got == sorted([(1, "10", 1.0, c) for c in copies] + [(1, "11", 1.0, "of france")] * 2 + [(3, "11", 1.0, "of france")] + [x for k in (7, 8) for x in ((k, "12", 1.0, "x"), (k, "None", 1.0, "x y"))])
+
+
+def test_scripts_without_blanks(spark):
+    items = [(1, "下列哪一项最能说明光合作用在植物生长过程中的重要性？请选择正确的答案，并说明理由。"), (2, "ข้อใดต่อไปนี้อธิบายการสังเคราะห์แสงของพืชได้ดีที่สุด"), (3, "東京はどこですか。")]
+    texts = [f"前文。{items[0][1].replace('最能', '能够')}后文", f"ก่อนหน้า{items[1][1]}หลังจาก", "問い：東京はどこですか？", "这是一篇关于天气的文章，与考试没有任何关系。", "before " + items[0][1] + " after"]
+    found = d.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.score, texts[r.doc_id].encode()[r.first_byte : r.end_byte].decode()) for r in found}
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (4, 1)} and len(found) == 4
+    assert got[1, 2] == (1.0, items[1][1]) and got[2, 3] == (1.0, "東京はどこですか") and got[4, 1] == (1.0, items[0][1][:-1]) and 0.8 < got[0, 1][0] < 1
