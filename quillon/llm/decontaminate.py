@@ -140,15 +140,18 @@ def passages(index: Index, own: np.ndarray, seed_words: int, limit: float) -> It
         last = np.minimum(starts + room, len(own))
         opens = np.flatnonzero(np.concatenate(([True], first[1:] > np.maximum.accumulate(last)[:-1])))
         for i, j in zip(opens, [*opens[1:], len(starts)]):
-            lo, hi = int(first[i]), int(last[i:j].max())
-            text = own[lo:hi]
-            # no alignment earns more than the item's words that the text has
-            if np.isin(wanted, text).sum() < limit * size:
-                continue
-            score, end = align(wanted, text)
-            if score >= limit * MATCH * size:
-                _, back = align(wanted[::-1], text[:end][::-1])
-                yield int(k), score / (MATCH * size), lo + end - back, lo + end
+            windows = [(int(first[i]), int(last[i:j].max()))]
+            while windows:  # the best passage of a window, then what is left of it and right of it
+                lo, hi = windows.pop()
+                text = own[lo:hi]
+                # no alignment earns more than the item's words that the text has
+                if np.isin(wanted, text).sum() < limit * size:
+                    continue
+                score, end = align(wanted, text)
+                if score >= limit * MATCH * size:
+                    _, back = align(wanted[::-1], text[:end][::-1])
+                    yield int(k), score / (MATCH * size), lo + end - back, lo + end
+                    windows += [(lo, lo + end - back), (lo + end, hi)]
 
 
 def exact(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

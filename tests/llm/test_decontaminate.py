@@ -103,3 +103,13 @@ def test_scripts_without_blanks(spark):
     got = {(r.doc_id, r.item_id): (r.score, texts[r.doc_id].encode()[r.first_byte : r.end_byte].decode()) for r in found}
     assert set(got) == {(0, 1), (1, 2), (2, 3), (4, 1)} and len(found) == 4
     assert got[1, 2] == (1.0, items[1][1]) and got[2, 3] == (1.0, "東京はどこですか") and got[4, 1] == (1.0, items[0][1][:-1]) and 0.8 < got[0, 1][0] < 1
+
+
+def test_each_copy_of_an_item_is_a_passage(spark):
+    item = "which of these ten words stands first in the list"
+    texts = [" ".join([item] * 5), f"{item} and then {item} x {item.replace('ten ', '')}", item]
+    frame, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = sorted((r.doc_id, r.first_byte, r.end_byte) for r in d.find(frame, bench).collect())
+    step, last = len(item) + 1, len(item) * 2 + 13
+    assert found == [(0, k * step, k * step + step - 1) for k in range(5)] + [(1, 0, len(item)), (1, len(item) + 10, last - 3), (1, last, len(texts[1])), (2, 0, len(item))]
+    assert {r.doc_id: r.passages for r in d.contaminated(frame, bench).collect()} == {0: 5, 1: 3, 2: 1}
