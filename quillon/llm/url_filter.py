@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._cluster import Scratch
 
-#: Segments of a template; what is deeper is one last wildcard.
+#: Levels of segments below the first that each template has, empty where its path ends before; longer paths have more.
 DEPTH = 3
 #: A node with more children than this has its rare ones, below the share, generalised.
 WIDE, RARE = 16, 0.05
@@ -48,9 +48,8 @@ def by_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return (none, none) if rule is None else (rule, verdict)
 
 
-def _segments(path: Column) -> list[Column]:
-    plain = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return [F.when(F.size(plain) > k, F.element_at(plain, k + 1)).otherwise("") for k in range(DEPTH)] + [F.when(F.size(plain) > DEPTH, "**").otherwise("")]
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
 
 
 def _generalise(rows: DataFrame, above: list[str], level: str) -> DataFrame:
@@ -61,15 +60,15 @@ def _generalise(rows: DataFrame, above: list[str], level: str) -> DataFrame:
     return rows.join(rare, [*above, level], "left").withColumn(level, F.coalesce("wild", level)).drop("wild")
 
 
-def _rejected(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    """(host, r0..r3, bad_template) of rows(host, r0..r3, n, labelled, bad), one for each raw template.
+def _rejected(scratch: Scratch, rows: DataFrame, depth: int) -> DataFrame:
+    """(host, segments, bad_template) of rows(host, segments, n, labelled, bad), one for each raw template. depth is the
+    most segments of one.
 
     Each step is written, as the next one reads it more than once.
     """
-    raw = [f"r{k}" for k in range(DEPTH + 1)]
-    levels = [f"t{k}" for k in range(DEPTH + 1)]
-    tree = rows.select("*", *(F.col(r).alias(t) for r, t in zip(raw, levels)))
-    for k in range(DEPTH):
+    levels = [f"t{k}" for k in range(max(depth, DEPTH + 1))]
+    tree = rows.select("*", *(F.coalesce(F.get("segments", F.lit(k)), F.lit("")).alias(t) for k, t in enumerate(levels)))
+    for k in range(max(depth, DEPTH)):
         tree = scratch.table(_generalise(tree, ["host", *levels[:k]], levels[k]), "tree")
 
     # a branch's shape: its children's shares in quarters; its purity: that of the labelled pages, in quarters
@@ -85,13 +84,16 @@ def _rejected(scratch: Scratch, rows: DataFrame) -> DataFrame:
     share = rows.agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
     share = share.select(F.least((F.coalesce("all_bad", F.lit(0)) + 1.0) / (F.coalesce("all_labelled", F.lit(0)) + 10.0), F.lit(LIMIT / 2)).alias("prior"))
     nodes = tree.groupBy(*path).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(share)  # one row
-    for depth in range(1, len(path) + 1):
-        keys = path[:depth]
+    for k in range(len(path)):
+        keys = path[: k + 1]
         sums = nodes.groupBy(*keys).agg(F.sum("bad").alias("node_bad"), F.sum("labelled").alias("node_labelled"))
-        nodes = nodes.join(sums, keys).withColumn("prior", (F.col("node_bad") + SMOOTHING * F.col("prior")) / (F.col("node_labelled") + SMOOTHING))
+        smoothed = (F.col("node_bad") + SMOOTHING * F.col("prior")) / (F.col("node_labelled") + SMOOTHING)
+        # a path that has ended is not smoothed again because of longer ones elsewhere
+        nodes = nodes.join(sums, keys).withColumn("prior", smoothed if k <= DEPTH + 1 else F.when(F.col(path[k]) != "", smoothed).otherwise(F.col("prior")))
         nodes = scratch.table(nodes.drop("node_bad", "node_labelled"), "nodes")
     found = nodes.select(*path, (F.col("prior") >= LIMIT).alias("bad_template"), F.col("prior").alias("badness"))
-    return tree.join(found, path).select("host", *raw, "bad_template", "badness", F.concat_ws("/", "host", "branch", *levels[1:]).alias("template"))
+    deeper = [F.when(F.col(t) != "", F.col(t)) for t in levels[DEPTH + 1 :]]
+    return tree.join(found, path).select("host", "segments", "bad_template", "badness", F.concat_ws("/", "host", "branch", *levels[1 : DEPTH + 1], *deeper).alias("template"))
 
 
 def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = (), bad: Column | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -100,16 +102,18 @@ def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = (), bad:
     ``bad`` is a boolean column of pages that labels a page as bad or good, or is null. verdict is that of the longest
     fitting rule, else ``block`` where the page's template is rejected, else ``allow``. Null urls and urls without
     ``://`` have an empty host and path; they share one template. Repeated rows are judged alike, and count again in the
-    trees; null ids stay null. An empty table gives no rows; other columns are not read.
+    trees; null ids stay null. The tree has a level for each segment of the longest path, written
+    in turn. An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col(url_col).cast("string"))
     label = F.lit(None).cast("boolean") if bad is None else bad
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"), label.alias("bad"))
-    raw = [f"r{k}" for k in range(DEPTH + 1)]
-    rows = scratch.table(rows.select("*", *(s.alias(r) for s, r in zip(_segments(F.col("path")), raw))), "rows")
-    counted = rows.groupBy("host", *raw).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"))
-    verdicts = scratch.table(_rejected(scratch, scratch.table(counted, "templates")), "verdicts")
+    rows = scratch.table(rows.withColumn("segments", _segments(F.col("path"))), "rows")
+    counted = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"))
+    counted = scratch.table(counted, "templates")
+    depth = counted.agg(F.max(F.size("segments"))).first()[0] or 0
+    verdicts = scratch.table(_rejected(scratch, counted, depth), "verdicts")
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
-    named = rows.join(verdicts, ["host", *raw])
+    named = rows.join(verdicts, ["host", "segments"])
     return named.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_template"), "block").otherwise("allow")).alias("verdict"), "template", "badness")

@@ -42,6 +42,20 @@ def test_wildcards_and_merged_branches(spark):
     assert got[1000].verdict == "block" and got[1002].verdict == "allow"
 
 
+def test_sections_deep_in_paths_are_told_apart(spark):
+    """Bad and good sections that part at the fourth or the seventh segment; short paths are judged as without them."""
+    short = [(i, f"http://h/{'pq'[i % 2]}/{i}", i % 2 == 0) for i in range(12)]
+    rows = [(100 * k + i, f"http://{host}/{'/'.join('abcdef'[:n])}/{section}/{i}", section == "casino") for host, n in (("x", 3), ("y", 6)) for k, section in ((n, "casino"), (n + 10, "news")) for i in range(20)]
+    got = judged(spark, short + rows)
+    assert {r[0]: got[r[0]].verdict for r in rows} == {r[0]: "block" if r[2] else "allow" for r in rows}
+    assert len({got[r[0]].template for r in rows}) == 4 and got[300].template.endswith("/b/c/casino/#")
+    letters = [a + b for a in "abcdefghij" for b in "klmno"]
+    wide = judged(spark, [(i, f"http://z/a/b/c/d/{s}/{i}", True) for i, s in enumerate(letters)])
+    assert {r.template.split("/")[-2:] == ["*", "#"] for r in wide.values()} == {True} and len({r.template for r in wide.values()}) == 1
+    alone = judged(spark, [*short, *((r[0], r[1].replace("http://y/a/b/c/d/e/f", "http://y/a/b/c"), r[2]) for r in rows)])
+    assert [(got[i].template, got[i].badness) for i, *_ in short] == [(alone[i].template, alone[i].badness) for i, *_ in short]
+
+
 def test_empty_table_and_null_ids(spark):
     frame = spark.createDataFrame([(None, "http://h/x"), (None, "http://h/x")], "page_id long, url string")
     assert [(r.page_id, r.verdict) for r in url_filter.judge(frame).collect()] == [(None, "allow")] * 2
