@@ -1,8 +1,8 @@
 """Exact duplicates by content-defined chunk recipes.
 
 A text loses its white space and is cut where a rolling hash of the last WINDOW bytes says so, so equal passages give
-equal chunks wherever they stand. A chunk's identifier is its BLAKE2b-128 digest, verified by its length and CRC: equal
-digests of different chunks would still be different identifiers. A text is then its recipe, the ordered list of
+equal chunks wherever they stand. A chunk's identifier is its BLAKE2b-128 digest with its length and CRC. It is not
+verified: different chunks that agree in all three would be one, as no chunk's content is held against another's. A text is then its recipe, the ordered list of
 identifiers, and texts are equal when these lists are. Only recipes are shuffled; long documents stay where they are.
 """
 
