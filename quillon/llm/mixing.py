@@ -10,6 +10,7 @@ order seeded anew for each epoch.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +79,16 @@ def budgets(leaves: DataFrame, *, budget: tuple[int, int], max_epochs: int, weig
     return node.select(*LEVELS, "tokens", F.col("budget").alias("given"))
 
 
+def _described(domain: Column | None, tokens: Column | None, id_col: str, text_col: str) -> list[Column]:
+    """Columns of the rows: doc_id, the leaf, tokens and text_md5."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return [
+        F.col(id_col).cast("bigint").alias("doc_id"), (F.left(source, F.lit(4)) if domain is None else F.coalesce(domain, F.lit(""))).alias("domain"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"), (words(text) if tokens is None else tokens.cast("bigint")).alias("tokens"), F.md5(text).alias("text_md5"),
+    ]
+
+
 def select(
     docs: DataFrame,
     *,
@@ -99,12 +110,7 @@ def select(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), (F.left(source, F.lit(4)) if domain is None else F.coalesce(domain, F.lit(""))).alias("domain"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"), (words(text) if tokens is None else tokens.cast("bigint")).alias("tokens"), F.md5(text).alias("text_md5"),
-    )
+    rows = docs.select(*_described(domain, tokens, id_col, text_col))
     rows = scratch.table(rows, "rows")
     leaves = scratch.table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "leaves")
     plan = budgets(leaves, budget=budget, max_epochs=max_epochs, weights=weights).where("given > 0")
@@ -128,13 +134,26 @@ def select(
     return full.select(*rows.columns, "epoch").unionByName(last).select("doc_id", *LEVELS, "tokens", "epoch", "text_md5")
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that select() takes, with all their columns; once for each epoch that takes them."""
-    taken = select(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("taken_id"), F.col("text_md5").alias("taken_md5")).agg(F.count("*").alias("rows_taken"))
-    md5 = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), md5.alias("md5"))
-    there = docs.groupBy(F.col(id_col).cast("bigint").alias("id"), md5.alias("md5")).agg(F.count("*").alias("rows_there"))
-    same = F.col("taken_id").eqNullSafe(F.col("id")) & (F.col("taken_md5") == F.col("md5"))
-    times = taken.join(there, same).select("taken_id", "taken_md5", F.expr("rows_taken div rows_there").alias("times")).where("times > 0")
-    found = whole.join(times, same).withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
-    return found.select("row.*")
+def mixed(docs: DataFrame, *, domain: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that select() takes, with all their columns; once for each epoch that takes them.
+
+    Of rows with equal id, text and leaf, the first ones in the table have what their takings leave over.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    keys = ["doc_id", *LEVELS, "tokens", "text_md5"]
+    own = _described(domain, tokens, id_col, text_col)
+    taken = select(docs, domain=domain, tokens=tokens, id_col=id_col, text_col=text_col, **options).groupBy(*keys).agg(F.count("*").alias("rows_taken"))
+    there = docs.select(*own).groupBy(*keys).agg(F.count("*").alias("rows_there"))
+    times = taken.alias("a").join(there.alias("b"), _same("a", "b", keys)).select("a.*", F.expr("rows_taken div rows_there").alias("times"), (F.col("rows_taken") % F.col("rows_there")).alias("over"))
+    times = scratch.table(times, "times")
+    whole = docs.select(F.struct("*").alias("row"), *own).alias("w")
+    each = whole.join(times.where("times > 0").alias("t"), _same("w", "t", keys)).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    left = scratch.table(times.where("over > 0"), "over")  # its size is known then, and where it is small no text is shuffled
+    first = Window.partitionBy(*(f"t.{k}" for k in keys)).orderBy("place")
+    rest = whole.withColumn("place", F.monotonically_increasing_id()).alias("w").join(left.alias("t"), _same("w", "t", keys))
+    rest = rest.withColumn("nth", F.row_number().over(first)).where("nth <= over")
+    return each.select("row.*").unionByName(rest.select("row.*"))
+
+
+def _same(one: str, other: str, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"{one}.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys))

@@ -99,6 +99,17 @@ def test_whole_rows(spark):
     assert got.columns == frame.columns and sorted(str((r.doc_id, r.source or "")) for r in got.collect()) == sorted(str((r.doc_id, r.source)) for r in want.collect())
 
 
+def test_equal_rows_share_what_is_taken(spark):
+    """Two equal rows of which the cut takes one, three of which it takes two, and equal texts in two sources of which one is taken."""
+    rows = [(1, "a b", "en", "src1", k) for k in range(2)] + [(None, "a b c", "en", "src2", k) for k in range(3)] + [(5, "x", "en", s, s) for s in ("src3", "src4")]
+    frame = spark.createDataFrame([(*r[:4], str(r[4])) for r in rows], "doc_id long, text string, lang string, source string, extra string").repartition(3)
+    for budget, epochs, weights in (((2, 3), 1, {}), ((3, 2), 2, {"source": {"src3": 0}})):
+        options = {"budget": budget, "max_epochs": epochs, "weights": weights, "seed": 3}
+        want = sorted(str((r.doc_id, r.source, r.tokens)) for r in mixing.select(frame, **options).collect())
+        got = mixing.mixed(frame, **options).collect()
+        assert sorted(str((r.doc_id, r.source, WORDS(r.text))) for r in got) == want and want
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.select(frame, budget=(1, 2), max_epochs=1, seed=1).collect() == []
