@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,21 +31,54 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session, whose executors are threads of
+    the driver, gets one of its own where that is unset; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_broadcasts: list[Broadcast] = []
+
+
+def broadcast(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that written() takes back."""
+    _broadcasts.append(spark.sparkContext.broadcast(value))
+    return _broadcasts[-1]
+
+
+@contextmanager
+def written(spark: SparkSession) -> Iterator[None]:
+    """What operators broadcast within is taken back at the end, when their results must be written. Then the driver
+    collects its garbage: Spark's cleaner frees the shuffles and broadcasts of finished plans only after that."""
+    before = len(_broadcasts)
+    yield
+    while len(_broadcasts) > before:
+        _broadcasts.pop().destroy()
+    spark._jvm.System.gc()
+
+
 class Scratch:
-    """Tables written in the shared folder. They cut the lineage, and outlive any executor."""
+    """Tables written in the shared folder. They cut the lineage, and outlive any executor. What is not dropped before
+    is deleted when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        root, files = self._at(self.root)
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+
+    def _at(self, path: str):
+        """(path, its file system) of Hadoop."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, tag: str) -> str:
         self.made += 1
@@ -56,11 +92,11 @@ class Scratch:
         back._quillon_path = path
         return back
 
-    def drop(self, frame: DataFrame) -> None:
-        """Delete a table made here, once nothing will read it again."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(frame._quillon_path)
-        path.getFileSystem(conf).delete(path, True)
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables made here, once nothing will read them again."""
+        for frame in frames:
+            path, files = self._at(frame._quillon_path)
+            files.delete(path, True)
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Words, word hashes and shingles of UTF-8 text, computed on whole Arrow buffers.
 
-A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; A-Z are lower-cased. Hashes have 64 bits.
+A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; A-Z are lower-cased. Hashes have 64 bits. They take
+eight bytes at a time, each through a bijection that is not linear, so that no regular texts have equal hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +16,6 @@ import pyarrow as pa
 RUN_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -29,27 +29,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_values() -> np.ndarray:
-    low = np.arange(256, dtype=np.uint64)
-    low[65:91] += _U(32)
-    values = mix(low + _U(0x1234567))
-    values[_SPACE] = 0
-    return values
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Longer pieces of text are hashed by BLAKE2b.
+_SHORT = 64
 
 
-_VALUES = _byte_values()
-_POWERS: dict[str, np.ndarray] = {}
+def block(padded: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first size bytes, eight at most, from each place on as little-endian integers. padded has eight spare bytes."""
+    view = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    return view[at] & _LOW_BYTES[np.minimum(size, 8)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, RUN_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, _U(base & (2**64 - 1)))
-            steps[0] = 1
-            _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate((data, np.zeros(8, np.uint8)))
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes between starts and ends."""
+    whole, size = padded(data), ends - starts
+    out = mix(size.astype(np.uint64))
+    rest = np.arange(len(starts))
+    for k in range(0, _SHORT, 8):
+        rest = rest[size[rest] > k] if k else rest
+        if not len(rest):
+            break
+        out[rest] = mix((out[rest] + _U(k)) ^ block(whole, starts[rest] + k, size[rest] - k))
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +132,7 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, a
     first[1:] &= ~ink[:-1] | cut[1:n]
     last[:-1] &= ~ink[1:] | cut[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return starts, ends, hashes_of(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -138,5 +143,5 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     k = min(size, n)
     out = np.full(n - k + 1, _U(k))
     for j in range(k):
-        out = out * _U(0xD6E8FEB86659FD93) + hashes[j : n - k + 1 + j]
-    return mix(out)
+        out = mix((out + _U(j)) ^ hashes[j : n - k + 1 + j])
+    return out

@@ -1,15 +1,17 @@
 """Exact duplicates by content-defined chunk recipes.
 
 A text loses its white space and is cut where a rolling hash of the last WINDOW bytes says so, so equal passages give
-equal chunks wherever they stand. A chunk's identifier is its BLAKE2b-128 digest with its length and CRC. It is not
-verified: different chunks that agree in all three would be one, as no chunk's content is held against another's. A text is then its recipe, the ordered list of
-identifiers, and texts are equal when these lists are. Only recipes are shuffled; long documents stay where they are.
+equal chunks wherever they stand. A chunk's identifier is its BLAKE2b digest, and verified: the contents of all chunks
+whose digest occurs in more than one place are gathered by digest, each content once a task, and compared. Where two
+contents share a digest, all is done again with longer digests under another key. So identifiers are equal exactly
+where chunks are. A text is then its recipe, the ordered list of identifiers, and texts are equal when these lists are.
+
+Recipes are shuffled, and of the contents only what stands in several places, once; texts stay where they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +19,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._cluster import Scratch, ship
-from quillon.llm._text import _SPACE, _VALUES, powers, runs, utf8
+from quillon.llm._cluster import Scratch, broadcast, ship
+from quillon.llm._text import _SPACE, mix, runs, utf8
 
-WINDOW = 48
+#: Bytes that decide on a cut. A power of two.
+WINDOW = 32
 LEAST, MOST = 512, 16384
 #: A place is a cut with a chance of 2**-CUT_BITS.
 CUT_BITS = 11
-#: Bytes of an identifier: digest, length and CRC.
-IDENTIFIER = 24
+#: Bytes of an identifier.
+IDENTIFIER = 16
+#: Bits of the broadcast filter of digests in several places: 8 MB. Where it has others too, more contents are compared.
+FILTER_BITS = 26
+#: Bytes of contents that a task remembers as given already.
+REMEMBERED = 32 << 20
+
+_GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
     """The ends of the chunks of each row of data; of empty rows, none."""
-    n = len(data)
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_VALUES[data] | np.uint64(1)) * up[:n], out=sums[1:])
-    places = np.zeros(0, np.int64)
-    if n >= WINDOW:
-        rolling = (sums[WINDOW:] - sums[: n - WINDOW + 1]) * down[: n - WINDOW + 1]
-        rolling = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        places = np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
+    rolling = _GEAR[data]
+    k = 1
+    while k < WINDOW:  # sums of the last k values, each shifted by its distance
+        rolling[k:] = rolling[k:] + (rolling[:-k] << np.uint64(k))
+        k *= 2
+    places = np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + 1
     bounds = np.searchsorted(places, offsets)
     for row in range(len(offsets) - 1):
         at, end = int(offsets[row]), int(offsets[row + 1])
@@ -53,49 +59,122 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
         yield found
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_rows
-        data, offsets = utf8(batch.column(1))
-        chars, digests, recipes = np.zeros(n, np.int64), [], []
-        for i, j in runs(offsets):
-            own = data[offsets[i] : offsets[j]]
-            at = offsets[i : j + 1] - offsets[i]
-            points = np.concatenate(([0], np.cumsum((own & 0xC0) != 0x80)))  # bytes that begin a code point
-            chars[i:j] = np.diff(points[at])
-            ink = ~_SPACE[own]
-            at = np.concatenate(([0], np.cumsum(ink)))[at]
-            own = np.compress(ink, own)
-            raw = own.tobytes()
-            for row, ends in enumerate(cuts(own, at)):
-                first = int(at[row])
-                digests.append(hashlib.sha256(raw[first : int(at[row + 1])]).hexdigest())
-                recipe = []
-                for end in ends:
-                    chunk = raw[first:end]
-                    recipe.append(hashlib.blake2b(chunk, digest_size=16).digest() + len(chunk).to_bytes(4, "little") + zlib.crc32(chunk).to_bytes(4, "little"))
-                    first = end
-                recipes.append(b"".join(recipe))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars), pa.array(digests, pa.string()), pa.array(recipes, pa.binary())], names=["doc", "n_chars", "text_sha256", "recipe"])
-
-
-def recipes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_chars, text_sha256, recipe) per row: code points of the original text, the SHA-256 of the text without
-    white space, and its recipe of IDENTIFIER bytes a chunk. Null texts count as empty; empty texts have no chunks."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_recipes, "doc bigint, n_chars bigint, text_sha256 string, recipe binary")
+def _inked(column: pa.Array) -> Iterator[tuple[int, np.ndarray, bytes, np.ndarray]]:
+    """(first row, code points of each row, their bytes without white space, the bounds of rows) for runs of rows."""
+    data, offsets = utf8(column)
+    for i, j in runs(offsets):
+        own = data[offsets[i] : offsets[j]]
+        at = offsets[i : j + 1] - offsets[i]
+        points = np.concatenate(([0], np.cumsum((own & 0xC0) != 0x80)))  # bytes that begin a code point
+        ink = ~_SPACE[own]
+        yield i, np.diff(points[at]), np.compress(ink, own), np.concatenate(([0], np.cumsum(ink)))[at]
+
+
+def _digest(size: int, key: int):
+    return lambda chunk: hashlib.blake2b(chunk, digest_size=size, key=key.to_bytes(4, "little")).digest()
+
 
+def _recipes(size: int, key: int):
+    digest = _digest(size, key)
 
-def chunk_store(found: DataFrame) -> DataFrame:
-    """The distinct chunks of recipes(): identifier, n_bytes and uses, the number of places where it stands."""
-    at = F.sequence(F.lit(0), F.expr(f"length(recipe) div {IDENTIFIER} - 1"))
-    each = found.where(F.length("recipe") > 0).select(F.explode(at).alias("i"), "recipe").select(F.expr(f"substring(recipe, int(i) * {IDENTIFIER} + 1, {IDENTIFIER})").alias("identifier"))
-    size = sum((F.conv(F.hex(F.expr(f"substring(identifier, {17 + k}, 1)")), 16, 10).cast("bigint") * (1 << 8 * k) for k in range(4)), F.lit(0).cast("bigint"))
-    return each.groupBy("identifier").agg(F.count("*").alias("uses")).select("identifier", size.alias("n_bytes"), "uses")
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars, shas, recipes = np.zeros(batch.num_rows, np.int64), [], []
+            for i, points, own, at in _inked(batch.column(1)):
+                chars[i : i + len(points)] = points
+                raw = own.tobytes()
+                for row, ends in enumerate(cuts(own, at)):
+                    first = int(at[row])
+                    shas.append(hashlib.sha256(raw[first : int(at[row + 1])]).hexdigest())
+                    recipes.append(b"".join([digest(raw[a:b]) for a, b in zip([first, *ends], ends)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars), pa.array(shas, pa.string()), pa.array(recipes, pa.binary())], names=["doc", "n_chars", "text_sha256", "recipe"])
 
+    return go
 
-def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def recipes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = IDENTIFIER, key: int = 0) -> DataFrame:
+    """(doc, n_chars, text_sha256, recipe) per row: code points of the original text, the SHA-256 of the text without
+    white space, and its recipe of identifiers of size bytes. Null texts count as empty; empty texts have no chunks."""
+    ship(docs.sparkSession)
+    return _rows(docs, id_col, text_col).mapInArrow(_recipes(size, key), "doc bigint, n_chars bigint, text_sha256 string, recipe binary")
+
+
+def uses(found: DataFrame, size: int = IDENTIFIER) -> DataFrame:
+    """(identifier, uses) of the chunks of recipes(): the number of places where each stands."""
+    at = F.sequence(F.lit(0), F.expr(f"length(recipe) div {size} - 1"))
+    each = found.where(F.length("recipe") > 0).select(F.explode(at).alias("i"), "recipe").select(F.expr(f"substring(recipe, int(i) * {size} + 1, {size})").alias("identifier"))
+    return each.groupBy("identifier").agg(F.count("*").alias("uses"))
+
+
+def _bit(digest: bytes) -> int:
+    return int.from_bytes((digest + bytes(8))[:8], "little") & ((1 << FILTER_BITS) - 1)
+
+
+def _filter(shared: DataFrame) -> np.ndarray:
+    """Which values of the low FILTER_BITS bits the identifiers of shared(identifier) have. They come as one row for 64
+    bits, so the driver gets no more than the filter's own size."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(x) for x in batch.column(0).to_pylist()], pa.int64())], names=["bit"])
+
+    words = shared.mapInArrow(bits, "bit bigint").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    found = words.toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def contents(docs: DataFrame, shared: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = IDENTIFIER, key: int = 0) -> DataFrame:
+    """(identifier, content) of the chunks of docs whose identifier is in shared(identifier), and maybe of some others;
+    equal rows at most once for each time that a task's memory of them fills up."""
+    spark = docs.sparkSession
+    ship(spark)
+    wanted = broadcast(spark, np.packbits(_filter(shared)))  # of fixed size
+    digest = _digest(size, key)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(wanted.value).view(bool)
+        given: dict[bytes, bytes] = {}
+        held = 0
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for _, _, own, at in _inked(batch.column(1)):
+                raw = own.tobytes()
+                for row, ends in enumerate(cuts(own, at)):
+                    for a, b in zip([int(at[row]), *ends], ends):
+                        chunk = raw[a:b]
+                        name = digest(chunk)
+                        if there[_bit(name)] and given.get(name) != chunk:
+                            out.append((name, chunk))
+                            if held > REMEMBERED:
+                                given, held = {}, 0
+                            given[name] = chunk
+                            held += len(chunk) + 100
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["identifier", "content"])
+                out = []
+
+    return _rows(docs, id_col, text_col).mapInArrow(go, "identifier binary, content binary")
+
+
+def verified(scratch: Scratch, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = IDENTIFIER) -> tuple[DataFrame, int]:
+    """(recipes(), bytes of an identifier), where no two different chunks of docs have one identifier. Written tables."""
+    key = 0
+    while True:
+        found = scratch.table(recipes(docs, id_col=id_col, text_col=text_col, size=size, key=key), "recipes")
+        shared = uses(found, size).where("uses > 1").select("identifier")
+        chunks = contents(docs, shared, id_col=id_col, text_col=text_col, size=size, key=key)
+        if not chunks.groupBy("identifier").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi").take(1):
+            return found, size
+        scratch.drop(found)
+        size, key = min(2 * size, 64), key + 1
+
+
+def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = IDENTIFIER) -> DataFrame:
     """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256, n_chunks).
 
     Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``; null counts as empty, so null, empty and
@@ -104,15 +183,24 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     keep_id, so repeated rows of that id are all marked. group_size counts rows. An empty table gives no rows; other
     columns of docs are not read.
     """
-    found = Scratch(docs.sparkSession, "chunks").table(recipes(docs, id_col=id_col, text_col=text_col), "recipes")
+    found, size = verified(Scratch(docs.sparkSession, "chunks"), docs, id_col=id_col, text_col=text_col, size=size)
     best = F.max(F.struct("n_chars", F.bitwise_not("doc").alias("turned")))  # the complement turns the order of ids round
     groups = found.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("recipe", F.bitwise_not("best.turned").alias("keep_id"), "group_size")
     named = found.join(groups, "recipe")
-    return named.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", F.col("doc").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.expr(f"length(recipe) div {IDENTIFIER}").alias("n_chunks"))
+    return named.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", F.col("doc").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.expr(f"length(recipe) div {size}").alias("n_chunks"))
 
 
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that duplicates() marks as kept, with all their columns; of repeated rows of a kept id one."""
-    kept = duplicates(docs, id_col=id_col, text_col=text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """The rows of docs that stay, with all their columns: one for each group of equal texts, and so for null, empty and
+    blank ones together. It is the row with the most code points, then the smallest id, null ids last; of rows that tie,
+    also with other columns, any one. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "chunks")
+    at = "_quillon_row"
+    numbered = scratch.table(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
+    found, _ = verified(scratch, numbered.select(F.col(at).alias("row"), F.col(text_col).alias("text")), id_col="row")
+    named = found.withColumnRenamed("doc", at).join(numbered.select(at, F.col(id_col).cast("bigint").alias("doc")), at)
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc").alias("turned"), F.bitwise_not(at).alias(at)))
+    kept = named.groupBy("recipe").agg(best.alias("best")).select(F.bitwise_not(f"best.{at}").alias(at))
+    return numbered.join(kept, at, "left_semi").drop(at)

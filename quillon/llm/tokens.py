@@ -2,7 +2,9 @@
 
 The encoder is the tokenizers library with a file given by path. For byte-level BPE files that split as GPT-2 does, a
 text may be cut before any blank or line feed that follows ink, and between a letter and punctuation, without changing its
-ids; so each distinct piece is encoded once by the library and remembered, up to a bounded number of pieces. Other files go to the library whole.
+ids; so each distinct piece is encoded once by the library and remembered, up to a bounded number of pieces. A piece is
+remembered with all its bytes, and looked up by these; longer ones than WIDE are not remembered. Other files go to the
+library whole.
 
 Token counts come from an exact length histogram. Documents are aggregated by encoded length, which leaves a table that
 grows with the number of distinct lengths only; suffix sums over it answer totals, quantiles and truncated totals for
@@ -23,17 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._cluster import Scratch, ship
-from quillon.llm._text import mix, powers, runs, utf8
+from quillon.llm._text import block, mix, padded, runs, utf8
 
-#: Pieces that an encoder remembers: about 80 MB. Beyond, it forgets them all.
-REMEMBERED = 2_000_000
+#: Bytes of a piece that is remembered, at most.
+WIDE = 32
+#: Pieces that an encoder remembers: about 60 MB. Beyond, it forgets them all.
+REMEMBERED = 1_000_000
 #: Lengths summed by one task at a time when the histogram is summed up.
 STRIDE = 4096
 _PLAIN = re.compile(r"[ \n]\S{1,64}").fullmatch
 
 _U = np.uint64
-#: A value for each byte, by its rank in a piece's hash; blanks count, unlike in word hashes.
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _CUT = np.isin(np.arange(256), [0x20, 0x0A])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 #: Second bytes of the letters of U+00C0 to U+00FF.
@@ -41,8 +43,8 @@ _LATIN = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the pieces of each row: cut at its start, before any blank or line feed that follows a
+def pieces(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the pieces of each row: cut at its start, before any blank or line feed that follows a
     character that is no white space, and before any of the marks that follows a letter of ASCII or Latin-1. A character
     of three bytes that might be white space is not cut after."""
     n = len(data)
@@ -58,17 +60,28 @@ def pieces(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> tuple[np
         first[1:n] = inside | mark & (_LETTER[data[:-1]] | latin)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(first[:n])
-    ends = np.append(starts[1:], n) if len(starts) else starts
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    return starts, np.append(starts[1:], n) if len(starts) else starts
+
+
+def contents(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bytes) of pieces of at most WIDE bytes: a row of WIDE // 8 integers each, with zeros
+    after its end. Pieces are equal when these and their sizes are."""
+    whole = padded(data)
+    own = np.zeros((len(starts), WIDE // 8), np.uint64)
+    hashes = mix(size.astype(np.uint64))
+    rest = np.arange(len(starts))
+    for k in range(WIDE // 8):
+        rest = rest[size[rest] > 8 * k] if k else rest
+        own[rest, k] = block(whole, starts[rest] + 8 * k, size[rest] - 8 * k)
+        hashes[rest] = mix((hashes[rest] + _U(k)) ^ own[rest, k])
+    return hashes, own
 
 
 class Encoder:
     """Ids of texts as the tokenizers library gives them with add_special_tokens=False.
 
-    Pieces are remembered by 64-bit hashes: keys in order, with the place of each one's ids in a pool.
+    Pieces are remembered by 64-bit hashes: keys in order, with each one's bytes and the place of its ids in a pool. Of
+    two pieces with one hash, one is remembered and the other goes to the library whenever it is met.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -104,6 +117,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.bytes, self.long = np.zeros((0, WIDE // 8), np.uint64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _whole(self, texts: Sequence[str]) -> list[np.ndarray]:
@@ -117,9 +131,9 @@ class Encoder:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Encode new pieces, plain ones in one go: each of these begins with its only white space, so their ids part there."""
-        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, number of ids) of each text, plain ones in one go: each of these begins with its only white space, so their ids part there."""
+        at, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32)
         plain = [k for k, t in enumerate(texts) if _PLAIN(t)]
         rest = range(len(texts))
         if plain:
@@ -132,35 +146,53 @@ class Encoder:
                 rest = [k for k in rest if k not in done]
         for k, ids in zip(rest, self._whole([texts[k] for k in rest])):
             at[k], size[k] = self._pooled(ids), len(ids)
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        return at, size
+
+    def _known(self, hashes: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, whether it has this hash, whether it has these bytes) of pieces."""
+        slot = np.searchsorted(self.keys, hashes)
+        there = slot < len(self.keys)
+        there[there] = self.keys[slot[there]] == hashes[there]
+        same = there.copy()
+        same[there] = (self.bytes[slot[there]] == own[there]).all(axis=1) & (self.long[slot[there]] == size[there])
+        return slot, there, same
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, bounds of each row's) of rows of UTF-8."""
         base = int(offsets[0])
         data, offsets = data[base : int(offsets[-1])], offsets - base
+        raw = data.tobytes()
         if not self.cuttable:
-            raw = data.tobytes()
             each = self._whole([raw[i:j].decode("utf-8", "replace") for i, j in zip(offsets, offsets[1:])])
             return np.concatenate([np.zeros(0, self.kind), *each]), np.cumsum([0, *map(len, each)])
-        starts, ends, hashes = pieces(data, offsets, self.marks)
+        starts, ends = pieces(data, offsets, self.marks)
+        text = lambda k: raw[starts[k] : ends[k]].decode("utf-8", "replace")
+        size = ends - starts
+        short = np.flatnonzero(size <= WIDE)
+        hashes, own = contents(data, starts[short], size[short])
         distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        for attempt in range(2):
-            slot = np.searchsorted(self.keys, distinct)
-            known = np.zeros(len(distinct), bool)
-            there = slot < len(self.keys)
-            known[there] = self.keys[slot[there]] == distinct[there]
-            if known.all():
-                break
-            if not attempt and len(self.keys) + int((~known).sum()) > REMEMBERED:
-                self.forget()
-                known[:] = False
-            raw, new = data.tobytes(), example[~known]
-            self._learn(distinct[~known], [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[new].tolist(), ends[new].tolist())])
-        slot = np.searchsorted(self.keys, distinct)
-        size, at = self.size[slot][which].astype(np.int64), self.at[slot][which]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])]
+        slot, there, same = self._known(distinct, own[example], size[short[example]])
+        if len(self.keys) + int((~there).sum()) > REMEMBERED:
+            self.forget()
+            slot, there, same = self._known(distinct, own[example], size[short[example]])
+        if len(new := np.flatnonzero(~there)):
+            at, n = self._encoded([text(k) for k in short[example[new]].tolist()])
+            place = slot[new]
+            self.keys, self.at, self.size = np.insert(self.keys, place, distinct[new]), np.insert(self.at, place, at), np.insert(self.size, place, n)
+            self.bytes, self.long = np.insert(self.bytes, place, own[example[new]], axis=0), np.insert(self.long, place, size[short[example[new]]])
+        slot = np.searchsorted(self.keys, distinct)[which]
+        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[short], n[short] = self.at[slot], self.size[slot]
+        odd = np.ones(len(starts), bool)  # pieces that are too long, or another of the same hash
+        odd[short] = (self.bytes[slot] != own).any(axis=1) | (self.long[slot] != size[short])
+        kept = self.used
+        if len(odd := np.flatnonzero(odd)):
+            texts, which = np.unique(np.array([text(k) for k in odd.tolist()], object), return_inverse=True)
+            at_odd, n_odd = self._encoded(texts.tolist())
+            at[odd], n[odd] = at_odd[which], n_odd[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.repeat(at - upto[:-1], n) + np.arange(upto[-1])]
+        self.used = kept
         return ids, upto[np.searchsorted(starts, offsets)]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:

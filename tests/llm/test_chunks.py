@@ -35,10 +35,26 @@ def test_shared_passages_share_chunks(spark):
     passage = "".join(r.choice("abcdefgh") for _ in range(60_000))
     frame = spark.createDataFrame([(1, "one" * 500 + passage), (2, passage + "two" * 700)], "doc_id long, text string")
     found = chunks.recipes(frame)
-    store = chunks.chunk_store(found).collect()
-    assert sum(s.uses > 1 for s in store) > 10
-    assert sum(s.n_bytes * s.uses for s in store) == 120_000 + 1500 + 2100
-    assert max(s.n_bytes for s in store) <= chunks.MOST
+    shared = chunks.uses(found).where("uses > 1").select("identifier")
+    got = {x.identifier: x.content for x in chunks.contents(frame, shared).collect()}
+    assert len(got) > 10 and all(x.decode() in passage for x in got.values())
+    assert got.keys() >= {x.identifier for x in shared.collect()}
+    assert max(map(len, got.values())) <= chunks.MOST
+
+
+def test_identifiers_of_one_byte_are_made_longer_until_they_tell_chunks_apart(spark):
+    rows = [(k, f"text number {k % 700}") for k in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunks.duplicates(frame, size=1)
+    assert {tuple(x)[:5] for x in got.collect()} == brute_force(rows)
+
+
+def test_row_that_stays_with_repeated_and_null_ids(spark):
+    rows = [(None, "same", 1), (5, "same", 2), (5, "other text", 3), (5, "other text", 4), (None, "alone", 5), (7, None, 6), (8, " ", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, recipe int")
+    left = sorted(x.recipe for x in chunks.drop_duplicates(frame).collect())
+    assert left in ([2, 3, 5, 7], [2, 4, 5, 7])
+    assert chunks.drop_duplicates(frame).columns == frame.columns
 
 
 def test_null_ids_and_empty_table(spark):

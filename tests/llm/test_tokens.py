@@ -81,10 +81,10 @@ def test_matrix_round_trip_and_queries(n):
     r = random.Random(n)
     ids = np.array([min(50_256, int(r.paretovariate(0.6))) for _ in range(n)], "<u2")
     m = wavelet.Matrix(wavelet.build(ids if n % 2 else ids.astype("<u4")))
-    assert (m.ids() == ids).all() and m.n == n
+    assert (m.access(np.arange(n)) == ids).all() and m.n == n
     plain = ids.tolist()
     for i in r.sample(range(n), min(n, 40)):
-        assert m.access(i) == plain[i]
+        assert m.access([i, i]).tolist() == [plain[i]] * 2
         assert m.count(plain[i], i) == plain[:i].count(plain[i])
         places = [k for k, x in enumerate(plain) if x == plain[i]]
         k = r.randrange(len(places))
@@ -107,6 +107,49 @@ def test_files_match_brute_force(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_shards_are_files_of_whole_documents_and_answer_from_their_planes(spark, tmp_path):
+    rows = [(k, " ".join(f"word{(k * j) % 17}" for j in range(k % 60))) for k in range(300)] + [(300, "a long one " * 1_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wavelet.write_shards(frame, f"{tmp_path}/ids", PATH, end_id=2, shard_ids=900)
+    shards = sorted(wavelet.read_shards(spark, f"{tmp_path}/ids").collect(), key=lambda r: (r.part, r.shard))
+    assert len(shards) > 8 and len(list((tmp_path / "ids").glob("*.parquet"))) >= len(shards)
+    encoded = {k: [*library().encode(t, add_special_tokens=False).ids, 2] for k, t in rows}
+    assert [d for s in shards for d in s.docs] == sorted(encoded)
+    token = encoded[59][3]
+    found = {(r.part, r.shard): (r.n, r.positions) for r in wavelet.find(spark, f"{tmp_path}/ids", token, most=10**6).collect()}
+    for s in shards:
+        plain = [x for d in s.docs for x in encoded[d]]
+        assert s.n_ids == len(plain) == sum(s.lengths) and (len(s.docs) == 1 or len(plain) <= 900)
+        places = [k for k, x in enumerate(plain) if x == token]
+        assert found.pop((s.part, s.shard), (0, [])) == (len(places), places)
+    assert not found
+    got = {r.doc_id: r.ids_crc32 for r in wavelet.documents(spark, f"{tmp_path}/ids").collect()}
+    assert got == {k: zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) for k, ids in encoded.items()}
+
+
+def test_regular_texts_are_told_apart(spark):
+    """Strings for which any polynomial hash modulo a power of two collides, as one piece and as pieces of several sizes."""
+    word, encoder = "ab", tokens.Encoder(PATH)
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+        other = word.translate({97: 98, 98: 97})
+        texts = [word, other, f" {word[:31]}", f" {other[:31]}", word]
+        assert [x.tolist() for x in encoder.encode(texts)] == [library().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    real = tokens.contents
+
+    def colliding(*given):
+        hashes, own = real(*given)
+        return hashes % np.uint64(500), own
+
+    monkeypatch.setattr(tokens, "contents", colliding)
+    encoder, texts = tokens.Encoder(PATH), awkward_texts(6, 20)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [library().encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_no_documents(spark):
     assert wavelet.token_files(spark.createDataFrame([], "doc_id long, text string"), PATH, end_id=2).collect() == []
     assert [r.n_tokens for r in wavelet.token_files(spark.createDataFrame([(None, None)], "doc_id long, text string"), PATH, end_id=2).collect()] == [1]
