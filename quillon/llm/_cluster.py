@@ -100,7 +100,7 @@ class Scratch:
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges(a, b); root is the smallest node of the component.
+    """(node, root) for each node of edges(a, b) but the roots; root is the smallest node of the component.
 
     Alternating large-star and small-star steps. Each step is a minimum per node, which is aggregated before the
     shuffle, and a join, which adaptive execution splits where a node is hot. No edges give no rows.

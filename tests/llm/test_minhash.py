@@ -65,6 +65,40 @@ def test_one_document_of_each_group_stays(spark):
     assert left == [(False, 3), (False, 9), (False, 11), (True, None)]
 
 
+def test_rows_of_one_id_have_the_links_of_each_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, "small"), (4, one), (5, "small")]
+    got = {tuple(r) for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()}
+    assert {(k, c) for k, _, c, _ in got} == {(k, 1) for k in (1, 2, 3, 4, 5)}
+
+
+def test_regular_words_are_told_apart(spark):
+    word = "ab"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, word.translate({97: 98, 98: 97})), (3, word)]
+    got = {(r.doc_id, r.component_id) for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_equal_sets_only(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f h"), (3, "A  b c d e f g")]
+    got = {(r.doc_id, r.component_id) for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string"), similarity=(100, 100)).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_long_lists_in_tiles_match_brute_force(spark):
+    r, base = random.Random(4), [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(80):  # many that are almost similar to each other
+        copy = list(base)
+        for _ in range(r.randrange(14)):
+            copy[r.randrange(100)] = f"z{r.randrange(1000)}"
+        rows.append((k, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(x) for x in minhash.components(frame, shingle_words=2, tile=7).collect()} == brute_force(rows, 2)
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     assert minhash.components(frame).collect() == []
