@@ -44,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _broadcasts: list[Broadcast] = []
+_scratches: list[Scratch] = []
 
 
 def broadcast(spark: SparkSession, value) -> Broadcast:
@@ -54,12 +55,15 @@ def broadcast(spark: SparkSession, value) -> Broadcast:
 
 @contextmanager
 def written(spark: SparkSession) -> Iterator[None]:
-    """What operators broadcast within is taken back at the end, when their results must be written. Then the driver
-    collects its garbage: Spark's cleaner frees the shuffles and broadcasts of finished plans only after that."""
-    before = len(_broadcasts)
+    """What operators broadcast and write for themselves within is deleted at the end, when their results must be written
+    elsewhere. Then the driver collects its garbage: Spark's cleaner frees the shuffles and broadcasts of finished plans
+    only after that."""
+    broadcasts, scratches = len(_broadcasts), len(_scratches)
     yield
-    while len(_broadcasts) > before:
+    while len(_broadcasts) > broadcasts:
         _broadcasts.pop().destroy()
+    while len(_scratches) > scratches:
+        _scratches.pop().delete()
     spark._jvm.System.gc()
 
 
@@ -74,6 +78,7 @@ class Scratch:
         root, files = self._at(self.root)
         files.mkdirs(root)
         files.deleteOnExit(root)
+        _scratches.append(self)
 
     def _at(self, path: str):
         """(path, its file system) of Hadoop."""
@@ -98,6 +103,11 @@ class Scratch:
             path, files = self._at(frame._quillon_path)
             files.delete(path, True)
 
+    def delete(self) -> None:
+        """Delete all tables made here."""
+        path, files = self._at(self.root)
+        files.delete(path, True)
+
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b) but the roots; root is the smallest node of the component.

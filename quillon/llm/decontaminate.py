@@ -1,6 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment of words.
 
-The n-grams of the test items are counted over all documents; the rarer ones of each item are its seeds. Where a
+The n-grams of the test items are counted over all documents. Those that occur are an item's seeds, but for common ones:
+where an n-gram is in more than COMMON documents, it is left out if SEED_SHARE of the item's n-grams are rarer and occur,
+too. So an item keeps all its seeds where few of its n-grams occur, and the rarer ones where all are common. Where a
 document has a seed, the words around it are aligned with the item. An alignment's score is its share of a perfect one,
 so paraphrased or edited copies are found as well as exact ones. Items of few words are looked for by exact match of all
 their words. A word here is a run of ASCII letters and digits and of other characters than ASCII; in scripts without
@@ -19,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._cluster import ship
+from quillon.llm._cluster import broadcast, ship
 from quillon.llm import _text
 from quillon.llm._text import runs, shingles, utf8
 
 SEED_WORDS = 3
-#: Share of an item's n-grams, the rarest first, that are seeds.
-SEED_SHARE = 0.75
+#: Documents from which on an n-gram is common, and the share of an item's n-grams that stay seeds, the rarest first.
+COMMON, SEED_SHARE = 1_000, 0.75
 #: Items of fewer words are not aligned, as parts of them cannot be told from chance; they are found as a whole.
 LEAST_WORDS = 8
 #: What a matching word earns, and what another or a missing word costs.
@@ -42,17 +44,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _text.words(data, offsets, _BETWEEN, accents=True, unspaced=True)
 
 
-
 @dataclass
 class Index:
-    ids: list[int]
+    ids: list[int | None]
     item_words: list[np.ndarray]
     keys: np.ndarray  # sorted n-grams
     entries: np.ndarray  # bounds of each key in the next two
     items: np.ndarray
     places: np.ndarray
     sieve: np.ndarray
-    short: dict[int, tuple[np.ndarray, list[list[int]]]]  # by number of words: sorted hashes of whole items, and their ids
+    short: dict[int, tuple[np.ndarray, list[list[int | None]]]]  # by number of words: sorted hashes of whole items, and their ids
 
 
 def _sieve(keys: np.ndarray) -> np.ndarray:
@@ -61,11 +62,11 @@ def _sieve(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_index(items: list[tuple[int, str]], seed_words: int) -> Index:
+def build_index(items: list[tuple[int | None, str]], seed_words: int, least_words: int) -> Index:
     data, offsets = utf8(pa.array([t for _, t in items], pa.large_string()))
     _, _, hashes, bounds = words(data, offsets)
     ids, own_words, grams, of_item, place = [], [], [], [], []
-    least, whole = max(LEAST_WORDS, seed_words), {}
+    least, whole = max(least_words, seed_words), {}
     for (item, _), i, j in zip(items, bounds, bounds[1:]):
         if j - i < least:
             if j > i:
@@ -87,15 +88,20 @@ def _index(ids, own_words, grams, of_item, place, short) -> Index:
     return Index(ids, own_words, keys.astype(np.uint64), np.concatenate((first, [len(order)])), of_item[order].astype(np.int64), place[order].astype(np.int64), _sieve(keys.astype(np.uint64)), short)
 
 
-def seeds_only(index: Index, counts: np.ndarray, share: float) -> Index:
-    """The index with each item's rarest n-grams: the share of its distinct ones, at least one; ties by hash."""
+def seeds_only(index: Index, counts: np.ndarray, share: float, common: int) -> Index:
+    """The index with each item's n-grams that occur. Of these, the ones in more than ``common`` documents go, but for
+    the rarest ``share`` of the item's n-grams; ties by hash. counts: documents that have each n-gram."""
     key_of = np.repeat(np.arange(len(index.keys)), np.diff(index.entries))
+    order = np.argsort(index.items, kind="stable")
+    bounds = np.searchsorted(index.items[order], np.arange(len(index.ids) + 1))
     keep = np.zeros(len(key_of), bool)
-    for item in range(len(index.ids)):
-        at = np.flatnonzero(index.items == item)
-        distinct = np.unique(key_of[at])
-        ranked = distinct[np.argsort(counts[distinct], kind="stable")][: max(1, int(np.ceil(share * len(distinct))))]
-        keep[at[np.isin(key_of[at], ranked)]] = True
+    for first, last in zip(bounds, bounds[1:]):
+        at = order[first:last]
+        own = np.unique(key_of[at])
+        there = own[counts[own] > 0]
+        ranked = there[np.argsort(counts[there], kind="stable")]
+        seeds = ranked[(counts[ranked] <= common) | (np.arange(len(ranked)) < np.ceil(share * len(own)))]
+        keep[at] = np.isin(key_of[at], seeds)
     return _index(index.ids, index.item_words, index.keys[key_of[keep]], index.items[keep], index.places[keep], index.short)
 
 
@@ -172,14 +178,15 @@ def exact(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tupl
                     yield i, item, n, n + size
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, seed_share: float = SEED_SHARE, limit: float = LIMIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, seed_share: float = SEED_SHARE, common: int = COMMON, least_words: int = LEAST_WORDS, limit: float = LIMIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per passage of a document that is one of a test item: (doc_id, item_id, score, first_byte, end_byte).
 
     score is the alignment's share of a perfect one, at least limit and at most 1; the bytes bound the passage in the
-    UTF-8 text. A document has a row for each item and each separate passage. Items of fewer than LEAST_WORDS words (or
+    UTF-8 text. A document has a row for each item and each separate passage. Items of fewer than least_words words (or
     seed_words) must be met word for word and have score 1; one of a single word is in each text that has the word. Null
-    texts, texts without words and items that are null or have no words have no rows; null ids stay null. Repeated documents have their
-    rows each, repeated items too. An empty table on either side gives no rows.
+    texts, texts without words and items that are null or have no words have no rows; null ids stay null. Repeated
+    documents have their rows each, repeated items too. An empty table on either side gives no rows; other columns are
+    not read. An edited copy is missed where it shares no seed with its item.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -191,17 +198,14 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     found = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        whole = build_index(sorted((r["item"] if r["item"] is not None else -1, r["text"]) for r in own), seed_words)
-        null_item = any(r["item"] is None for r in own)
-        part = texts.mapInArrow(_search(spark, texts, whole, seed_words, seed_share, limit), schema)
-        if null_item:
-            part = part.withColumn("item_id", F.when(F.col("item_id") != -1, F.col("item_id")))
+        whole = build_index(sorted(((r["item"], r["text"]) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1])), seed_words, least_words)
+        part = texts.mapInArrow(_search(spark, texts, whole, seed_words, seed_share, common, limit), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search(spark, texts: DataFrame, whole: Index, seed_words: int, share: float, limit: float):
-    shared = spark.sparkContext.broadcast(whole)
+def _search(spark, texts: DataFrame, whole: Index, seed_words: int, share: float, common: int, limit: float):
+    shared = broadcast(spark, whole)  # bounded by block_chars
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(shared.value.keys), np.int64)
@@ -223,7 +227,7 @@ def _search(spark, texts: DataFrame, whole: Index, seed_words: int, share: float
     if len(counts):
         for r in texts.select("text").mapInArrow(tally, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():
             counts[r["key"]] = r["n"]
-    seeds = spark.sparkContext.broadcast(seeds_only(whole, counts, share))
+    seeds = broadcast(spark, seeds_only(whole, counts, share, common))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = seeds.value
@@ -248,7 +252,11 @@ def _search(spark, texts: DataFrame, whole: Index, seed_words: int, share: float
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document and item with a passage: (doc_id, item_id, score, passages), with the best score."""
+    """One row per document and item with a passage: (doc_id, item_id, score, passages), with the best score.
+
+    Rows of one id are one document, as are those with null ids, and items of one id one item; passages counts those of
+    all of them. Otherwise as find(); an empty table on either side gives no rows.
+    """
     return find(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("passages"))
 
 

@@ -9,6 +9,7 @@ models, and so is the cross-entropy from which on a text is rejected as none of
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._cluster import ship
+from quillon.llm._cluster import broadcast, ship
 from quillon.llm._text import mix
 
 ORDER = 4
@@ -228,13 +229,24 @@ def learn(docs: DataFrame, allowed: Column | None = None, *, id_col: str = "doc_
     near = rows.where(F.pmod("place", F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
     order_by = Window.partitionBy("lang").orderBy("place", "doc", "text")
     picked = near.withColumn("k", F.row_number().over(order_by)).where(F.col("k") <= sample_docs).withColumn("chars", F.sum("size").over(order_by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("chars") <= sample_chars)
-    sample = sorted((r["lang"], r["k"], r["text"]) for r in picked.select("lang", "k", "text").collect())
-    out = [k % round(1 / LEFT_OUT) == 0 for _, k, _ in sample]
-    if not any(out):
-        out = [True] * len(sample)
-    models = train([t for (_, _, t), x in zip(sample, out) if not x] or [t for _, _, t in sample], [lang for (lang, _, _), x in zip(sample, out) if not x] or [lang for lang, _, _ in sample], order)
-    known = [(t, lang) for (lang, _, t), x in zip(sample, out) if x and lang in models.languages]
-    return calibrate(models, [t for t, _ in known], [lang for _, lang in known])
+    ship(docs.sparkSession)
+    # the sample is bounded, and learned from in one task, so that neither it nor the training is on the driver
+    made = picked.select("lang", "k", "text").repartition(1).mapInArrow(lambda batches: _learned(batches, order), "models binary").collect()
+    return pickle.loads(made[0]["models"]) if made else train([], [], order)
+
+
+def _learned(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """The pickled models of a sample (lang, k, text), of which a part is left out for calibration."""
+    sample = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    if not sample:
+        return
+    every = round(1 / LEFT_OUT)
+    left_out = [(t, lang) for lang, k, t in sample if k % every == 0] or [(t, lang) for lang, _, t in sample]
+    rest = [(t, lang) for lang, k, t in sample if k % every] or left_out
+    models = train([t for t, _ in rest], [lang for _, lang in rest], order)
+    known = [(t, lang) for t, lang in left_out if lang in models.languages]
+    models = calibrate(models, [t for t, _ in known], [lang for _, lang in known])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(models)], pa.binary())], names=["models"])
 
 
 def predict(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,7 +258,7 @@ def predict(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(models)  # bounded by the sample that it was learned from
+    shared = broadcast(spark, models)  # bounded by the sample that it was learned from
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,10 +279,14 @@ def predict(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col
 
 
 def keep_known(docs: DataFrame, models: Models, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text predict() does not reject, with all columns. Texts do not leave their partition."""
+    """The rows of docs whose text predict() does not reject, with all columns. Texts do not leave their partition.
+
+    Null and empty texts and texts without letters go, as do all where no language was learned. Rows with null ids and
+    repeated rows are judged like any; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(models)
+    shared = broadcast(spark, models)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,8 @@
 The leaves of the tree are (domain, lang, source). A token budget goes down the tree: the children of a node share its
 budget by their weights, a child takes no more than its leaves can supply in the allowed epochs, and what it leaves goes
 to its siblings by their weights. Only when all siblings are full does a shortage reach the node above, where the node
-counts as full itself. Each leaf then gives whole epochs, and of one more epoch the prefix that its budget allows, in an
-order seeded anew for each epoch.
+counts as full itself. A leaf supplies nothing where it or a node above it has no weight. Each leaf then gives whole
+epochs, and of one more epoch the prefix that its budget allows, in an order seeded anew for each epoch.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from quillon.llm._cluster import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
-#: Leaves up to so many are broadcast; beyond, they are joined by shuffle.
-BROADCAST_LEAVES = 50_000
 #: Hexadecimal digits of the order that make a bucket; a leaf's prefix ends in one of 16**BUCKET_DIGITS buckets.
 BUCKET_DIGITS = 3
 
@@ -34,7 +32,8 @@ def share_out(children: DataFrame, parent: Sequence[str], name: str) -> DataFram
 
     In the order of supply by weight, a child is full when its part of what the children before it leave is no less than
     its supply; so full children come first. The rest share what is left by weight, rounded down, and the tokens lost by
-    rounding go one each to the first of them by name. Children without positive weight get nothing.
+    rounding go one each to the first of them by name. Children without positive weight get nothing, and a parent's
+    budget is no more than the others' supply. A window has the children of one parent, which are nodes of the tree.
     """
     big = lambda c: F.col(c).cast("decimal(38,0)")
     own = children.where("weight > 0")
@@ -67,14 +66,14 @@ def budgets(leaves: DataFrame, *, budget: tuple[int, int], max_epochs: int, weig
     """
     weights = weights or {}
     numerator, denominator = budget
-    supply = leaves.select(*LEVELS, "tokens", (F.col("tokens") * max_epochs).alias("supply"))
-    total = supply.agg(F.expr(f"cast(sum(cast(tokens as decimal(38,0))) * {numerator} div {denominator} as bigint)").alias("wanted"), F.sum(F.when(_weight(weights.get("domain"), "domain") > 0, F.col("supply"))).alias("most"))
+    weighed = reduce(lambda x, y: x & y, (_weight(weights.get(level), level) > 0 for level in LEVELS))
+    supply = leaves.select(*LEVELS, "tokens", F.when(weighed, F.col("tokens") * max_epochs).otherwise(F.lit(0).cast("bigint")).alias("supply"))
+    total = supply.agg(F.expr(f"cast(sum(cast(tokens as decimal(38,0))) * {numerator} div {denominator} as bigint)").alias("wanted"), F.sum("supply").alias("most"))
     node = supply.crossJoin(total.select(F.least("wanted", "most").alias("budget")))  # one row
     for depth, level in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
         children = node.groupBy(*keys).agg(F.sum("supply").alias("supply"), F.first("budget").alias("budget")).withColumn("weight", _weight(weights.get(level), level))
-        supplied = children.withColumn("budget", F.least("budget", F.sum(F.when(F.col("weight") > 0, F.col("supply"))).over(Window.partitionBy(*keys[:-1])))) if depth else children
-        given = share_out(supplied, keys[:-1], level).select(*keys, F.col("given").alias("budget"))
+        given = share_out(children, keys[:-1], level).select(*keys, F.col("given").alias("budget"))
         node = node.drop("budget").join(given, keys)
     return node.select(*LEVELS, "tokens", F.col("budget").alias("given"))
 
@@ -115,8 +114,7 @@ def select(
     leaves = scratch.table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "leaves")
     plan = budgets(leaves, budget=budget, max_epochs=max_epochs, weights=weights).where("given > 0")
     plan = scratch.table(plan.select(*LEVELS, F.expr("given div tokens").alias("whole"), (F.col("given") % F.col("tokens")).alias("rest")), "plan")
-    few = leaves.count() <= BROADCAST_LEAVES
-    placed = rows.join(F.broadcast(plan) if few else plan, list(LEVELS))
+    placed = rows.join(plan, list(LEVELS))  # the plan is a written table of known size, broadcast where it is small
 
     full = placed.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("whole"))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_md5")))

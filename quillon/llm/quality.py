@@ -2,7 +2,7 @@
 
 Each document becomes a fixed number of statistics of its whole text. Their random Fourier features approximate a
 Gaussian kernel. Partitions sum up the normal equations of the labelled rows, which are added up and solved once; the
-ridge scores are then calibrated by isotonic regression over a histogram of fixed bins.
+ridge scores are then calibrated by isotonic regression over a histogram of fixed bins, on labelled rows left out before.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._cluster import Scratch, ship
+from quillon.llm._cluster import Scratch, broadcast, ship
 from quillon.llm._text import runs, utf8, words
 
 FEATURES = 256
 RIDGE = 1e-3
 BINS = 1000
 SEED = 20
+#: One labelled document in so many, by a hash of its id, is left out of the regression and calibrates it.
+CALIBRATE = 5
 
 #: The statistics, in their order.
 STATISTICS = (
@@ -132,8 +134,11 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED) -> Model:
-    """A model of label (0 or 1) from all rows of labelled(stats, label); without rows it scores 0.5 throughout."""
+    """A model of label (0 or 1) from all rows of labelled(stats, label, left_out): the rows left out calibrate what the
+    others teach. Where there are none of either, all rows do both; without any the score is 0.5 throughout."""
     width = len(STATISTICS)
+    sides = {r["left_out"]: r["n"] for r in labelled.groupBy("left_out").agg(F.count("*").alias("n")).collect()}
+    held, labelled = (labelled.where("left_out"), labelled.where("not left_out")) if len(sides) == 2 else (labelled, labelled)
     moments = labelled.agg(F.count("*").alias("n"), *(f(F.col("stats")[k] if f is F.avg else F.col("stats")[k]).alias(f"{name}{k}") for k in range(width) for name, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     r = np.random.default_rng(seed)
     mean = np.array([moments[f"m{k}"] or 0.0 for k in range(width)])
@@ -171,7 +176,7 @@ def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, see
             raw = np.clip(model.raw(_vectors(batch.column(0))), -0.5, 1.5)
             yield pa.RecordBatch.from_arrays([pa.array(np.floor((raw + 0.5) / 2 * (BINS - 1)).astype(np.int64)), batch.column(1)], names=["bin", "label"])
 
-    rows = labelled.select("stats", F.col("label").cast("double").alias("label")).mapInArrow(binned, "bin bigint, label double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("label").alias("y")).orderBy("bin").collect()
+    rows = held.select("stats", F.col("label").cast("double").alias("label")).mapInArrow(binned, "bin bigint, label double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("label").alias("y")).orderBy("bin").collect()
     weight = np.array([x["n"] for x in rows], np.float64)
     model.edges = (np.array([x["bin"] for x in rows]) + 0.5) * 2 / (BINS - 1) - 0.5
     model.levels = np.clip(isotonic(np.array([x["y"] for x in rows]), weight), 0.0, 1.0)
@@ -190,8 +195,8 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str =
     spark = docs.sparkSession
     described = Scratch(spark, "quality").table(describe(docs, id_col=id_col, text_col=text_col), "statistics")
     known = labels.select(F.col(id_col).cast("bigint").alias("doc"), F.col(label_col).cast("double").alias("label")).where("label is not null").where(allowed)
-    model = fit(described.join(known, "doc").select("stats", "label"))
-    shared = spark.sparkContext.broadcast(model)  # its size is fixed by the number of statistics, features and bins
+    model = fit(described.join(known, "doc").select("stats", "label", (F.pmod(F.xxhash64("doc"), F.lit(CALIBRATE)) == 0).alias("left_out")))
+    shared = broadcast(spark, model)  # its size is fixed by the number of statistics, features and bins
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -78,19 +78,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op5_level(depth: int, weight: str) -> str:
-    """Common table expressions that hand a level's budgets down, as mixing.share_out does."""
+    """Common table expressions that hand a level's budgets down. A child is full where the level of water that fills it
+    takes no more than the parent's budget from all siblings together."""
     keys = ["domain", "lang", "source"][: depth + 1]
-    up, name, by = ", ".join(keys[:-1]), keys[-1], ", ".join(keys)
-    part = f"PARTITION BY {up}" if up else ""
-    budget = f"least(any_value(b.given), sum(sum(s.supply)) OVER ({part}))" if depth else "any_value((SELECT least(wanted, most) FROM total))"
-    source = f"supply s JOIN given{depth - 1} b USING ({up})" if depth else "supply s"
+    up, name, by = keys[:-1], keys[-1], ", ".join(keys)
+    part = f"PARTITION BY {', '.join(up)}" if up else ""
+    siblings = " AND ".join(f"a.{k} = b.{k}" for k in up) or "true"
+    source = f"supply s JOIN given{depth - 1} g USING ({', '.join(up)})" if depth else "supply s"
+    budget = "any_value(g.given)" if depth else "any_value((SELECT least(wanted, most) FROM total))"
     return f"""
-children{depth} AS (SELECT {by}, sum(s.supply)::HUGEINT AS supply, {weight} AS weight, ({budget})::HUGEINT AS budget FROM {source} GROUP BY {by}),
-ordered{depth} AS (SELECT *, coalesce(sum(supply) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
-  FROM children{depth} WINDOW o AS ({part} ORDER BY supply::DOUBLE / weight, {name})),
-full{depth} AS (SELECT *, (budget - before) * weight >= supply * weight_left AS is_full FROM ordered{depth}),
-part{depth} AS (SELECT *, CASE WHEN is_full THEN supply ELSE ((budget - coalesce(sum(supply) FILTER (is_full) OVER w, 0)) * weight) // sum(weight) FILTER (NOT is_full) OVER w END AS part FROM full{depth} WINDOW w AS ({part})),
-given{depth} AS (SELECT {by}, (part + CASE WHEN NOT is_full AND sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER ({part} ORDER BY {name} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= budget - sum(part) OVER ({part}) THEN 1 ELSE 0 END)::BIGINT AS given FROM part{depth})"""
+children{depth} AS (SELECT {by}, sum(s.supply)::HUGEINT AS supply, ({weight})::HUGEINT AS weight, {budget}::HUGEINT AS budget FROM {source} GROUP BY {by}),
+filled{depth} AS (SELECT {", ".join(f"a.{k}" for k in keys)}, a.supply, a.weight, a.budget, sum(least(b.supply * a.weight, a.supply * b.weight)) AS needed
+  FROM children{depth} a JOIN children{depth} b ON {siblings} GROUP BY ALL),
+judged{depth} AS (SELECT *, needed <= budget * weight AS is_full FROM filled{depth}),
+open{depth} AS (SELECT *, budget - coalesce(sum(supply) FILTER (is_full) OVER w, 0) AS water, sum(weight) FILTER (NOT is_full) OVER w AS weights, row_number() OVER (PARTITION BY {", ".join([*up, "is_full"])} ORDER BY {name}) AS turn FROM judged{depth} WINDOW w AS ({part})),
+given{depth} AS (SELECT {by}, (CASE WHEN is_full THEN supply ELSE water * weight // weights + CASE WHEN turn <= water - sum(water * weight // weights) FILTER (NOT is_full) OVER w THEN 1 ELSE 0 END END)::BIGINT AS given FROM open{depth} WINDOW w AS ({part}))"""
 
 
 OP5_SQL = (
@@ -153,46 +155,38 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_level(k: int) -> str:
-    up = ", ".join(["host", *(f"t{j}" for j in range(k))])
     return f"""
-child{k} AS (SELECT {up}, t{k}, sum(n) AS child_n FROM tree{k} GROUP BY ALL),
-rare{k} AS (SELECT {up}, t{k} FROM child{k} WHERE t{k} <> '' QUALIFY count(*) OVER (PARTITION BY {up}) > 16 AND child_n < 0.05::DOUBLE * sum(child_n) OVER (PARTITION BY {up})),
-tree{k + 1} AS (SELECT t.* REPLACE (CASE WHEN r.t{k} IS NULL THEN t.t{k} ELSE '*' END AS t{k}) FROM tree{k} t LEFT JOIN rare{k} r USING ({up}, t{k})),"""
+child{k} AS MATERIALIZED (SELECT host, node, s[{k + 1}] AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad, any_value(purity) AS purity FROM tree{k} WHERE len(s) > {k} GROUP BY ALL),
+named{k} AS MATERIALIZED (SELECT *, CASE WHEN count(*) OVER w > 16 AND n < 0.05::DOUBLE * sum(n) OVER w THEN '/*' ELSE segment END AS token FROM child{k} WINDOW w AS (PARTITION BY host, node)),
+sums{k} AS (SELECT host, node, token, sum(labelled)::DOUBLE AS labelled, sum(bad)::DOUBLE AS bad, any_value(purity) AS purity FROM named{k} GROUP BY ALL),
+tested{k} AS (SELECT *, bad * sum(labelled) OVER w - sum(bad) OVER w * labelled AS apart, 3.841459::DOUBLE * labelled * sum(bad) OVER w * (sum(labelled) OVER w - sum(bad) OVER w) AS chance FROM sums{k} WINDOW w AS (PARTITION BY host, node)),
+found{k} AS (SELECT *, CASE WHEN labelled < 5 THEN '/' || token WHEN apart * apart <= chance THEN '=' WHEN apart > 0 THEN '+' ELSE '-' END AS finding FROM tested{k}),
+branch{k} AS MATERIALIZED (SELECT host, node, token, min(token) OVER g || CASE WHEN count(*) OVER g > 1 THEN '/+' ELSE '' END AS name, (sum(bad) OVER g + 4.0::DOUBLE * purity) / (sum(labelled) OVER g + 4.0::DOUBLE) AS purity FROM found{k} WINDOW g AS (PARTITION BY host, node, finding)),
+tree{k + 1} AS MATERIALIZED (SELECT t.host, t.s, t.n, t.labelled, t.bad, CASE WHEN b.name IS NULL THEN t.node ELSE t.node || '/' || b.name END AS node, coalesce(b.purity, t.purity) AS purity
+  FROM tree{k} t LEFT JOIN named{k} c ON c.host = t.host AND c.node = t.node AND c.segment = t.s[{k + 1}] LEFT JOIN branch{k} b ON b.host = c.host AND b.node = c.node AND b.token = c.token),"""
 
 
 OP9_SQL = (
     r"""
 WITH split AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM split),
-parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM named),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM split),
+parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
 good AS (SELECT doc_id, max(quality) = 0 AS is_bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-segments AS (SELECT p.*, is_bad, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS s
+segments AS (SELECT p.*, is_bad, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> '') AS all_s
   FROM parts p LEFT JOIN good g ON g.doc_id = try_cast(regexp_extract(path, '[0-9]{1,18}') AS BIGINT)),
-rows_ AS (SELECT page_id, host, path, is_bad, coalesce(s[1], '') AS r0, coalesce(s[2], '') AS r1, coalesce(s[3], '') AS r2, CASE WHEN len(s) > 3 THEN '**' ELSE '' END AS r3 FROM segments),
-counted AS (SELECT host, r0, r1, r2, r3, count(*) AS n, count(is_bad) AS labelled, count(*) FILTER (is_bad) AS bad FROM rows_ GROUP BY ALL),
-tree0 AS (SELECT *, r0 AS t0, r1 AS t1, r2 AS t2, r3 AS t3 FROM counted),"""
-    + "".join(_op9_level(k) for k in range(3))
-    + """
-branch AS (SELECT host, t0, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM tree3 GROUP BY ALL),
-quarters AS (SELECT c.host, c.t0, c.t1, floor(c.n * 4 / b.n + 0.5)::BIGINT AS q FROM (SELECT host, t0, t1, sum(n) AS n FROM tree3 GROUP BY ALL) c JOIN branch b USING (host, t0)),
-shapes AS (SELECT host, t0, array_to_string(list_sort(list(t1 || ':' || q)), '|') AS shape FROM quarters WHERE q > 0 GROUP BY ALL),
-merged AS (SELECT host, t0, CASE WHEN labelled >= 5 THEN '=|' || floor(bad * 4 / labelled + 0.5)::BIGINT || '|' || coalesce(shape, '') ELSE '/' || t0 END AS branch FROM branch LEFT JOIN shapes USING (host, t0)),
-final AS (SELECT * FROM tree3 JOIN merged USING (host, t0)),
-n0 AS (SELECT host, branch, t1, t2, t3, sum(labelled) AS labelled, sum(bad) AS bad, (SELECT least((coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 10.0::DOUBLE), 0.25::DOUBLE) FROM counted) AS p FROM final GROUP BY ALL),"""
-    + "".join(
-        f"""
-n{k + 1} AS (SELECT * REPLACE ((sum(bad) OVER w + 4.0::DOUBLE * p) / (sum(labelled) OVER w + 4.0::DOUBLE) AS p) FROM n{k} WINDOW w AS (PARTITION BY {", ".join(["host", "branch", "t1", "t2", "t3"][: k + 1])})),"""
-        for k in range(5)
-    )
-    + """
-verdicts AS (SELECT f.host, r0, r1, r2, r3, p >= 0.5 AS rejected, f.host || '/' || f.branch || '/' || f.t1 || '/' || f.t2 || '/' || f.t3 AS template FROM final f JOIN n5 USING (host, branch, t1, t2, t3)),
-ruled AS (SELECT rows_.*, '.' || host AS dotted, CASE
+rows_ AS MATERIALIZED (SELECT page_id, host, path, is_bad, CASE WHEN len(all_s) > 8 THEN list_append(all_s[1:7], array_to_string(all_s[8:], '/')) ELSE all_s END AS s FROM segments),
+counted AS MATERIALIZED (SELECT host, s, count(*) AS n, count(is_bad) AS labelled, count(*) FILTER (is_bad) AS bad FROM rows_ GROUP BY ALL),
+prior AS (SELECT least((coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 10.0::DOUBLE), 0.25::DOUBLE) AS p FROM counted),
+tree0 AS MATERIALIZED (SELECT *, '' AS node, (sum(bad) OVER w + 4.0::DOUBLE * (SELECT p FROM prior)) / (sum(labelled) OVER w + 4.0::DOUBLE) AS purity FROM counted WINDOW w AS (PARTITION BY host)),"""
+    + "".join(_op9_level(k) for k in range(url_filter.DEPTH))
+    + f"""
+ruled AS (SELECT rows_.*, CASE
     WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM rows_)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN rejected THEN 'block' ELSE 'allow' END AS verdict, template
-FROM ruled JOIN verdicts USING (host, r0, r1, r2, r3)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, r.host || node AS template
+FROM ruled r JOIN tree{url_filter.DEPTH} t ON t.host = r.host AND t.s = r.s
 """
 )
 

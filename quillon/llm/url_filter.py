@@ -1,28 +1,32 @@
 """URL filters by rules and path-template trees. DataFrame functions only.
 
-The paths of a host make a tree of segments, with digits generalised. Where a node has many children, the rare ones are
-one wildcard. Branches below a host are merged when they have the same shape and the same labelled purity. A template is
-rejected when the share of bad pages among its labelled ones, smoothed towards that of the nodes above it, reaches a
-limit. Hosts without labelled pages lose nothing. Rules come before the trees.
+The paths of a host make a tree of segments, with runs of digits as one sign. It is built from the host down. Where a
+node has many children, the rare ones are one wildcard. Of the others, those with enough labelled pages are tested
+against their node: children whose share of bad pages is significantly below the node's, or above it, or not different
+from it, are merged with those of the same finding, and their subtrees with them. A template is rejected when the share
+of bad pages among its labelled ones, smoothed towards that of the nodes above it, reaches a limit. Hosts without
+labelled pages lose nothing. Rules come before the trees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._cluster import Scratch
 
-#: Levels of segments below the first that each template has, empty where its path ends before; longer paths have more.
-DEPTH = 3
+#: Levels of the tree. The segments of longer paths from this level on are one, whole.
+DEPTH = 8
 #: A node with more children than this has its rare ones, below the share, generalised.
 WIDE, RARE = 16, 0.05
-#: Labelled pages that a branch needs to be merged with others.
-ENOUGH = 5
+#: Labelled pages that a child needs to be tested, and the chi-square of one degree of freedom that is significant (5 %).
+ENOUGH, SIGNIFICANT = 5, 3.841459
 #: Labelled pages' worth of the node above in each purity, and the share of bad ones from which on a template is rejected.
 SMOOTHING, LIMIT = 4.0, 0.5
+#: What no segment can be: a wildcard, and the end of the name of merged children.
+WILD, MERGED = "/*", "/+"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -48,72 +52,72 @@ def by_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return (none, none) if rule is None else (rule, verdict)
 
 
-def _segments(path: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
+def _segments(path: Column, depth: int) -> Column:
+    found = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
+    rest = F.array(F.array_join(F.slice(found, depth, F.greatest(F.size(found), F.lit(depth))), "/"))
+    return F.when(F.size(found) > depth, F.concat(F.slice(found, 1, depth - 1), rest)).otherwise(found)
 
 
-def _generalise(rows: DataFrame, above: list[str], level: str) -> DataFrame:
-    """Replace the rare children of wide nodes by a wildcard. Sums go over groups, which are aggregated before shuffles."""
-    child = rows.groupBy(*above, level).agg(F.sum("n").alias("child_n"))
-    node = child.groupBy(*above).agg(F.count("*").alias("kinds"), F.sum("child_n").alias("node_n"))
-    rare = child.join(node, above).where((F.col("kinds") > WIDE) & (F.col("child_n") < RARE * F.col("node_n")) & (F.col(level) != "")).select(*above, level, F.lit("*").alias("wild"))
-    return rows.join(rare, [*above, level], "left").withColumn(level, F.coalesce("wild", level)).drop("wild")
+def _smoothed(bad: Column, labelled: Column, above: Column) -> Column:
+    return (bad + SMOOTHING * above) / (labelled + SMOOTHING)
 
 
-def _rejected(scratch: Scratch, rows: DataFrame, depth: int) -> DataFrame:
-    """(host, segments, bad_template) of rows(host, segments, n, labelled, bad), one for each raw template. depth is the
-    most segments of one.
+def _level(tree: DataFrame, k: int) -> DataFrame:
+    """The tree with the k-th segments' names added to its nodes, and their purities in place of those above.
 
-    Each step is written, as the next one reads it more than once.
+    Children of a node are aggregated before each shuffle; where they are many, the rare ones become one, so a window
+    has at most 1 / RARE + 1 of them.
     """
-    levels = [f"t{k}" for k in range(max(depth, DEPTH + 1))]
-    tree = rows.select("*", *(F.coalesce(F.get("segments", F.lit(k)), F.lit("")).alias(t) for k, t in enumerate(levels)))
-    for k in range(max(depth, DEPTH)):
-        tree = scratch.table(_generalise(tree, ["host", *levels[:k]], levels[k]), "tree")
-
-    # a branch's shape: its children's shares in quarters; its purity: that of the labelled pages, in quarters
-    child = tree.groupBy("host", "t0", "t1").agg(F.sum("n").alias("n"))
-    branch = tree.groupBy("host", "t0").agg(F.sum("n").alias("branch_n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    quarters = child.join(branch, ["host", "t0"]).withColumn("quarters", F.floor(F.col("n") * 4 / F.col("branch_n") + 0.5))
-    shape = quarters.where("quarters > 0").groupBy("host", "t0").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "t1", F.col("quarters").cast("string")))), "|").alias("shape"))
-    purity = F.floor(F.col("bad") * 4 / F.col("labelled") + 0.5).cast("string")
-    merged = branch.join(shape, ["host", "t0"], "left").select("host", "t0", F.when(F.col("labelled") >= ENOUGH, F.concat_ws("|", F.lit("="), purity, F.coalesce("shape", F.lit("")))).otherwise(F.concat(F.lit("/"), "t0")).alias("branch"))
-    tree = scratch.table(tree.join(merged, ["host", "t0"]), "merged")
-
-    path = ["host", "branch", *levels[1:]]
-    share = rows.agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    segment = F.get("segments", F.lit(k))
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")] + [F.max("purity").alias("purity")]
+    child = tree.where(segment.isNotNull()).groupBy("host", "node", segment.alias("segment")).agg(*sums)
+    whole = child.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("node_n"))
+    rare = (F.col("kinds") > WIDE) & (F.col("n") < RARE * F.col("node_n"))
+    named = child.join(whole, ["host", "node"]).withColumn("token", F.when(rare, F.lit(WILD)).otherwise(F.col("segment")))
+
+    siblings, alike = Window.partitionBy("host", "node"), Window.partitionBy("host", "node", "finding")
+    tested = named.groupBy("host", "node", "token").agg(*sums).withColumn("all_bad", F.sum("bad").over(siblings)).withColumn("all_labelled", F.sum("labelled").over(siblings))
+    apart = (F.col("bad") * F.col("all_labelled") - F.col("all_bad") * F.col("labelled")).cast("double")
+    chance = SIGNIFICANT * F.col("labelled") * F.col("all_bad") * (F.col("all_labelled") - F.col("all_bad"))
+    finding = F.when(apart * apart <= chance, "=").when(apart > 0, "+").otherwise("-")
+    tested = tested.withColumn("finding", F.when(F.col("labelled") >= ENOUGH, finding).otherwise(F.concat(F.lit("/"), "token")))
+    name = F.concat(F.min("token").over(alike), F.when(F.count("*").over(alike) > 1, MERGED).otherwise(""))
+    branches = tested.select("host", "node", "token", name.alias("name"), _smoothed(F.sum("bad").over(alike), F.sum("labelled").over(alike), F.col("purity")).alias("branch_purity"))
+
+    found = named.select("host", "node", "segment", "token").join(branches, ["host", "node", "token"]).drop("token")
+    both = tree.withColumn("segment", segment).join(found, ["host", "node", "segment"], "left")
+    return both.select("host", "segments", "n", "labelled", "bad", F.when(F.col("name").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "name")).alias("node"), F.coalesce("branch_purity", "purity").alias("purity"))
+
+
+def _judged(scratch: Scratch, counted: DataFrame) -> DataFrame:
+    """(host, segments, template, badness) of counted(host, segments, n, labelled, bad). Each level is written, as the
+    next one reads it twice."""
+    share = counted.agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
     share = share.select(F.least((F.coalesce("all_bad", F.lit(0)) + 1.0) / (F.coalesce("all_labelled", F.lit(0)) + 10.0), F.lit(LIMIT / 2)).alias("prior"))
-    nodes = tree.groupBy(*path).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).crossJoin(share)  # one row
-    for k in range(len(path)):
-        keys = path[: k + 1]
-        sums = nodes.groupBy(*keys).agg(F.sum("bad").alias("node_bad"), F.sum("labelled").alias("node_labelled"))
-        smoothed = (F.col("node_bad") + SMOOTHING * F.col("prior")) / (F.col("node_labelled") + SMOOTHING)
-        # a path that has ended is not smoothed again because of longer ones elsewhere
-        nodes = nodes.join(sums, keys).withColumn("prior", smoothed if k <= DEPTH + 1 else F.when(F.col(path[k]) != "", smoothed).otherwise(F.col("prior")))
-        nodes = scratch.table(nodes.drop("node_bad", "node_labelled"), "nodes")
-    found = nodes.select(*path, (F.col("prior") >= LIMIT).alias("bad_template"), F.col("prior").alias("badness"))
-    deeper = [F.when(F.col(t) != "", F.col(t)) for t in levels[DEPTH + 1 :]]
-    return tree.join(found, path).select("host", "segments", "bad_template", "badness", F.concat_ws("/", "host", "branch", *levels[1 : DEPTH + 1], *deeper).alias("template"))
-
-
-def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = (), bad: Column | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    hosts = counted.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("labelled").alias("host_labelled")).crossJoin(share)  # one row
+    hosts = hosts.select("host", F.lit("").alias("node"), _smoothed(F.col("host_bad"), F.col("host_labelled"), F.col("prior")).alias("purity"))
+    tree = counted.join(hosts, "host")
+    for k in range(counted.agg(F.max(F.size("segments"))).first()[0] or 0):
+        tree = scratch.table(_level(tree, k), "level")
+    return tree.select("host", "segments", F.concat("host", "node").alias("template"), F.col("purity").alias("badness"))
+
+
+def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = (), bad: Column | None = None, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: (page_id, host, path, rule, verdict, template, badness).
 
     ``bad`` is a boolean column of pages that labels a page as bad or good, or is null. verdict is that of the longest
     fitting rule, else ``block`` where the page's template is rejected, else ``allow``. Null urls and urls without
     ``://`` have an empty host and path; they share one template. Repeated rows are judged alike, and count again in the
-    trees; null ids stay null. The tree has a level for each segment of the longest path, written
-    in turn. An empty table gives no rows; other columns are not read.
+    trees; null ids stay null. Paths of more than ``depth`` segments have the rest of the path as their last one, so none
+    are taken for each other. An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col(url_col).cast("string"))
     label = F.lit(None).cast("boolean") if bad is None else bad
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"), label.alias("bad"))
-    rows = scratch.table(rows.withColumn("segments", _segments(F.col("path"))), "rows")
-    counted = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"))
-    counted = scratch.table(counted, "templates")
-    depth = counted.agg(F.max(F.size("segments"))).first()[0] or 0
-    verdicts = scratch.table(_rejected(scratch, counted, depth), "verdicts")
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"), label.alias("is_bad"))
+    rows = scratch.table(rows.withColumn("segments", _segments(F.col("path"), depth)), "rows")
+    counted = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("is_bad").alias("labelled"), F.sum(F.when(F.col("is_bad"), 1).otherwise(0)).alias("bad"))
+    verdicts = _judged(scratch, scratch.table(counted, "templates"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     named = rows.join(verdicts, ["host", "segments"])
-    return named.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_template"), "block").otherwise("allow")).alias("verdict"), "template", "badness")
+    return named.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("badness") >= LIMIT, "block").otherwise("allow")).alias("verdict"), "template", "badness")

@@ -76,6 +76,50 @@ def test_spans_and_accents(spark):
     assert text.encode()[row[0].first_byte : row[0].end_byte].decode() == item.upper()
 
 
+def edited(item, rate, r):
+    """A copy with this share of its words replaced, removed or preceded by another."""
+    out = []
+    for w in item:
+        kind = r.randrange(3) if r.random() < rate else 3
+        out += [[f"x{r.randrange(10**6)}"], [], [f"x{r.randrange(10**6)}", w], [w]][kind]
+    return out
+
+
+def test_recall_of_edited_copies_over_rates():
+    """Against alignment of every pair, with and without exact copies and common n-grams elsewhere."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)] + ["the", "of", "and", "to"] * 300
+    items = [[r.choice(vocabulary) for _ in range(n)] for n in (12, 20, 42, 60) for _ in range(8)]
+    rates = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35)
+    copies = [(k, rate, edited(item, rate, r)) for rate in rates for k, item in enumerate(items)]
+    index = d.build_index([(k, " ".join(x)) for k, x in enumerate(items)], d.SEED_WORDS, d.LEAST_WORDS)
+    numbers = lambda xs: d.words(*d.utf8(d.pa.array([" ".join(xs)], d.pa.large_string())))[2]
+    own = [numbers(x) for _, _, x in copies]
+    for extra in (0, 5_000):
+        counts = np.zeros(len(index.keys), np.int64)
+        for words in own:
+            at, key = d._hits(index, d.shingles(words, d.SEED_WORDS))
+            counts[np.unique(key)] += 1
+        counts += extra  # exact copies of all items in so many other documents
+        seeds = d.seeds_only(index, counts, d.SEED_SHARE, d.COMMON)
+        hit, there = dict.fromkeys(rates, 0), dict.fromkeys(rates, 0)
+        for (k, rate, x), words in zip(copies, own):
+            if smith_waterman(items[k], x) >= d.LIMIT * d.MATCH * len(items[k]):
+                there[rate] += 1
+                hit[rate] += k in {n for n, *_ in d.passages(seeds, words, d.SEED_WORDS, d.LIMIT)}
+        recall = {rate: round(hit[rate] / there[rate], 3) for rate in rates if there[rate]}
+        print(extra, recall, sum(there.values()))
+        assert min(recall.values()) >= 0.9 and sum(hit.values()) >= 0.97 * sum(there.values())
+
+
+def test_seeds_are_those_that_occur(spark):
+    """Six of forty n-grams are shared: two words in seven are replaced."""
+    item = [f"w{i}" for i in range(42)]
+    copy = [w if i % 7 not in (2, 6) else f"other{i}" for i, w in enumerate(item)]
+    found = d.find(spark.createDataFrame([(1, " ".join(copy))], "doc_id long, text string"), spark.createDataFrame([(-1, " ".join(item)), (None, "w1 w2 w3")], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, -1)] and found[0].score >= d.LIMIT
+
+
 def test_empty_sides(spark):
     docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     assert d.find(docs.limit(0), items).collect() == [] == d.find(docs, items.limit(0)).collect()

@@ -38,23 +38,23 @@ def brute_force(rows, budget, epochs, seed, weights):
     supply = {k: v for k, v in supply.items() if v}
     weight = lambda level, name: weights.get(level, {}).get(name, 1)
 
+    useful = {leaf: s * epochs * all(weight(level, name) > 0 for level, name in zip(mixing.LEVELS, leaf)) for leaf, s in supply.items()}
+
     def hand(budget, prefix):
         if len(prefix) == 3:
             return {prefix: budget}
         level = mixing.LEVELS[len(prefix)]
         below = {}
-        for leaf, s in supply.items():
+        for leaf, s in useful.items():
             if leaf[: len(prefix)] == prefix:
-                below[leaf[len(prefix)]] = below.get(leaf[len(prefix)], 0) + s * epochs
-        children = {n: (weight(level, n), s) for n, s in below.items()}
-        most = sum(s for w, s in children.values() if w > 0)
+                below[leaf[len(prefix)]] = below.get(leaf[len(prefix)], 0) + s
         out = {}
-        for n, b in water(min(budget, most), children).items():
+        for n, b in water(budget, {n: (weight(level, n), s) for n, s in below.items()}).items():
             out |= hand(b, (*prefix, n))
         return out
 
     total = sum(supply.values())
-    given = hand(total * budget[0] // budget[1], ())
+    given = hand(min(total * budget[0] // budget[1], sum(useful.values())), ())
     out = []
     for leaf, b in given.items():
         whole, rest = divmod(b, supply[leaf])
@@ -84,11 +84,21 @@ def test_matches_brute_force(spark, budget, epochs, weights):
     assert sorted(str(tuple(r)[:6]) for r in found.collect()) == want
 
 
-def test_shuffled_leaves_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+def test_shuffled_leaves_give_the_same(spark):
     rows = corpus(9)
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert sorted(str(tuple(r)[:6]) for r in mixing.select(frame, budget=(1, 2), max_epochs=1, seed=7).collect()) == brute_force(rows, (1, 2), 1, 7, {})[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(str(tuple(r)[:6]) for r in mixing.select(frame, budget=(1, 2), max_epochs=1, seed=7).collect()) == brute_force(rows, (1, 2), 1, 7, {})[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_shortage_below_goes_to_siblings_above(spark):
+    """Half of the first domain has no weight: what it cannot give comes from the second, up to the whole budget."""
+    leaves = spark.createDataFrame([("AAAA", "x", "s", 100), ("AAAA", "y", "s", 10), ("BBBB", "y", "s", 100)], "domain string, lang string, source string, tokens long")
+    given = {(r.domain, r.lang): r.given for r in mixing.budgets(leaves, budget=(1, 2), max_epochs=1, weights={"lang": {"x": 0}}).collect()}
+    assert given == {("AAAA", "y"): 10, ("BBBB", "y"): 95}
 
 
 def test_whole_rows(spark):

@@ -35,6 +35,24 @@ def test_no_labels_and_empty_table(spark):
     assert quality.score(docs.limit(0), labels, F.lit(True)).collect() == []
 
 
+def test_fit_matches_the_normal_equations(spark):
+    import pyarrow as pa
+
+    rows = texts(7, 300)
+    stats = quality.statistics(pa.array([t for _, t, _ in rows]))
+    y = np.array([q for *_, q in rows], float)
+    out = np.arange(len(rows)) % 4 == 0
+    frame = spark.createDataFrame([(s.tolist(), float(q), bool(o)) for s, q, o in zip(stats, y, out)], "stats array<double>, label double, left_out boolean").repartition(5)
+    model = quality.fit(frame, features=40)
+    assert np.allclose(model.mean, stats[~out].mean(axis=0)) and np.allclose(model.scale, np.where(stats[~out].std(axis=0) > 1e-9, stats[~out].std(axis=0), 1))
+    z = model.features(stats[~out])
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y[~out]), atol=1e-6)
+    bins = np.floor((np.clip(model.raw(stats[out]), -0.5, 1.5) + 0.5) / 2 * (quality.BINS - 1)).astype(int)
+    own = np.unique(bins)
+    levels = quality.isotonic(np.array([y[out][bins == b].mean() for b in own]), np.array([(bins == b).sum() for b in own], float))
+    assert np.allclose(model.edges, (own + 0.5) * 2 / (quality.BINS - 1) - 0.5) and np.allclose(model.levels, levels)
+
+
 def test_isotonic_regression_by_brute_force():
     r = random.Random(3)
     for _ in range(50):

@@ -56,6 +56,26 @@ def test_sections_deep_in_paths_are_told_apart(spark):
     assert [(got[i].template, got[i].badness) for i, *_ in short] == [(alone[i].template, alone[i].badness) for i, *_ in short]
 
 
+def test_similar_siblings_are_merged_at_every_level_and_different_ones_are_not(spark):
+    rows, n = [], 0
+    for top in ("a", "b"):
+        for section, bad in (("one", 0.9), ("two", 0.85), ("three", 0.1), ("four", 0.1), ("five", 0.1)):
+            for i in range(20):
+                rows.append((n := n + 1, f"http://h/{top}/{section}/{i}", i < 20 * bad))
+    rows.append((n + 1, "http://h/a/new/1", None))
+    got = judged(spark, rows)
+    of = {u.split("/", 3)[3].rsplit("/", 1)[0]: got[k].template for k, u, _ in rows}
+    assert of["a/one"] == of["b/one"] == of["a/two"] != of["a/three"] == of["b/four"] and of["a/new"] not in (of["a/one"], of["a/three"])
+    assert got[1].verdict == "block" and got[50].verdict == "allow" == got[n].verdict
+
+
+def test_long_paths_keep_their_rest(spark):
+    deep = "/".join(f"s{i % 3}" for i in range(300))
+    rows = [(i, f"http://h/{deep}/{'good' if i % 2 else 'bad'}/x", i % 2 == 0) for i in range(24)] + [(100, "http://h/" + "q/" * 100_000, None)]
+    got = judged(spark, rows)
+    assert {got[i].verdict for i in range(0, 24, 2)} == {"block"} and {got[i].verdict for i in range(1, 24, 2)} == {"allow"}
+
+
 def test_empty_table_and_null_ids(spark):
     frame = spark.createDataFrame([(None, "http://h/x"), (None, "http://h/x")], "page_id long, url string")
     assert [(r.page_id, r.verdict) for r in url_filter.judge(frame).collect()] == [(None, "allow")] * 2
