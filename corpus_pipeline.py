@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, langid, minhash, mixing, wavelet
-from quillon.llm._cluster import Scratch
+from quillon.llm._cluster import Scratch, written
 from quillon.llm.queries import table, tokenizer_path
 
 #: Target weights of the mixing stage; children that are not named weigh 1. Nine tenths of the tokens are taken, once.
@@ -49,11 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the documents of sf_dir."""
+    """All stages, applied to the documents of sf_dir. What a stage leaves behind goes once its result is written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = scratch.table(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with written(spark):
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
