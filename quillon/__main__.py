@@ -7,12 +7,11 @@ import json
 import shlex
 import subprocess
 import sys
-from pathlib import Path
 
 from quillon.operators import triage
 from quillon.plans import harness
 from quillon.runtime import mcp, providers, retry
-from quillon.sources import reports
+from quillon.sources import files, reports
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -22,26 +21,26 @@ def _parser() -> argparse.ArgumentParser:
     def add(name: str, said: str, *, fixtures: bool = True) -> argparse.ArgumentParser:
         own = runs.add_parser(name, help=said)
         if fixtures:
-            own.add_argument("--fixture-dir", type=Path, required=True)
-        own.add_argument("--out-json", type=Path)
+            own.add_argument("--fixture-dir", type=str, required=True)
+        own.add_argument("--out-json", type=str)
         own.add_argument("--master", default="local[*]", help="Spark master where no session is set up by spark-submit")
         return own
 
     exact = add("exact", "the exact cosine lane")
-    exact.add_argument("--out-latency", type=Path)
+    exact.add_argument("--out-latency", type=str)
     for name, said in (("paired", "exact against binary latency"), ("lanes", "quality and latency of five lanes")):
         own = add(name, said)
         own.add_argument("--cache-state", choices=("cold", "warm"), default="warm")
         own.add_argument("--threads", type=int, default=1)
         own.add_argument("--rerank-depth", type=int, default=5)
         if name == "lanes":
-            own.add_argument("--out-latency", type=Path)
+            own.add_argument("--out-latency", type=str)
     own = add("reasoning", "retrieve, decide, judge and emit")
-    own.add_argument("--out-trace", type=Path)
+    own.add_argument("--out-trace", type=str)
     own.add_argument("--threads", type=int, default=1)
     own.add_argument("--rerank-depth", type=int, default=2)
     own.add_argument("--runtime", choices=("local", "replay", *providers.PROVIDERS), default="local")
-    own.add_argument("--runtime-fixture", type=Path)
+    own.add_argument("--runtime-fixture", type=str)
     own.add_argument("--llm-model")
     own.add_argument("--judge-model")
     own.add_argument("--api-key-env")
@@ -54,7 +53,7 @@ def _parser() -> argparse.ArgumentParser:
     for field, kind in (("max-attempts", int), ("initial-backoff-seconds", float), ("max-backoff-seconds", float), ("backoff-multiplier", float)):
         own.add_argument(f"--retry-{field}", type=kind, default=getattr(retry.RetryPolicy(), field.replace("-", "_")))
     own = add("disposition", "analyst labels against a reasoning report")
-    own.add_argument("--tier2-json", type=Path, required=True)
+    own.add_argument("--tier2-json", type=str, required=True)
     own = add("probe", "list a tool server's tools and call one", fixtures=False)
     own.add_argument("--tool", default=mcp.ECHO_TOOL)
     own.add_argument("--message", default="hello")
@@ -101,7 +100,7 @@ def main(argv: list[str] | None = None) -> dict:
 
     spark = SparkSession.builder.master(args.master).appName("quillon").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.run == "disposition":
-        return harness.disposition_run(spark, args.fixture_dir / "analyst_labels.json", args.tier2_json, out_json=args.out_json)
+        return harness.disposition_run(spark, files.join(args.fixture_dir, "analyst_labels.json"), args.tier2_json, out_json=args.out_json)
     given = harness.Fixtures(spark, args.fixture_dir)
     if args.run == "exact":
         return harness.exact_run(given, out_json=args.out_json, out_latency=args.out_latency)

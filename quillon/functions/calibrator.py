@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.kernels import BITS, binary_words
+from quillon.operators import quantiles
+from quillon.sources import files
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,12 @@ class Calibrator:
 
     def save(self, path: str | Path, *, encoder_id: str) -> None:
         """A JSON sidecar with a checksum over encoder and values."""
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps({"encoder_id": encoder_id, "thresholds": self.thresholds, "rotation": self.rotation, "checksum": self.checksum(encoder_id)}))
+        files.write_text(path, json.dumps({"encoder_id": encoder_id, "thresholds": self.thresholds, "rotation": self.rotation, "checksum": self.checksum(encoder_id)}))
 
     @classmethod
     def load(cls, path: str | Path, *, encoder_id: str | None = None) -> Calibrator:
         """Read a sidecar; another encoder than the one asked for and changed values raise."""
-        found = json.loads(Path(path).read_text())
+        found = json.loads(files.read_text(path))
         rotation = tuple(map(tuple, found["rotation"])) if found.get("rotation") else None
         own = cls(tuple(found["thresholds"]), rotation)
         if encoder_id is not None and found["encoder_id"] != encoder_id:
@@ -70,7 +71,8 @@ class Calibrator:
 def thresholds(vectors: DataFrame, column: str) -> DataFrame:
     """(dim, threshold): the exact median of each of the first 48 dimensions, as FLOAT. One vector a row."""
     each = vectors.select(F.posexplode(F.slice(column, 1, BITS)).alias("dim", "x"))
-    return each.groupBy("dim").agg(F.expr("percentile(cast(x as double), 0.5)").cast("float").alias("threshold"))
+    found = quantiles.exact(each, "dim", "x", (0.5,))
+    return vectors.sparkSession.createDataFrame([(dim, float(np.float32(x))) for (dim, _), x in sorted(found.items())], "dim int, threshold float")
 
 
 def fit(vectors: DataFrame, column: str) -> Calibrator:

@@ -54,9 +54,8 @@ def words_of_bytes(tokens: Column | str) -> Column:
     """BIGINT words of an array of BINARY rows of 8 bytes: little-endian, low 48 bits. Other lengths raise."""
 
     def word(row: Column) -> Column:
-        value = F.lit(0).cast("bigint")
-        for k in range(BITS // 8):
-            value = value.bitwiseOR(F.shiftleft(F.conv(F.hex(F.substring(row, k + 1, 1)), 16, 10).cast("bigint"), 8 * k))
+        digits = F.hex(row)
+        value = F.conv(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(BITS // 8)))), 16, 10).cast("bigint")
         return F.when(F.length(row) == 8, value).otherwise(F.raise_error(F.lit("binary token rows must have 8 bytes")).cast("bigint"))
 
     return F.transform(_column(tokens), word)
@@ -145,10 +144,15 @@ def binary_words(tokens: Column | str, thresholds: Sequence[float], rotation: Se
 
 
 def register(spark: SparkSession) -> None:
-    """Make the kernels SQL functions of the session: hamming_maxsim, hamming_distance, text_tokens."""
+    """Make the kernels SQL functions of the session: hamming_maxsim over words, hamming_maxsim_bytes over rows of eight
+    bytes, words_of_bytes, hamming_distance, text_tokens."""
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION hamming_distance(a BIGINT, b BIGINT) RETURNS INT
         RETURN bit_count((a ^ b) & {MASK}L)""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION hamming_maxsim(q ARRAY<BIGINT>, d ARRAY<BIGINT>) RETURNS FLOAT
         RETURN CASE WHEN q IS NULL OR d IS NULL THEN CAST(NULL AS FLOAT) WHEN size(q) = 0 OR size(d) = 0 THEN CAST(0 AS FLOAT)
         ELSE CAST(aggregate(q, 0, (s, a) -> s + {BITS} - array_min(transform(d, b -> bit_count((a ^ b) & {MASK}L)))) AS FLOAT) END""")
+    digits = ", ".join(f"substr(hex(t), {2 * k + 1}, 2)" for k in reversed(range(BITS // 8)))
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION words_of_bytes(rows ARRAY<BINARY>) RETURNS ARRAY<BIGINT>
+        RETURN transform(rows, t -> CASE WHEN length(t) = 8 THEN CAST(conv(concat({digits}), 16, 10) AS BIGINT) ELSE CAST(raise_error('binary token rows must have 8 bytes') AS BIGINT) END)""")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hamming_maxsim_bytes(q ARRAY<BINARY>, d ARRAY<BINARY>) RETURNS FLOAT RETURN hamming_maxsim(words_of_bytes(q), words_of_bytes(d))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION text_tokens(t STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(lower(t), '[a-z0-9]+', 0)")

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.kernels import text_tokens
+from quillon.sources import files
 
 K1, B = 1.2, 0.75
 #: Terms that are written into the filter; more of them are joined.
-LITERAL_TERMS = 500
+LITERAL_TERMS = 32
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,11 +35,15 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(text_tokens(text_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def _of_terms(terms: list[str]) -> Column:
+    wanted = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
+    return F.filter("toks", lambda t: F.array_contains(wanted, t))
+
+
 def frequencies(tokenized: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """(doc_id, length, term, tf) of the terms asked for."""
     if isinstance(terms, list):
-        wanted = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
-        each = tokenized.select("doc_id", "length", F.explode(F.filter("toks", lambda t: F.array_contains(wanted, t))).alias("term"))
+        each = tokenized.select("doc_id", "length", F.explode(_of_terms(terms)).alias("term"))
     else:
         each = tokenized.select("doc_id", "length", F.explode("toks").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     return each.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
@@ -48,13 +53,29 @@ def scores(docs: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B,
     """(query_id, doc_id, score, matched_terms) where the score is above 0.
 
     Scores are rounded to ten decimals, so that ties do not depend on the order of summation. A term that a query repeats counts repeatedly; matched_terms counts distinct ones. queries has (query_id, text).
-    An empty corpus and queries without terms give no rows. Ids of docs are unique.
+    An empty corpus and queries without terms give no rows. Ids of docs are unique. Texts are read once: what the
+    queries' terms leave of them is written in the shared folder.
     """
-    tokenized = tokens(docs, id_col, text_col)
-    asked = query_terms(queries)
-    distinct = asked.select("term").distinct()
+    distinct, few = _terms(queries)
+    own = tokens(docs, id_col, text_col)
+    if few is not None:
+        own = own.withColumn("toks", _of_terms(few))
+    return scores_of(files.stored(own, "bm25"), queries, k1=k1, b=b)
+
+
+def _terms(queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """The terms of queries, and these as a list where they are few."""
+    distinct = query_terms(queries).select("term").distinct()
     few = distinct.limit(LITERAL_TERMS + 1).collect()
-    tf = frequencies(tokenized, sorted(r["term"] for r in few) if len(few) <= LITERAL_TERMS else distinct)
+    return distinct, sorted(r["term"] for r in few) if len(few) <= LITERAL_TERMS else None
+
+
+def scores_of(tokenized: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+    """scores() of documents as tokens() gives them, best a written table: it is read for the terms, their document
+    frequencies and the corpus. toks need to have the queries' terms only."""
+    asked = query_terms(queries)
+    distinct, few = _terms(queries)
+    tf = frequencies(tokenized, distinct if few is None else few)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df, "term").crossJoin(corpus(tokenized))  # one row
     n, d = F.col("n_docs").cast("double"), F.col("df").cast("double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import quantiles
+
 
 def per_query(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, recall, ndcg, reciprocal_rank) for each query of qrels(query_id, doc_id).
@@ -13,7 +15,11 @@ def per_query(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     distinct documents; the reciprocal rank looks at all hits. Queries without hits have zeros.
     """
     wanted = qrels.groupBy("query_id").agg(F.count("doc_id").alias("expected"), F.countDistinct("doc_id").alias("distinct"))
-    relevant = hits.join(qrels.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    return _measured(wanted, hits.join(qrels.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi"), k)
+
+
+def _measured(wanted: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """The measures of wanted(query_id, expected, distinct) and the hits that are relevant."""
     found = relevant.groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).cast("double").alias("inside"),
         F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("gain"),
@@ -29,9 +35,22 @@ def per_query(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def per_query_by_label(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """per_query() where a document is relevant if it has the query's label, of queries(query_id, label) and
+    docs(doc_id, label) with unique ids. Relevant documents are counted by label, not listed."""
+    sizes = docs.groupBy("label").agg(F.count("*").alias("expected"))
+    wanted = queries.select("query_id", "label").join(sizes, "label", "left").select("query_id", F.coalesce("expected", F.lit(0)).alias("expected"))
+    relevant = hits.join(docs.select("doc_id", "label"), "doc_id").join(queries.select("query_id", "label"), ["query_id", "label"])
+    return _measured(wanted.withColumn("distinct", F.col("expected")), relevant, k)
+
+
 def ranking(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """One row of means over queries: recall, ndcg, mrr and query_count; zeros without queries."""
-    own = per_query(hits, qrels, k)
+    return means(per_query(hits, qrels, k))
+
+
+def means(own: DataFrame) -> DataFrame:
+    """ranking() of per_query()'s rows."""
     mean = lambda c, name: F.coalesce(F.avg(c), F.lit(0.0)).alias(name)
     return own.agg(mean("recall", "recall"), mean("ndcg", "ndcg"), mean("reciprocal_rank", "mrr"), F.count("*").alias("query_count"))
 
@@ -44,8 +63,8 @@ def boundary_ties(scored: DataFrame, k: int) -> DataFrame:
 
 def percentiles(frame: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """One row of exact percentiles by linear interpolation, named p50, p95, ...; 0 without rows."""
-    value = F.col(column).cast("double")
-    return frame.agg(*(F.coalesce(F.percentile(value, F.lit(s)), F.lit(0.0)).alias(f"p{round(s * 100)}") for s in shares))
+    found = quantiles.exact(frame.select(F.lit(0).alias("one"), F.col(column).alias("value")), "one", "value", shares)
+    return frame.sparkSession.createDataFrame([tuple(found.get((0, s), 0.0) for s in shares)], ", ".join(f"p{round(s * 100)} double" for s in shares))
 
 
 def aligned(expected: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -82,9 +101,11 @@ def cohens_kappa(pairs: DataFrame) -> DataFrame:
     return one.select(F.when(F.col("total").isNull(), 0.0).when(pe == 1.0, 1.0).otherwise((po - pe) / (1.0 - pe)).alias("cohens_kappa"))
 
 
-def confusion(pairs: DataFrame) -> DataFrame:
-    """(gold, pred, n) for all pairs of labels of either side, zeros included. The labels are few."""
+def confusion(pairs: DataFrame, most: int = 2_000) -> DataFrame:
+    """(gold, pred, n) for all pairs of labels of either side, zeros included. More than ``most`` labels raise."""
     labels = pairs.select(F.explode(F.array("gold", "pred")).alias("label")).distinct()
+    if (n := labels.count()) > most:
+        raise ValueError(f"a confusion matrix of {n} labels has {n * n} cells; at most {most} labels are allowed")
     grid = labels.select(F.col("label").alias("gold")).crossJoin(labels.select(F.col("label").alias("pred")))
     cells = pairs.groupBy("gold", "pred").agg(F.count("*").alias("n"))
     return grid.join(cells, ["gold", "pred"], "left").select("gold", "pred", F.coalesce("n", F.lit(0)).alias("n"))

@@ -8,7 +8,8 @@ returns Candidates.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from quillon.functions import filters
 from quillon.functions.kernels import cosine_maxsim, cosine_to, hamming_maxsim, normalized
 from quillon.operators import bm25, topk
 from quillon.operators.records import Candidate, Filter, Query
+from quillon.sources import files
 
 #: Documents that the coarse stage of a staged retriever keeps.
 PREFILTER = 200
@@ -140,20 +142,42 @@ class BinaryRetriever(Retriever):
 
     id, stage, needs, takes_filters = "hamming-udf-bin", "binary_hamming", ("binary",), True
 
+    def __init__(self, docs: DataFrame, *, alert_ids: Callable[[str], str] | DataFrame | None = None, **options):
+        """alert_ids: where doc_id is a row id, a function from it to the alert's id, or a table (_rowid, alert_id).
+        Ties are by row id; row ids that the table does not have stay."""
+        super().__init__(docs, **options)
+        self.alert_ids = alert_ids
+
+    def search(self, query: Query, k: int = 10) -> list[Candidate]:
+        hits = super().search(query, k)
+        if self.alert_ids is None:
+            return hits
+        if callable(self.alert_ids):
+            name = self.alert_ids
+        else:
+            known = self.alert_ids.where(F.col("_rowid").cast("string").isin([h.alert_id for h in hits]))
+            names = {str(r["_rowid"]): r["alert_id"] for r in known.select("_rowid", "alert_id").collect()}  # at most k
+            name = lambda row: names.get(row, row)
+        return [replace(h, alert_id=name(h.alert_id)) for h in hits]
+
     def best(self, query: Query, k: int) -> DataFrame:
         score = hamming_maxsim([int(w) for w in query.binary], "bin").cast("double")
         return topk.first_k(filters.apply(self.docs, query.filter).select("doc_id", score.alias("score")), k)
 
 
 class BM25Retriever(Retriever):
-    """BM25 over docs(doc_id, text)."""
+    """BM25 over docs(doc_id, text). Texts are tokenized once, when the first query without a filter comes."""
 
     id, stage, needs = "bm25", "bm25", ("text",)
+    _tokens: DataFrame | None = None
 
     def best(self, query: Query, k: int) -> DataFrame:
-        docs = filters.apply(self.docs, query.filter)
-        asked = docs.sparkSession.createDataFrame([("q", query.text)], "query_id string, text string")
-        return topk.first_k(bm25.scores(docs, asked), k)
+        asked = self.docs.sparkSession.createDataFrame([("q", query.text)], "query_id string, text string")
+        if query.filter is not None and not query.filter.is_noop():
+            return topk.first_k(bm25.scores(filters.apply(self.docs, query.filter), asked), k)
+        if self._tokens is None:
+            self._tokens = files.stored(bm25.tokens(self.docs), "bm25")
+        return topk.first_k(bm25.scores_of(self._tokens, asked), k)
 
     def search(self, query: Query, k: int = 10) -> list[Candidate]:
         self.check(query, k)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -12,24 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import calibrator
+from quillon.functions.kernels import hamming_maxsim
 from quillon.operators import metrics, retrieval, triage
 from quillon.operators.records import Query
 from quillon.runtime import samples as one_by_one
-from quillon.sources import fixtures, reports
+from quillon.sources import files, fixtures, reports
 
 LANES = ("bm25", "lance-mv", "hamming-udf-bin", "binary-then-fp16-rerank", "hybrid-bm25-then-fp16-rerank")
 
 
 class Fixtures:
-    """What the runs read. Vectors are .npz files, or given as tables (id, fp16)."""
+    """What the runs read, from a local folder or a URI. Vectors are .npz files, or given as tables (id, fp16)."""
 
     def __init__(self, spark: SparkSession, folder: str | Path, corpus: DataFrame | None = None, queries: DataFrame | None = None):
-        at = Path(folder)
-        self.spark, self.folder = spark, at
-        self.corpus = (corpus if corpus is not None else fixtures.token_matrices(spark, str(at / "corpus_fp16.npz"), "doc")).withColumnRenamed("id", "doc_id")
-        self.queries = (queries if queries is not None else fixtures.token_matrices(spark, str(at / "queries_fp16.npz"), "query")).withColumnRenamed("id", "query_id")
-        self.texts = fixtures.text_map(spark, str(at / "corpus_texts.json"))
-        self.query_texts = fixtures.text_map(spark, str(at / "query_texts.json"))
+        self.spark, self.folder = spark, str(folder).rstrip("/")
+        at = lambda name: files.join(self.folder, name)
+        self.corpus = (corpus if corpus is not None else fixtures.token_matrices(spark, at("corpus_fp16.npz"), "doc")).withColumnRenamed("id", "doc_id")
+        self.queries = (queries if queries is not None else fixtures.token_matrices(spark, at("queries_fp16.npz"), "query")).withColumnRenamed("id", "query_id")
+        self.texts = fixtures.text_map(spark, at("corpus_texts.json"))
+        self.query_texts = fixtures.text_map(spark, at("query_texts.json"))
 
     def documents(self) -> tuple[DataFrame, calibrator.Calibrator]:
         """(doc_id, fp16, bin, text), with a calibrator fitted on all tokens."""
@@ -38,10 +40,19 @@ class Fixtures:
         return docs, fitted
 
     def qrels(self) -> DataFrame:
-        return fixtures.qrels(self.spark, str(self.folder / "qrels.json"))
+        return fixtures.qrels(self.spark, files.join(self.folder, "qrels.json"))
 
 
-def _timed(lane: retrieval.Retriever, query: Query, k: int) -> tuple[list, float, float | None]:
+def _asked(ask: Callable[[Query], tuple], queries: Sequence[Query], threads: int) -> list[tuple]:
+    """The answers to queries in their order, so many asked at a time."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(ask, queries))
+
+
+def _timed(lane: retrieval.Retriever, query: Query, k: int, warm: bool = False) -> tuple[list, float, float | None]:
+    """(hits, milliseconds, those of the rerank) of a search, after an untimed one if warm."""
+    if warm:
+        lane.search(query, k)
     began = time.perf_counter()
     rerank = None
     if isinstance(lane, retrieval.StagedRetriever):
@@ -73,7 +84,7 @@ def retrieval_run(given: Fixtures, lanes: Sequence[str] | None = None, *, rerank
     """Each lane over each query, one at a time: quality and latency by lane.
 
     cache_state: warm keeps the documents cached and runs each query once untimed; cold reads them anew for each query.
-    threads is noted; Spark's own settings decide the parallelism.
+    ``threads`` queries of a lane are asked at a time; how many tasks each has is up to Spark's settings.
     """
     if threads < 1:
         raise ValueError("threads must be >= 1")
@@ -91,11 +102,10 @@ def retrieval_run(given: Fixtures, lanes: Sequence[str] | None = None, *, rerank
         asked = sorted(given.queries.collect())  # the harness's queries are few
         for name in wanted:
             lane, hits, ms, reranks = built[name], [], [], []
-            for q in asked:
-                query = Query(text=texts.get(q["query_id"]), fp16=q["fp16"], binary=fitted.encode(q["fp16"]))
-                if warm:
-                    lane.search(query, k)
-                found, took, rerank = _timed(lane, query, k)
+            queries = [Query(text=texts.get(q["query_id"]), fp16=q["fp16"], binary=fitted.encode(q["fp16"])) for q in asked]
+            if warm:
+                lane.search(queries[0], k) if queries else None
+            for q, (found, took, rerank) in zip(asked, _asked(lambda query: _timed(lane, query, k, warm), queries, threads)):
                 hits += [(q["query_id"], h.alert_id, i) for i, h in enumerate(found, 1)]
                 ms.append(took)
                 reranks += [] if rerank is None else [rerank]
@@ -130,24 +140,24 @@ def exact_run(given: Fixtures, *, out_json: str | Path | None = None, out_latenc
 
 
 def paired_run(given: Fixtures, *, rerank_depth: int = 5, threads: int = 1, cache_state: str = "warm", k: int = 10, command: str = "", commit: str = "", out_json: str | Path | None = None) -> dict:
-    """Exact against binary latency. kernel_ms is the scoring alone of the binary lane; it runs in the engine, so there
-    is no foreign-function overhead to subtract."""
+    """Exact against binary latency. kernel_ms is the scoring of all documents alone, without top-k; it runs in the engine,
+    so there is no foreign-function overhead to subtract. ``threads`` queries are asked at a time."""
+    if threads < 1:
+        raise ValueError("threads must be >= 1")
     docs, fitted = given.documents()
     docs = docs.cache() if cache_state == "warm" else docs
     both = {"fp16": retrieval.CosineRetriever(docs), "binary": retrieval.BinaryRetriever(docs)}
     ms: dict[str, list[float]] = {name: [] for name in both}
     kernel, kept = [], []
-    for q in sorted(given.queries.collect()):
-        query = Query(fp16=q["fp16"], binary=fitted.encode(q["fp16"]))
-        for name, lane in both.items():
-            if cache_state == "warm":
-                lane.search(query, k)
-            ms[name].append(_timed(lane, query, k)[1])
+    queries = [Query(fp16=q["fp16"], binary=fitted.encode(q["fp16"])) for q in sorted(given.queries.collect())]
+    for name, lane in both.items():
+        ms[name] = [took for _, took, _ in _asked(lambda query: _timed(lane, query, k, cache_state == "warm"), queries, threads)]  # noqa: B023
+    for query in queries:
         began = time.perf_counter()
-        both["binary"].best(query, rerank_depth).write.format("noop").mode("overwrite").save()
+        docs.select(hamming_maxsim(query.binary, "bin").alias("score")).write.format("noop").mode("overwrite").save()
         kernel.append((time.perf_counter() - began) * 1000)
         kept.append(both["binary"].best(query, rerank_depth).count())
-    out = {"fixture_id": given.folder.name, "corpus_size": docs.count(), "query_count": len(kept), "cache_state": cache_state, "thread_count": threads, "rerank_depth": rerank_depth, "command": command, "git_commit": commit}
+    out = {"fixture_id": given.folder.rsplit("/", 1)[-1], "corpus_size": docs.count(), "query_count": len(kept), "cache_state": cache_state, "thread_count": threads, "rerank_depth": rerank_depth, "command": command, "git_commit": commit}
     out |= {f"{name}_{label}_ms": _percentile(v, share) for name, v in ms.items() for label, share in (("p50", 50), ("p95", 95))}
     out |= {"kernel_ms": float(np.mean(kernel)) if kernel else 0.0, "ffi_overhead_ms": None, "binary_candidate_count": int(np.mean(kept)) if kept else 0}
     if cache_state == "warm":
@@ -177,7 +187,7 @@ def evidence_samples(given: Fixtures, *, rerank_depth: int = 2, k: int = 3) -> D
     queries = given.queries.withColumnRenamed("fp16", "q_fp16").withColumn("q_bin", fitted.words("q_fp16"))
     hits = retrieval.binary_then_cosine(queries, docs, k, rerank_depth).withColumn("stage", F.lit("fp16_maxsim"))
     evidence = triage.attach_evidence(hits, given.texts)
-    targets = fixtures.reasoning_targets(given.spark, str(given.folder / "reasoning_targets.json"))
+    targets = fixtures.reasoning_targets(given.spark, files.join(given.folder, "reasoning_targets.json"))
     texts = given.query_texts.select(F.col("id").alias("query_id"), F.col("text").alias("query_text"))
     empty = F.array().cast(triage.EVIDENCE)
     return given.queries.select("query_id").join(texts, "query_id").join(evidence, "query_id", "left").withColumn("evidence", F.coalesce("evidence", empty)).join(targets, "query_id")
@@ -225,8 +235,7 @@ def reasoning_run(given: Fixtures, *, runtime: str = "local", runtime_fixture: s
         if out_json:
             reports.write_report(out, out_json)
         if out_trace:
-            Path(out_trace).parent.mkdir(parents=True, exist_ok=True)
-            Path(out_trace).write_text("".join(json.dumps(r, sort_keys=True) + "\n" for r in rows))
+            files.write_text(out_trace, "".join(json.dumps(r, sort_keys=True) + "\n" for r in rows))
         done.unpersist()
         return out
     finally:
@@ -237,19 +246,21 @@ def reasoning_run(given: Fixtures, *, runtime: str = "local", runtime_fixture: s
 
 def _emitted(spark: SparkSession, done: DataFrame, tool: one_by_one.Tool) -> DataFrame:
     """The samples with the tool's own record in place of the local one."""
-    rows = []
-    for r in done.select("query_id", "query_text", *triage.DECISION).orderBy("query_id").toLocalIterator():
-        decision = one_by_one.Decision(r["query_id"], r["query_text"], r["action"], r["disposition"], r["confidence"], r["rationale"], tuple(r["cited_evidence_ids"]))
-        record = tool.emit(r["query_id"], r["query_text"], decision)
-        rows.append((r["query_id"], (record.kind, record.name, json.dumps(record.inputs), json.dumps(record.outputs))))
-    emitted = spark.createDataFrame(rows, "query_id string, tool_record struct<kind: string, name: string, inputs: string, outputs: string>")
+
+    def records() -> Iterator[tuple]:
+        for r in done.select("query_id", "query_text", *triage.DECISION).orderBy("query_id").toLocalIterator():
+            decision = one_by_one.Decision(r["query_id"], r["query_text"], r["action"], r["disposition"], r["confidence"], r["rationale"], tuple(r["cited_evidence_ids"]))
+            record = tool.emit(r["query_id"], r["query_text"], decision)
+            yield r["query_id"], (record.kind, record.name, json.dumps(record.inputs), json.dumps(record.outputs))
+
+    emitted = one_by_one.appended(spark, records(), "query_id string, tool_record struct<kind: string, name: string, inputs: string, outputs: string>")
     both = done.join(emitted, "query_id")
     return both.withColumn("audit_records", F.concat(F.slice("audit_records", 1, 2), F.array("tool_record"))).drop("tool_record")
 
 
 def disposition_run(spark: SparkSession, labels_json: str | Path, tier2_json: str | Path, *, out_json: str | Path | None = None) -> dict:
     """Analyst labels against the dispositions of a tier-2 report."""
-    found = json.loads(Path(tier2_json).read_text())["samples"]
+    found = json.loads(files.read_text(tier2_json))["samples"]
     ids = [str(s["query_id"]) for s in found]
     if len(ids) != len(set(ids)):
         raise ValueError("duplicate query_id values found in tier2 report")

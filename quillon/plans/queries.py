@@ -15,9 +15,9 @@ from quillon.functions import calibrator, filters
 from quillon.functions.kernels import BITS, cosine_to, hamming_maxsim, normalized, register, text_tokens, words_of_bytes
 from quillon.operators import bm25, metrics, retrieval, topk, triage
 from quillon.operators.records import Clause, Filter
-from quillon.sources import store
+from quillon.sources import files, store
 
-K, PREFILTER = 10, 20
+K, PREFILTER = 10, retrieval.PREFILTER
 #: Fixed query texts of the lexical lane: frequent and rarer words of the corpus.
 LEXICAL = (("q1", "the heat ring"), ("q2", "of the the tion"), ("q3", "para el que"), ("q4", "keit und der schach"), ("q5", "les une eau"))
 
@@ -37,10 +37,17 @@ def fitted(spark: SparkSession, sf_dir: str) -> calibrator.Calibrator:
     return calibrator.fit(table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, BITS).alias("v")), "v")
 
 
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, fp16, bin)."""
-    codes = fitted(spark, sf_dir).words(F.transform("fp16", lambda v: F.slice(v, 1, BITS)))
-    return multivectors(spark, sf_dir).withColumn("bin", codes)
+    """(doc_id, label, fp16, bin): the index that all lanes read. It is written in the shared folder when the session first
+    asks for it; the tables of sf_dir are taken not to change meanwhile."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        codes = fitted(spark, sf_dir).words(F.transform("fp16", lambda v: F.slice(v, 1, BITS)))
+        _indexes[key] = files.stored(multivectors(spark, sf_dir).withColumn("bin", codes), "index")
+    return _indexes[key]
 
 
 def asked(docs: DataFrame) -> DataFrame:
@@ -97,6 +104,21 @@ def hamming_pairs_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT q.doc_id AS query_id, a.doc_id, CAST(hamming_maxsim(q.bin, a.bin) AS DOUBLE) AS score FROM quillon_mv q CROSS JOIN quillon_mv a WHERE q.doc_id % 50 = 0")
 
 
+def hamming_bytes_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL function over rows of eight bytes, with their upper 16 bits set: orders' keys against their customers'."""
+    register(spark)
+    as_bytes = lambda key: f"array(unhex(concat({', '.join(f'lpad(hex(shiftright({key}, {8 * k}) & 255), 2, {zero})' for k in range(6) for zero in [chr(39) + '0' + chr(39)])}, 'FFFF')))"
+    score = F.expr(f"hamming_maxsim_bytes({as_bytes('o_orderkey')}, {as_bytes('o_custkey')})").cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", score.alias("score"))
+
+
+def rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes after a rotation that turns the order of the dimensions round, against thresholds of zero."""
+    turned = tuple(tuple(float(i + j == BITS - 1) for j in range(BITS)) for i in range(BITS))
+    codes = calibrator.Calibrator((0.0,) * BITS, turned).words(F.array(F.slice("embedding", 1, BITS)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(codes, 1).alias("word"))
+
+
 def normalized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivectors(spark, sf_dir).select("doc_id", F.posexplode(normalized("fp16")).alias("pos", "v")).select("doc_id", "pos", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"), F.round(F.element_at("v", 1), 6).alias("first"))
 
@@ -122,13 +144,13 @@ def hamming_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = multivectors(spark, sf_dir)
+    docs = encoded(spark, sf_dir)
     query = docs.where("doc_id = 0").first()["fp16"]
     return scores(topk.first_k(docs.select("doc_id", cosine_to(query, "fp16").alias("score")), K))
 
 
 def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = multivectors(spark, sf_dir)
+    docs = encoded(spark, sf_dir)
     return scores(retrieval.cosine_lane(asked(docs), docs, K))
 
 
@@ -153,10 +175,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_then_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' texts and multivectors by the same id; the query's vectors are those of document 0, 1, ... in turn."""
-    docs = multivectors(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    vectors = multivectors(spark, sf_dir).where(F.col("doc_id") < len(LEXICAL)).select(F.concat(F.lit("q"), (F.col("doc_id") + 1).cast("string")).alias("query_id"), F.col("fp16").alias("q_fp16"))
-    return scores(retrieval.bm25_then_cosine(lexical_queries(spark).join(vectors, "query_id"), docs, K, PREFILTER))
+    """BM25 over all documents, then those candidates that have multivectors, which go by the same id; the query's vectors
+    are those of document 0, 1, ... in turn."""
+    vectors = encoded(spark, sf_dir).where(F.col("doc_id") < len(LEXICAL)).select(F.concat(F.lit("q"), (F.col("doc_id") + 1).cast("string")).alias("query_id"), F.col("fp16").alias("q_fp16"))
+    coarse = retrieval.bm25_lane(lexical_queries(spark), table(spark, sf_dir, "documents"), PREFILTER)
+    return scores(retrieval.rerank(coarse, vectors, encoded(spark, sf_dir), K, "bm25_score"))
 
 
 BM25_SQL = (
@@ -206,24 +229,27 @@ def filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Metrics ---------------------------------------------------------------------------------------------------------------
 
 
-def _qrels(docs: DataFrame) -> DataFrame:
-    labels = docs.select("doc_id", "label")
-    return labels.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "label").join(labels, "label").select("query_id", "doc_id")
-
-
 def ranking_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = encoded(spark, sf_dir)
     hits = retrieval.binary_then_cosine(asked(docs), docs, K, PREFILTER)
-    return scores(metrics.per_query(hits, _qrels(docs), K))
+    return scores(metrics.per_query_by_label(hits, asked(docs), docs, K))
 
 
 def lane_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encoded(spark, sf_dir)
-    queries, qrels = asked(docs), _qrels(docs)
-    lanes = {"hamming-udf-bin": retrieval.binary_lane(queries, docs, K), "lance-mv": retrieval.cosine_lane(queries, docs, K), "binary-then-fp16-rerank": retrieval.binary_then_cosine(queries, docs, K, PREFILTER)}
+    """All five lanes. The lexical ones ask the fixed texts in turn."""
+    docs, texts = encoded(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = asked(docs).withColumn("text", F.element_at(F.array(*(F.lit(t) for _, t in LEXICAL)), (F.expr("query_id div 50") % len(LEXICAL) + 1).cast("int")))
+    # queries of one text have the same lexical candidates, which are looked for once
+    words = lexical_queries(spark).join(queries.select("text", F.col("query_id").alias("own")), "text")
+    coarse = files.stored(retrieval.bm25_lane(lexical_queries(spark), texts, PREFILTER), "lexical")
+    coarse = words.join(coarse, "query_id").select(F.col("own").alias("query_id"), "doc_id", "score", "rank", "matched_terms")
+    lanes = {
+        "bm25": coarse.where(F.col("rank") <= K), "lance-mv": retrieval.cosine_lane(queries, docs, K), "hamming-udf-bin": retrieval.binary_lane(queries, docs, K),
+        "binary-then-fp16-rerank": retrieval.binary_then_cosine(queries, docs, K, PREFILTER), "hybrid-bm25-then-fp16-rerank": retrieval.rerank(coarse, queries, docs, K, "bm25_score"),
+    }
     out = None
     for name, hits in lanes.items():
-        row = metrics.ranking(hits, qrels, K).select(F.lit(name).alias("retriever"), "*")
+        row = metrics.means(metrics.per_query_by_label(hits, queries, docs, K)).select(F.lit(name).alias("retriever"), "*")
         out = row if out is None else out.unionByName(row)
     return scores(out)
 
@@ -312,9 +338,15 @@ def mean_judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(triage.mean_scores(triage.judge(triage.decide(samples(spark, sf_dir)))), 5)
 
 
+def replay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of scores replayed from a table of them by id."""
+    judged = triage.judge(triage.decide(samples(spark, sf_dir)))
+    return scores(triage.mean_scores(triage.replay(triage.decide(samples(spark, sf_dir)), judged.select("query_id", *triage.SCORES), "judge")), 5)
+
+
 def audit_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row; the judge's name is expected as another one, so that it is an orphan in every sample."""
-    done = triage.with_audit(triage.judge(triage.decide(samples(spark, sf_dir))))
+    done = files.stored(triage.with_audit(triage.judge(triage.decide(samples(spark, sf_dir)))).select("query_id", "terminal_output_kind", "terminal_tool", "audit_records"), "audit")
     summary = triage.audit_summary(done, names=[triage.TRIAGER, "another judge"], roles=["triager", "judge"])
     return summary.crossJoin(triage.gates(done, names=[triage.TRIAGER, triage.JUDGE], roles=["triager", "judge"]))  # one row each
 
@@ -357,6 +389,11 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(parts, writes)
 
 
+def store_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of orders by their key."""
+    return store.row_ids(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
 def store_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multivectors by a table of ids, some of them repeated and some missing."""
     ids = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("doc_id"))
@@ -375,12 +412,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, binary_then_cosine,
         bm25_stats, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
-        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, store_upsert, store_fetch, evidence_attach,
+        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_fetch, store_row_ids, evidence_attach, hamming_bytes_sql,
+        rotated_codes,
     )
 } | {f"filter_{name}": _filtered(name) for name in FILTERS}
 
 _DOC0 = "(SELECT {c} FROM mv WHERE doc_id = 0)"
-_HYBRID = BM25_SQL.replace("{docs}", "(SELECT doc_id, text FROM documents JOIN mv USING (doc_id)) x")
 _BM25 = BM25_SQL.replace("{docs}", "documents")
 ORACLE_SQL: dict[str, str] = {
     "binary_thresholds": "SELECT (dim - 1)::INT AS dim, round(quantile_cont(x::DOUBLE, 0.5)::FLOAT::DOUBLE, 6) AS threshold FROM (SELECT unnest(range(1, 49)) AS dim, unnest(embedding[1:48]) AS x FROM embeddings) GROUP BY dim",
@@ -397,13 +434,16 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_stats": f"WITH {_BM25} SELECT term, df, tf, n_docs, round(avg_length, 6) AS avg_length FROM df, corpus",
     "bm25_all": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms FROM found WHERE score > 0",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank, matched_terms FROM ({_top('found', K, 'score > 0')})",
-    "hybrid_then_cosine": f"""WITH {MV}, {_HYBRID}, coarse AS ({_top("found", PREFILTER, "score > 0")}),
+    "hybrid_then_cosine": f"""WITH {MV}, {_BM25}, coarse AS ({_top("found", PREFILTER, "score > 0")}),
 fine AS (SELECT c.query_id, c.doc_id, c.score AS bm25_score, matched_terms, {COSINE.format(q="q.fp16", d="d.fp16")} AS score FROM coarse c JOIN mv q ON 'q' || (q.doc_id + 1) = c.query_id JOIN mv d ON d.doc_id = c.doc_id)
 SELECT query_id, doc_id, round(bm25_score, 6) AS bm25_score, matched_terms, round(score, 6) AS score, rank::INT AS rank FROM ({_top("fine")})""",
     "filter_orders": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_totalprice >= 150000 AND o_orderpriority <> '5-LOW' GROUP BY ALL",
     "ranking_per_query": f"WITH {STAGED_SQL}, {_QRELS_SQL} SELECT query_id, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(reciprocal_rank, 6) AS reciprocal_rank FROM {_metrics_sql('staged')}",
-    "lane_comparison": f"WITH {STAGED_SQL}, {_QRELS_SQL}, cos_pairs AS (SELECT q.doc_id AS query_id, d.doc_id, {COSINE.format(q='q.fp16', d='d.fp16')} AS score FROM mv q, mv d WHERE q.doc_id % 50 = 0), ham AS ({_top('pairs')}), cosine AS ({_top('cos_pairs')})\n"
-    + " UNION ALL ".join(f"SELECT '{name}' AS retriever, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(reciprocal_rank), 6) AS mrr, count(*) AS query_count FROM {_metrics_sql(hits)}" for name, hits in (("hamming-udf-bin", "ham"), ("lance-mv", "cosine"), ("binary-then-fp16-rerank", "staged"))),
+    "lane_comparison": f"""WITH {STAGED_SQL}, {_QRELS_SQL}, cos_pairs AS (SELECT q.doc_id AS query_id, d.doc_id, {COSINE.format(q='q.fp16', d='d.fp16')} AS score FROM mv q, mv d WHERE q.doc_id % 50 = 0), ham AS ({_top('pairs')}), cosine AS ({_top('cos_pairs')}),
+{_BM25}, lexical AS (SELECT m.doc_id AS query_id, c.doc_id, c.rank FROM mv m JOIN ({_top("found", PREFILTER, "score > 0")}) c ON c.query_id = 'q' || ((m.doc_id // 50) % {len(LEXICAL)} + 1) WHERE m.doc_id % 50 = 0),
+words AS (SELECT * FROM lexical WHERE rank <= {K}), hybrid_pairs AS (SELECT l.query_id, l.doc_id, {COSINE.format(q='q.fp16', d='d.fp16')} AS score FROM lexical l JOIN mv q ON q.doc_id = l.query_id JOIN mv d ON d.doc_id = l.doc_id), hybrid AS ({_top("hybrid_pairs")})
+"""
+    + " UNION ALL ".join(f"SELECT '{name}' AS retriever, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(reciprocal_rank), 6) AS mrr, count(*) AS query_count FROM {_metrics_sql(hits)}" for name, hits in (("bm25", "words"), ("hamming-udf-bin", "ham"), ("lance-mv", "cosine"), ("binary-then-fp16-rerank", "staged"), ("hybrid-bm25-then-fp16-rerank", "hybrid"))),
     "latency_percentiles": "SELECT round(coalesce(quantile_cont(value, 0.5), 0), 6) AS p50, round(coalesce(quantile_cont(value, 0.95), 0), 6) AS p95, round(coalesce(quantile_cont(value, 0.99), 0), 6) AS p99 FROM events",
     "weighted_f1": f"WITH {PAIRS_SQL}, {PER_LABEL_SQL} SELECT round(coalesce(sum(f1 * support) / sum(support), 0), 6) AS weighted_f1 FROM per_label",
     "cohens_kappa": f"WITH {PAIRS_SQL}, s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (gold = pred)::DOUBLE AS same FROM pairs), c AS (SELECT sum(g * p)::DOUBLE AS bth FROM (SELECT gold AS label, count(*)::DOUBLE AS g FROM pairs GROUP BY gold) JOIN (SELECT pred AS label, count(*)::DOUBLE AS p FROM pairs GROUP BY pred) USING (label)) SELECT round((same / n - bth / (n * n)) / (1 - bth / (n * n)), 6) AS cohens_kappa FROM s, c",
@@ -413,7 +453,17 @@ SELECT query_id, doc_id, round(bm25_score, 6) AS bm25_score, matched_terms, roun
     "rule_triage": f"WITH {SAMPLES_SQL} SELECT query_id, action, disposition, confidence, rationale, array_to_string(cited, ',') AS cited FROM decided",
     "judge_scores": f"WITH {SAMPLES_SQL} SELECT query_id, {', '.join(f'round({s}, 6) AS {s}' for s in triage.SCORES)} FROM judged",
     "mean_judge_scores": f"WITH {SAMPLES_SQL} SELECT {', '.join(f'round(avg({s}), 5) AS {s}' for s in triage.SCORES)} FROM judged",
-    "audit_and_gates": "SELECT count(*) AS orphan_llm_calls, 0::BIGINT AS orphan_tool_calls, true AS g_agent_terminality, true AS g_auditability FROM orders",
+    "audit_and_gates": f"""WITH {SAMPLES_SQL}, records AS (SELECT query_id, unnest([{{'kind': 'model_call', 'name': '{triage.TRIAGER}', 'role': 'triager'}}, {{'kind': 'model_call', 'name': '{triage.JUDGE}', 'role': 'judge'}}, {{'kind': 'tool_call', 'name': '{triage.TERMINAL_TOOL}', 'role': ''}}], recursive := true), unnest(range(3)) AS place FROM judged),
+wanted(asks, kind, name, role) AS (VALUES ('summary', 'model_call', '{triage.TRIAGER}', NULL), ('summary', 'model_call', 'another judge', NULL), ('summary', 'model_call', NULL, 'triager'), ('summary', 'model_call', NULL, 'judge'), ('summary', 'tool_call', '{triage.TERMINAL_TOOL}', NULL),
+  ('gate', 'model_call', '{triage.TRIAGER}', NULL), ('gate', 'model_call', '{triage.JUDGE}', NULL), ('gate', 'model_call', NULL, 'triager'), ('gate', 'model_call', NULL, 'judge'), ('gate', 'tool_call', '{triage.TERMINAL_TOOL}', NULL)),
+met AS (SELECT w.asks, w.kind, w.name, w.role, count(DISTINCT r.query_id) AS n FROM wanted w LEFT JOIN records r ON r.kind = w.kind AND (r.name = w.name OR r.role = w.role) GROUP BY ALL),
+missing AS (SELECT asks, kind, sum((SELECT count(*) FROM judged) - n)::BIGINT AS n FROM met GROUP BY ALL)
+SELECT (SELECT n FROM missing WHERE asks = 'summary' AND kind = 'model_call') AS orphan_llm_calls, (SELECT n FROM missing WHERE asks = 'summary' AND kind = 'tool_call') AS orphan_tool_calls,
+  (SELECT bool_and(kind = 'tool_call' AND name = '{triage.TERMINAL_TOOL}') FROM records WHERE place = 2) AS g_agent_terminality, (SELECT sum(n) = 0 FROM missing WHERE asks = 'gate') AS g_auditability""",
+    "replay_scores": f"WITH {SAMPLES_SQL} SELECT {', '.join(f'round(avg({s}), 5) AS {s}' for s in triage.SCORES)} FROM judged",
+    "store_row_ids": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR AS _rowid FROM orders",
+    "hamming_bytes_sql": f"SELECT o_orderkey, ({BITS} - bit_count(xor(o_orderkey, o_custkey) & {(1 << BITS) - 1}))::DOUBLE AS score FROM orders",
+    "rotated_codes": f"SELECT vec_id, list_sum(list_transform(range(1, {BITS + 1}), lambda i: CASE WHEN embedding[{BITS + 1} - i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END))::BIGINT AS word FROM embeddings",
     "replay_decisions": f"WITH {SAMPLES_SQL} SELECT action, disposition, count(*) AS n FROM decided GROUP BY ALL",
     "store_upsert": """WITH w AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity > 10 THEN l_extendedprice END AS price, CASE WHEN l_discount > 0.05 THEN l_returnflag END AS brand FROM lineitem
   UNION ALL SELECT p_partkey, -1, p_retailprice, p_brand FROM part)

@@ -1,19 +1,24 @@
 """One triage sample at a time, for runtimes whose decisions come from outside Spark.
 
-Such calls have side effects, so they run once each on the driver, or in one mapInPandas stage whose result is written;
-never inside a plan that may be computed again.
+Such calls have side effects, so they run once each on the driver, never inside a plan that may be computed again. What
+they give is appended to a table in the shared folder in batches, so the driver holds one batch at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass
+from itertools import batched
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.operators import triage
+from quillon.sources import files
+
+#: Samples that the driver holds before it writes them.
+BATCH = 500
 
 
 @dataclass(frozen=True)
@@ -101,12 +106,23 @@ def run(spark: SparkSession, samples: DataFrame, triager: Triager, judge: Judge,
 
     The rows come to the driver one at a time; the result has the columns of the column-wise operators.
     """
-    out = []
+    return appended(spark, _run(samples, triager, judge, tool), SAMPLE_SCHEMA)
+
+
+def appended(spark: SparkSession, rows: Iterable[tuple], schema: str, batch: int = BATCH) -> DataFrame:
+    """A table of rows, written ``batch`` at a time."""
+    folder = files.new_folder(spark, "samples")
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    for part in batched(rows, batch):
+        spark.createDataFrame(list(part), schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _run(samples: DataFrame, triager: Triager, judge: Judge, tool: Tool) -> Iterator[tuple]:
     for row in samples.orderBy("query_id").toLocalIterator():
         evidence = [Evidence(**e.asDict()) for e in row["evidence"] or []]
         decision, first = triager.decide(row["query_id"], row["query_text"], evidence)
         scores, second = judge.evaluate(row["query_id"], row["query_text"], decision, evidence, row.asDict())
         third = tool.emit(row["query_id"], row["query_text"], decision)
         records = [(r.kind, r.name, json.dumps(r.inputs), json.dumps(r.outputs)) for r in (first, second, third)]
-        out.append((row["query_id"], row["query_text"], [tuple(asdict(e).values()) for e in evidence], decision.action, decision.disposition, decision.confidence, decision.rationale, list(decision.cited_evidence_ids), *(float(scores[s]) for s in triage.SCORES), [e.alert_id for e in evidence], "tool_call", tool.tool_name, records))
-    return spark.createDataFrame(out, SAMPLE_SCHEMA)
+        yield (row["query_id"], row["query_text"], [tuple(asdict(e).values()) for e in evidence], decision.action, decision.disposition, decision.confidence, decision.rationale, list(decision.cited_evidence_ids), *(float(scores[s]) for s in triage.SCORES), [e.alert_id for e in evidence], "tool_call", tool.tool_name, records)

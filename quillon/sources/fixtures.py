@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +53,14 @@ def replay_fixture(spark: SparkSession, path: str) -> tuple[str, str, DataFrame,
 
 
 def token_matrices(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(id, fp16) of an .npz file with {kind}_ids and {kind}_tokens, read on the driver without pickle."""
-    with np.load(path, allow_pickle=False) as data:
-        rows = [(str(i), np.asarray(t, np.float32).tolist()) for i, t in zip(data[f"{kind}_ids"], data[f"{kind}_tokens"])]
-    return spark.createDataFrame(rows, "id string, fp16 array<array<float>>")
+    """(id, fp16) of .npz files with {kind}_ids and {kind}_tokens, read by the executors without pickle."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as data:
+                    ids, tokens = data[f"{kind}_ids"], data[f"{kind}_tokens"]
+                for k in range(0, len(ids), 1000):
+                    yield pd.DataFrame({"id": [str(i) for i in ids[k : k + 1000]], "fp16": [np.asarray(t, np.float32).tolist() for t in tokens[k : k + 1000]]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "id string, fp16 array<array<float>>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 from collections.abc import Mapping, Sequence
 from pathlib import Path
@@ -10,20 +11,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources import files
+
 
 def write_report(report: Mapping, path: str | Path) -> None:
-    """Indented JSON with sorted keys."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, sort_keys=True) + "\n")
+    """Indented JSON with sorted keys; as the other files here, at a local path or a URI that Spark reaches."""
+    files.write_text(path, json.dumps(report, indent=2, sort_keys=True) + "\n")
 
 
 def write_latencies(rows: Sequence[Mapping], path: str | Path, *, staged: bool = False) -> None:
     """A CSV table of retriever, query_id, k, (stage,) latency_ms."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", newline="") as out:
-        writer = csv.DictWriter(out, ["retriever", "query_id", "k", *(["stage"] if staged else []), "latency_ms"])
-        writer.writeheader()
-        writer.writerows(rows)
+    out = io.StringIO(newline="")
+    writer = csv.DictWriter(out, ["retriever", "query_id", "k", *(["stage"] if staged else []), "latency_ms"])
+    writer.writeheader()
+    writer.writerows(rows)
+    files.write_text(path, out.getvalue())
 
 
 def write_latency_table(frame: DataFrame, path: str) -> None:
@@ -36,7 +38,11 @@ def trace_lines(samples: DataFrame) -> DataFrame:
 
 
 def write_trace(samples: DataFrame, path: str | Path) -> None:
-    """The trace as a file of JSON lines on the driver, sorted by query_id. Samples come one at a time."""
+    """The trace as one file of JSON lines, sorted by query_id. Samples come one at a time; at a URI, Spark writes a
+    folder of such files instead, each sorted."""
+    if files.is_uri(path):
+        trace_lines(samples.orderBy("query_id")).write.mode("overwrite").text(str(path))
+        return
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w") as out:
         for row in samples.orderBy("query_id").toLocalIterator():

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.sources import files
+
 MULTIVECTORS = T.StructType([T.StructField("alert_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("mv_fp16", T.ArrayType(T.ArrayType(T.FloatType())))])
 BINARY = T.StructType([T.StructField("_rowid", T.StringType()), T.StructField("mv_bin", T.ArrayType(T.LongType()))])
 
@@ -45,10 +47,14 @@ def read_multivectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(frame: DataFrame, ids: DataFrame | Sequence[str], id_col: str = "alert_id") -> DataFrame:
-    """The rows with one of the ids, each once; ids that are not there are skipped."""
+    """The rows with one of the ids, each once; ids that are not there are skipped. Ids of a sequence are in its order,
+    by where each stands first."""
     if isinstance(ids, DataFrame):
         return frame.join(ids.select(id_col).distinct(), id_col, "left_semi")
-    return frame.where(F.col(id_col).isin(*set(ids))) if ids else frame.limit(0)
+    if not ids:
+        return frame.limit(0)
+    asked = frame.sparkSession.createDataFrame([(i, k) for k, i in enumerate(dict.fromkeys(ids))], T.StructType([T.StructField(id_col, frame.schema[id_col].dataType), T.StructField("_asked", T.LongType())]))
+    return frame.join(F.broadcast(asked), id_col).orderBy("_asked").select(*frame.columns)  # as many rows as the caller gave
 
 
 def size(frame: DataFrame, column: str | None = None) -> int:
@@ -72,5 +78,11 @@ def in_id_order(frame: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def row_ids(frame: DataFrame, order_col: str) -> DataFrame:
-    """Add _rowid, the position by order_col as text, so that ids order as text."""
-    return frame.withColumn("_rowid", (F.row_number().over(Window.orderBy(order_col)) - 1).cast("string"))
+    """Add _rowid, the position by order_col as text. The rows are written in ranges of order_col, and numbered by the
+    rows before each range and their place in it."""
+    place = F.monotonically_increasing_id()
+    ranged = files.stored(frame.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("_at", place), "row-ids")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.withColumn("_part", part).join(before, "_part").select(*frame.columns, (F.col("_before") + inside).cast("string").alias("_rowid"))

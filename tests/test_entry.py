@@ -19,7 +19,7 @@ def test_names_match():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["binary_encode", "binary_then_cosine", "bm25_topk", "filter_not_in", "ranking_per_query", "judge_scores", "store_upsert", "cohens_kappa"])
+@pytest.mark.parametrize("name", ["binary_encode", "binary_then_cosine", "bm25_topk", "filter_not_in", "ranking_per_query", "judge_scores", "store_upsert", "cohens_kappa", "lane_comparison", "audit_and_gates", "hybrid_then_cosine", "rotated_codes", "hamming_bytes_sql", "store_row_ids", "replay_scores", "binary_thresholds", "latency_percentiles"])
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
     for t in "part orders lineitem documents embeddings labels events".split():

@@ -2,11 +2,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 
-from quillon.operators import metrics, triage
+from quillon.operators import metrics, quantiles, triage
 from quillon.plans import harness
-from quillon.sources import fixtures, reports
+from quillon.sources import files, fixtures, reports
 
 
 def test_ranking_by_hand(spark):
@@ -151,6 +152,42 @@ def test_retrieval_runs(given, tmp_path):
             harness.retrieval_run(given, **bad)
 
 
+def test_threads_and_uris(given, folder, tmp_path):
+    out = harness.retrieval_run(given, ["hamming-udf-bin"], threads=2, out_json=(tmp_path / "r.json").as_uri(), out_latency=(tmp_path / "l.csv").as_uri())
+    assert out["thread_count"] == 2 and out["metrics"]["hamming-udf-bin"]["mrr"] == 1.0
+    assert json.loads(files.read_text((tmp_path / "r.json").as_uri())) == json.loads((tmp_path / "r.json").read_text()) == out
+    assert (tmp_path / "l.csv").read_text().splitlines()[0] == "retriever,query_id,k,stage,latency_ms"
+    again = harness.Fixtures(given.spark, folder.as_uri(), given.corpus.withColumnRenamed("doc_id", "id"), given.queries.withColumnRenamed("query_id", "id"))
+    assert again.qrels().count() == given.qrels().count() > 0
+
+
+def test_exact_quantiles_without_a_buffer(spark):
+    r = random.Random(6)
+    groups = {0: [r.gauss(0, 1) for _ in range(501)], 1: [2.0] * 7, 2: [10.0 ** r.randrange(-300, 300) for _ in range(300)], 3: [1.0, 2.0]}
+    frame = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [(0, None), (9, None)], "g int, x double").repartition(3)
+    for small in (0, 10**6):
+        got = quantiles.exact(frame, "g", "x", (0.0, 0.25, 0.5, 0.95, 1.0), small=small)
+        assert got == {(g, s): pytest.approx(float(np.quantile(xs, s)), rel=1e-9) for g, xs in groups.items() for s in (0.0, 0.25, 0.5, 0.95, 1.0)}
+
+
+def test_relevance_by_label_is_that_of_listed_pairs(spark):
+    r = random.Random(7)
+    docs = spark.createDataFrame([(k, r.randrange(4)) for k in range(40)], "doc_id long, label int")
+    queries = spark.createDataFrame([(k, k % 5) for k in range(10)], "query_id long, label int")
+    hits = spark.createDataFrame([(q, d, i + 1) for q in range(9) for i, d in enumerate(r.sample(range(40), 12))], "query_id long, doc_id long, rank int")
+    listed = queries.where("label < 4").join(docs, "label").select("query_id", "doc_id")
+    rows = lambda frame: sorted(tuple(round(x, 9) for x in row) for row in frame.collect())
+    found = rows(metrics.per_query_by_label(hits, queries, docs, 5))
+    assert [x for x in found if x[0] % 5 < 4] == rows(metrics.per_query(hits, listed, 5)) and [x[1:] for x in found if x[0] % 5 == 4] == [(0.0, 0.0, 0.0)] * 2
+
+
+def test_too_many_labels_for_a_matrix_raise(spark):
+    pairs = spark.createDataFrame([(str(k), str(k + 1)) for k in range(9)], "gold string, pred string")
+    assert metrics.confusion(pairs).count() == 100
+    with pytest.raises(ValueError, match="10 labels"):
+        metrics.confusion(pairs, most=9)
+
+
 def test_retrieval_gates_and_boundary_ties(spark):
     report = {"metrics": {"lance-mv": {"p50_ms": 8.0, "ndcg@10": 0.9}, "hamming-udf-bin": {"p50_ms": 2.0}, "binary-then-fp16-rerank": {"ndcg@10": 0.87}}}
     assert harness.retrieval_gates(report) == {"g_retrieval_speed": True, "g_retrieval_quality": False}

@@ -144,5 +144,22 @@ def test_upsert_and_fetch(spark):
     assert [r.id for r in store.in_id_order(spark.createDataFrame([("9",), ("10",)], "id string")).collect()] == ["10", "9"]
 
 
+def test_fetch_keeps_the_order_asked_for(spark):
+    table = spark.createDataFrame([(k, float(k)) for k in range(20)], "id long, v double").repartition(4)
+    assert [r.id for r in store.fetch(table, [7, 3, 99, 7, 12, 0], "id").collect()] == [7, 3, 12, 0]
+
+
+def test_row_ids_are_positions_over_all_partitions(spark):
+    table = spark.createDataFrame([(f"k{k:03d}",) for k in range(300)], "id string").repartition(7)
+    assert sorted((r.id, r._rowid) for r in store.row_ids(table, "id").collect()) == [(f"k{k:03d}", str(k)) for k in range(300)]
+    assert store.row_ids(table.limit(0), "id").collect() == []
+
+
+def test_row_ids_are_mapped_to_alerts(spark, docs):
+    mapping = spark.createDataFrame([("a", "alert-a"), ("10", "alert-10")], "_rowid string, alert_id string")
+    for names in (lambda row: {"a": "alert-a", "10": "alert-10"}.get(row, row), mapping):
+        assert ids(retrieval.BinaryRetriever(docs, alert_ids=names).search(Query(binary=[3]), 3)) == ["alert-10", "alert-a", "b"]
+
+
 def test_score_of_is_the_formula():
     assert bm25.score_of(1, 1, 3, 4, 4.0) == pytest.approx(math.log(1 + 2.5 / 1.5))
