@@ -135,7 +135,9 @@ def select(
 def mixed(docs: DataFrame, *, domain: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that select() takes, with all their columns; once for each epoch that takes them.
 
-    Of rows with equal id, text and leaf, the first ones in the table have what their takings leave over.
+    Null languages, sources and texts count as empty, and texts without tokens are taken whenever their place comes. Rows
+    with equal id, text and leaf tie: their takings are dealt to them evenly, and the first ones in the table have what
+    that leaves over. Rows with a null id take part; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
     keys = ["doc_id", *LEVELS, "tokens", "text_md5"]

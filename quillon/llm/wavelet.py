@@ -264,7 +264,11 @@ def find(spark, folder: str, token: int, *, most: int = 1_000) -> DataFrame:
 
 
 def token_files(docs: DataFrame, path: str, *, end_id: int, folder: str | None = None, **columns) -> DataFrame:
-    """write_shards() into a folder, a new one in the shared folder by default, and documents() read back from it."""
+    """write_shards() into a folder, a new one in the shared folder by default, and documents() read back from it.
+
+    One row per row of docs, null ids and repeated rows included; null and empty texts have the end id alone. An empty
+    table gives no rows.
+    """
     spark = docs.sparkSession
     folder = folder or Scratch(spark, "shards").path("ids")
     write_shards(docs, folder, path, end_id=end_id, **columns)
