@@ -17,8 +17,7 @@ def join(folder: str | Path, name: str) -> str:
     return f"{str(folder).rstrip('/')}/{name}"
 
 
-def _hadoop(path: str):
-    spark = SparkSession.getActiveSession()
+def _hadoop(spark: SparkSession, path: str):
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -26,7 +25,7 @@ def _hadoop(path: str):
 def write_text(path: str | Path, text: str) -> None:
     """Replace a file."""
     if is_uri(path):
-        at, store = _hadoop(str(path))
+        at, store = _hadoop(SparkSession.builder.getOrCreate(), str(path))
         out = store.create(at, True)
         try:
             out.write(bytearray(text.encode()))
@@ -39,7 +38,7 @@ def write_text(path: str | Path, text: str) -> None:
 
 def read_text(path: str | Path) -> str:
     if is_uri(path):
-        return SparkSession.getActiveSession().read.text(str(path), wholetext=True).first()[0]
+        return SparkSession.builder.getOrCreate().read.text(str(path), wholetext=True).first()[0]
     return Path(path).read_text()
 
 
@@ -59,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, tag: str) -> str:
     """A new folder in the shared one, deleted when the application ends."""
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
-    at, store = _hadoop(path)
+    at, store = _hadoop(spark, path)
     store.mkdirs(at)
     store.deleteOnExit(at)
     return path

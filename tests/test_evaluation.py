@@ -153,7 +153,7 @@ def test_retrieval_runs(given, tmp_path):
 
 
 def test_threads_and_uris(given, folder, tmp_path):
-    out = harness.retrieval_run(given, ["hamming-udf-bin"], threads=2, out_json=(tmp_path / "r.json").as_uri(), out_latency=(tmp_path / "l.csv").as_uri())
+    out = harness.retrieval_run(given, ["bm25", "hamming-udf-bin"], threads=2, out_json=(tmp_path / "r.json").as_uri(), out_latency=(tmp_path / "l.csv").as_uri())
     assert out["thread_count"] == 2 and out["metrics"]["hamming-udf-bin"]["mrr"] == 1.0
     assert json.loads(files.read_text((tmp_path / "r.json").as_uri())) == json.loads((tmp_path / "r.json").read_text()) == out
     assert (tmp_path / "l.csv").read_text().splitlines()[0] == "retriever,query_id,k,stage,latency_ms"
