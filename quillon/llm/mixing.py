@@ -107,10 +107,13 @@ def select(
     last epoch of a leaf ends before the first row that exceeds its budget. Repeated rows are rows of their own and tie;
     rows with a null id take part. An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    rows = docs.select(*_described(domain, tokens, id_col, text_col))
-    rows = scratch.table(rows, "rows")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.table(docs.select(*_described(domain, tokens, id_col, text_col)), "rows")
+    return _selected(scratch, rows, budget=budget, max_epochs=max_epochs, seed=seed, weights=weights)
+
+
+def _selected(scratch: Scratch, rows: DataFrame, *, budget: tuple[int, int], max_epochs: int, seed: int, weights: Mapping[str, Mapping[str, int]] | None) -> DataFrame:
+    """select() of a written table of _described() rows."""
     leaves = scratch.table(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "leaves")
     plan = budgets(leaves, budget=budget, max_epochs=max_epochs, weights=weights).where("given > 0")
     plan = scratch.table(plan.select(*LEVELS, F.expr("given div tokens").alias("whole"), (F.col("given") % F.col("tokens")).alias("rest")), "plan")
@@ -132,7 +135,18 @@ def select(
     return full.select(*rows.columns, "epoch").unionByName(last).select("doc_id", *LEVELS, "tokens", "epoch", "text_md5")
 
 
-def mixed(docs: DataFrame, *, domain: Column | None = None, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    *,
+    budget: tuple[int, int],
+    max_epochs: int,
+    seed: int,
+    weights: Mapping[str, Mapping[str, int]] | None = None,
+    domain: Column | None = None,
+    tokens: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """The rows of docs that select() takes, with all their columns; once for each epoch that takes them.
 
     Null languages, sources and texts count as empty, and texts without tokens are taken whenever their place comes. Rows
@@ -140,19 +154,23 @@ def mixed(docs: DataFrame, *, domain: Column | None = None, tokens: Column | Non
     that leaves over. Rows with a null id take part; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixed")
-    keys = ["doc_id", *LEVELS, "tokens", "text_md5"]
     own = _described(domain, tokens, id_col, text_col)
-    taken = select(docs, domain=domain, tokens=tokens, id_col=id_col, text_col=text_col, **options).groupBy(*keys).agg(F.count("*").alias("rows_taken"))
-    there = docs.select(*own).groupBy(*keys).agg(F.count("*").alias("rows_there"))
+    rows = scratch.table(docs.select(*own), "rows")
+    # rows that are equal here have equally many tokens, unless these are given
+    keys = ["doc_id", *LEVELS, "text_md5", *(["tokens"] if tokens is not None else [])]
+    taken = _selected(scratch, rows, budget=budget, max_epochs=max_epochs, seed=seed, weights=weights).groupBy(*keys).agg(F.count("*").alias("rows_taken"))
+    there = rows.groupBy(*keys).agg(F.count("*").alias("rows_there"))
     times = taken.alias("a").join(there.alias("b"), _same("a", "b", keys)).select("a.*", F.expr("rows_taken div rows_there").alias("times"), (F.col("rows_taken") % F.col("rows_there")).alias("over"))
     times = scratch.table(times, "times")
     whole = docs.select(F.struct("*").alias("row"), *own).alias("w")
-    each = whole.join(times.where("times > 0").alias("t"), _same("w", "t", keys)).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    each = whole.join(times.where("times > 0").alias("t"), _same("w", "t", keys)).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("row.*")
     left = scratch.table(times.where("over > 0"), "over")  # its size is known then, and where it is small no text is shuffled
+    if left.isEmpty():
+        return each
     first = Window.partitionBy(*(f"t.{k}" for k in keys)).orderBy("place")
     rest = whole.withColumn("place", F.monotonically_increasing_id()).alias("w").join(left.alias("t"), _same("w", "t", keys))
     rest = rest.withColumn("nth", F.row_number().over(first)).where("nth <= over")
-    return each.select("row.*").unionByName(rest.select("row.*"))
+    return each.unionByName(rest.select("row.*"))
 
 
 def _same(one: str, other: str, keys: list[str]) -> Column:
