@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunks, decontaminate, html_text, langid, minhash, mixing, quality, tokens, url_filter, wavelet
+from quillon.llm import chunks, decontaminate, html_text, langid, minhash, mixing, quality, repair, rules, tokens, url_filter, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +195,64 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+#: CRC-32 by bits; edits one row after the other, the best for each initial that the last row can have.
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS key FROM conversations
+), crc AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(key, lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS kind FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier FROM placed
+), convs AS (SELECT DISTINCT conv_id FROM conversations),
+summed AS (
+  SELECT c.conv_id, count(f.pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM convs c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+), ins(before_, after_, cost, letters) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (3, 2, 5, 'I'), (2, 3, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')),
+act(letter, initial, before_, after_, cost) AS (
+  VALUES ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0)
+  UNION ALL SELECT 'R', i, before_, after_, 1 FROM (VALUES ('s'), ('u'), ('a'), ('o')) i(i), (VALUES (0, 2), (1, 2), (3, 2), (2, 3)) t(before_, after_)
+  UNION ALL SELECT 'D', i, before_, before_, 2 FROM (VALUES ('s'), ('u'), ('a'), ('o')) i(i), range(4) t(before_)
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS state, 0::BIGINT AS cost, '' AS audit FROM convs
+  UNION ALL
+  SELECT conv_id, pos, state, cost, audit FROM (
+    SELECT d.conv_id, f.pos, act.after_ AS state, d.cost + ins.cost + act.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END AS cost, d.audit || ins.letters || letter AS audit,
+      row_number() OVER (PARTITION BY d.conv_id, act.after_ ORDER BY d.cost + ins.cost + act.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END, d.audit || ins.letters || letter) AS turn
+    FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1 JOIN ins ON ins.before_ = d.state JOIN act ON act.before_ = ins.after_ AND act.initial = f.initial
+    WHERE letter = 'D' OR fault NOT IN ('blank', 'duplicate')) WHERE turn = 1
+), ends AS (
+  SELECT s.*, d.cost + ins.cost AS cost, d.audit || ins.letters AS audit, row_number() OVER (PARTITION BY s.conv_id ORDER BY d.cost + ins.cost, d.audit || ins.letters) AS turn
+  FROM summed s JOIN dp d ON d.conv_id IS NOT DISTINCT FROM s.conv_id AND d.pos = s.n JOIN ins ON ins.before_ = d.state AND ins.after_ IN (0, 3)
+), best AS (SELECT * EXCLUDE (turn) FROM ends WHERE turn = 1),
+letters AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS i, audit FROM best),
+edits AS (SELECT conv_id, i, audit[i] AS edit, length(replace(audit[1:i], 'I', '')) AS pos, length(replace(audit[1:i], 'D', '')) AS place_ FROM letters WHERE audit[i] <> 'D'),
+rows_ AS (
+  SELECT e.*, f.role, f.text, max(CASE WHEN place_ = 1 AND edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system
+  FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.pos = e.pos AND e.edit <> 'I'
+), texts AS (
+  SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN (place_ - system) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS repaired FROM rows_ GROUP BY conv_id
+)
+SELECT b.conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, cost::BIGINT AS cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256 FROM best b LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
@@ -206,6 +264,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -213,4 +273,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
