@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunks, decontaminate, html_text, langid, minhash, mixing, quality, repair, rules, tokens, url_filter, wavelet
+from quillon.llm import align, chunks, decontaminate, html_text, langid, minhash, mixing, quality, repair, rules, tokens, url_filter, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -253,6 +253,13 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("doc", "doc_id")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    sides = ("tokenizers", tokenizer_path()), ("sentencepiece", public_tokenizers.path("piece_bpe_32k.model"))
+    return align.Alignment(table(spark, sf_dir, "documents"), *sides).scores().withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
@@ -266,6 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_quality_rules": op12_quality_rules,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
