@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import filters
 from quillon.functions.kernels import cosine_maxsim, cosine_to, hamming_maxsim, normalized
-from quillon.operators import bm25, topk
+from quillon.operators import bm25, postings, topk
 from quillon.operators.records import Candidate, Filter, Query
-from quillon.sources import files
 
 #: Documents that the coarse stage of a staged retriever keeps.
 PREFILTER = 200
@@ -40,8 +39,12 @@ def cosine_lane(queries: DataFrame, docs: DataFrame, k: int, where: Filter | Non
     return topk.against_all(left, right, lambda: cosine_maxsim("q_unit", "unit", unit=True), k)
 
 
-def bm25_lane(queries: DataFrame, docs: DataFrame, k: int, where: Filter | None = None) -> DataFrame:
-    """BM25 of queries(query_id, text) and docs(doc_id, text), with matched_terms. A filter narrows the corpus."""
+def bm25_lane(queries: DataFrame, docs: DataFrame | postings.Index, k: int, where: Filter | None = None) -> DataFrame:
+    """BM25 of queries(query_id, text) and docs(doc_id, text), with matched_terms. docs can be a stored index, whose blocks that
+    cannot hold a hit are skipped. A filter narrows the corpus, which an index does not allow."""
+    if isinstance(docs, postings.Index):
+        filters.refuse(where)
+        return postings.top(docs, queries, k)
     found = bm25.scores(filters.apply(docs, where), queries)
     return topk.ranked(found, k).select("query_id", "doc_id", "score", "rank", "matched_terms")
 
@@ -166,18 +169,18 @@ class BinaryRetriever(Retriever):
 
 
 class BM25Retriever(Retriever):
-    """BM25 over docs(doc_id, text). Texts are tokenized once, when the first query without a filter comes."""
+    """BM25 over docs(doc_id, text). The index is built once, when the first query without a filter comes."""
 
     id, stage, needs = "bm25", "bm25", ("text",)
-    _tokens: DataFrame | None = None
+    _index: postings.Index | None = None
 
     def best(self, query: Query, k: int) -> DataFrame:
         asked = self.docs.sparkSession.createDataFrame([("q", query.text)], "query_id string, text string")
         if query.filter is not None and not query.filter.is_noop():
             return topk.first_k(bm25.scores(filters.apply(self.docs, query.filter), asked), k)
-        if self._tokens is None:
-            self._tokens = files.stored(bm25.tokens(self.docs), "bm25")
-        return topk.first_k(bm25.scores_of(self._tokens, asked), k)
+        if self._index is None:
+            self._index = postings.build(self.docs)
+        return postings.top(self._index, asked, k).orderBy("rank")
 
     def search(self, query: Query, k: int = 10) -> list[Candidate]:
         self.check(query, k)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import calibrator, filters
 from quillon.functions.kernels import BITS, cosine_to, hamming_maxsim, normalized, register, text_tokens, words_of_bytes
-from quillon.operators import bm25, metrics, retrieval, topk, triage
+from quillon.operators import bm25, metrics, postings, retrieval, topk, triage
 from quillon.operators.records import Clause, Filter
 from quillon.sources import files, store
 
@@ -37,19 +37,36 @@ def fitted(spark: SparkSession, sf_dir: str) -> calibrator.Calibrator:
     return calibrator.fit(table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, BITS).alias("v")), "v")
 
 
-_indexes: dict[tuple[str, str], DataFrame] = {}
+_indexes: dict[tuple, object] = {}
 
 
-def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, fp16, bin): the index that all lanes read. It is written in the shared folder when the session first
-    asks for it; the tables of sf_dir are taken not to change meanwhile."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable):
+    """What make() gives, made when the session first asks for it or the table's files have changed since."""
+    key = (spark.sparkContext.applicationId, sf_dir, make.__qualname__, files.state(spark, f"{sf_dir}/{name}.parquet"))
     if key not in _indexes:
-        codes = fitted(spark, sf_dir).words(F.transform("fp16", lambda v: F.slice(v, 1, BITS)))
-        _indexes[key] = files.stored(multivectors(spark, sf_dir).withColumn("bin", codes), "index")
+        _indexes[key] = make()
     return _indexes[key]
 
 
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, fp16, bin): the index that all vector lanes read, written in the shared folder once."""
+
+    def codes() -> DataFrame:
+        words = fitted(spark, sf_dir).words(F.transform("fp16", lambda v: F.slice(v, 1, BITS)))
+        return files.stored(multivectors(spark, sf_dir).withColumn("bin", words), "index")
+
+    return _once(spark, sf_dir, "embeddings", codes)
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The postings of all documents, which all lexical lanes read, written in the shared folder once."""
+
+    def built() -> postings.Index:
+        return postings.build(table(spark, sf_dir, "documents"))
+
+    return _once(spark, sf_dir, "documents", built)
+
+
 def asked(docs: DataFrame) -> DataFrame:
     own = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id").withColumnRenamed("fp16", "q_fp16")
     return own.withColumnRenamed("bin", "q_bin") if "bin" in docs.columns else own
@@ -160,25 +177,31 @@ def binary_then_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = bm25.tokens(table(spark, sf_dir, "documents"))
+    index = lexical(spark, sf_dir)
     terms = sorted({w for _, t in LEXICAL for w in t.split()})
-    df = bm25.frequencies(own, terms).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    return scores(df.crossJoin(bm25.corpus(own)))  # one row
+    return scores(index.terms().where(F.col("term").isin(terms)).crossJoin(index.corpus()))  # one row
+
+
+def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each term of the index, by its postings."""
+    each = lexical(spark, sf_dir).postings().select("term", "n", F.explode(F.arrays_zip("tf", "length")).alias("p"), "impacts")
+    own = each.select("term", F.col("p.tf").alias("tf"), F.col("p.length").alias("length"), F.exists("impacts", lambda i: (i["tf"] >= F.col("p.tf")) & (i["length"] <= F.col("p.length"))).alias("bounded"))
+    return own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("most"), F.min("length").alias("shortest"), F.min("bounded").alias("bounded"))
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(bm25.scores(table(spark, sf_dir, "documents"), lexical_queries(spark)))
+    return scores(postings.scores(lexical(spark, sf_dir), lexical_queries(spark)))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(retrieval.bm25_lane(lexical_queries(spark), table(spark, sf_dir, "documents"), K))
+    return scores(retrieval.bm25_lane(lexical_queries(spark), lexical(spark, sf_dir), K))
 
 
 def hybrid_then_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over all documents, then those candidates that have multivectors, which go by the same id; the query's vectors
     are those of document 0, 1, ... in turn."""
     vectors = encoded(spark, sf_dir).where(F.col("doc_id") < len(LEXICAL)).select(F.concat(F.lit("q"), (F.col("doc_id") + 1).cast("string")).alias("query_id"), F.col("fp16").alias("q_fp16"))
-    coarse = retrieval.bm25_lane(lexical_queries(spark), table(spark, sf_dir, "documents"), PREFILTER)
+    coarse = retrieval.bm25_lane(lexical_queries(spark), lexical(spark, sf_dir), PREFILTER)
     return scores(retrieval.rerank(coarse, vectors, encoded(spark, sf_dir), K, "bm25_score"))
 
 
@@ -237,7 +260,7 @@ def ranking_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lane_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five lanes. The lexical ones ask the fixed texts in turn."""
-    docs, texts = encoded(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, texts = encoded(spark, sf_dir), lexical(spark, sf_dir)
     queries = asked(docs).withColumn("text", F.element_at(F.array(*(F.lit(t) for _, t in LEXICAL)), (F.expr("query_id div 50") % len(LEXICAL) + 1).cast("int")))
     # queries of one text have the same lexical candidates, which are looked for once
     words = lexical_queries(spark).join(queries.select("text", F.col("query_id").alias("own")), "text")
@@ -401,7 +424,7 @@ def store_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.bm25_lane(lexical_queries(spark), table(spark, sf_dir, "documents"), 3).withColumn("stage", F.lit("bm25"))
+    hits = files.stored(retrieval.bm25_lane(lexical_queries(spark), lexical(spark, sf_dir), 3).withColumn("stage", F.lit("bm25")), "hits")
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     found = triage.attach_evidence(hits, texts)
     return found.select("query_id", F.posexplode("evidence").alias("pos", "e")).select("query_id", "pos", F.col("e.alert_id").alias("alert_id"), F.round("e.score", 6).alias("score"), F.col("e.stage").alias("stage"), F.md5("e.text").alias("text_md5"))
@@ -411,7 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, binary_then_cosine,
-        bm25_stats, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
+        bm25_stats, bm25_terms, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
         gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_fetch, store_row_ids, evidence_attach, hamming_bytes_sql,
         rotated_codes,
     )
@@ -432,6 +455,8 @@ ORACLE_SQL: dict[str, str] = {
     "cosine_topk_batch": f"WITH {MV}, {ALL_COSINE} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ({_top('pairs')})",
     "binary_then_cosine": f"WITH {STAGED_SQL} SELECT query_id, doc_id, binary_score, round(score, 6) AS score, rank::INT AS rank FROM staged",
     "bm25_stats": f"WITH {_BM25} SELECT term, df, tf, n_docs, round(avg_length, 6) AS avg_length FROM df, corpus",
+    "bm25_terms": r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), each AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM toks), own AS (SELECT doc_id, length, term, count(*) AS tf FROM each GROUP BY ALL)
+SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(tf)::INT AS most, min(length)::INT AS shortest, true AS bounded FROM own GROUP BY term""",
     "bm25_all": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms FROM found WHERE score > 0",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank, matched_terms FROM ({_top('found', K, 'score > 0')})",
     "hybrid_then_cosine": f"""WITH {MV}, {_BM25}, coarse AS ({_top("found", PREFILTER, "score > 0")}),

@@ -22,6 +22,13 @@ def _hadoop(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at a path, which change when a table is written anew."""
+    at, store = _hadoop(spark, path)
+    found = store.listStatus(at)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
+
+
 def write_text(path: str | Path, text: str) -> None:
     """Replace a file."""
     if is_uri(path):
