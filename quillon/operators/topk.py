@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block. Each block is broadcast to one pass over the documents.
-BLOCK = 2_000
+#: Queries in a block, and documents in a tile that a block meets in one task.
+BLOCK, TILE = 2_000, 20_000
 
 
 def first_k(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
@@ -26,18 +26,21 @@ def ranked(scored: DataFrame, k: int, query_col: str = "query_id", id_col: str =
     return scored.where("score is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def against_all(queries: DataFrame, docs: DataFrame, score: Callable[[], Column], k: int, block: int = BLOCK) -> DataFrame:
+def against_all(queries: DataFrame, docs: DataFrame, score: Callable[[], Column], k: int, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """Top k of docs(doc_id, ...) for each row of queries(query_id, ...): (query_id, doc_id, score, rank).
 
-    Queries go in blocks of a bounded number, each broadcast. score() is a column over both sides' columns.
+    A block of queries is broadcast to one pass over the documents. More queries than that are dealt to blocks and the
+    documents to tiles, in one plan: each pair of a block and a tile meets in one task by its numbers. score() is a
+    column over both sides' columns.
     """
     n = queries.count()
-    blocks = max(1, -(-n // block))
-    place = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
-    found = None
-    for b in range(blocks):
-        part = queries.where(place == b) if blocks > 1 else queries
-        scored = docs.crossJoin(F.broadcast(part)).select("query_id", "doc_id", score().alias("score"))
-        top = ranked(scored, k)
-        found = top if found is None else found.unionByName(top)
-    return found
+    if n <= block:
+        both = docs.crossJoin(F.broadcast(queries))
+    else:
+        blocks, tiles = -(-n // block), max(1, -(-docs.count() // tile))
+        dealt = lambda c, parts: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        left = queries.withColumn("_block", dealt("query_id", blocks)).withColumn("_tile", every(tiles))
+        right = docs.withColumn("_tile", dealt("doc_id", tiles)).withColumn("_block", every(blocks))
+        both = right.join(left, ["_block", "_tile"])
+    return ranked(both.select("query_id", "doc_id", score().alias("score")), k)

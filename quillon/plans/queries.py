@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import calibrator, filters
 from quillon.functions.kernels import BITS, cosine_to, hamming_maxsim, normalized, register, text_tokens, words_of_bytes
-from quillon.operators import bm25, metrics, postings, retrieval, topk, triage
+from quillon.operators import bm25, metrics, postings, pruned, retrieval, topk, triage
 from quillon.operators.records import Clause, Filter
 from quillon.sources import files, store
 
@@ -171,6 +171,28 @@ def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(retrieval.cosine_lane(asked(docs), docs, K))
 
 
+def hamming_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hamming_topk_batch by multi-index hashing."""
+    docs = encoded(spark, sf_dir)
+    lists = _once(spark, sf_dir, "embeddings", _binary_lists(spark, sf_dir))
+    return pruned.binary_search(asked(docs), docs, K, postings=lists).hits
+
+
+def cosine_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cosine_topk_batch by cluster bounds."""
+    docs = encoded(spark, sf_dir)
+    index = _once(spark, sf_dir, "embeddings", _clusters(spark, sf_dir))
+    return scores(pruned.cosine_search(asked(docs), docs, K, index=index).hits)
+
+
+def _binary_lists(spark: SparkSession, sf_dir: str) -> Callable:
+    return lambda: files.stored(pruned.binary_postings(encoded(spark, sf_dir)), "lists")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> Callable:
+    return lambda: pruned.clusters(encoded(spark, sf_dir).select("doc_id", normalized("fp16").alias("unit")))
+
+
 def binary_then_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = encoded(spark, sf_dir)
     return scores(retrieval.binary_then_cosine(asked(docs), docs, K, PREFILTER))
@@ -433,7 +455,7 @@ def evidence_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, binary_then_cosine,
+        binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, hamming_topk_indexed, cosine_topk_indexed, binary_then_cosine,
         bm25_stats, bm25_terms, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
         gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_fetch, store_row_ids, evidence_attach, hamming_bytes_sql,
         rotated_codes,
@@ -453,6 +475,8 @@ ORACLE_SQL: dict[str, str] = {
     "hamming_topk_batch": f"WITH {MV}, {ALL_HAMMING} SELECT query_id, doc_id, score, rank::INT AS rank FROM ({_top('pairs')})",
     "cosine_topk": f"WITH {MV} SELECT doc_id, round({COSINE.format(q=_DOC0.format(c='fp16'), d='fp16')}, 6) AS score FROM mv ORDER BY {COSINE.format(q=_DOC0.format(c='fp16'), d='fp16')} DESC, doc_id::VARCHAR LIMIT {K}",
     "cosine_topk_batch": f"WITH {MV}, {ALL_COSINE} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ({_top('pairs')})",
+    "hamming_topk_indexed": f"WITH {MV}, {ALL_HAMMING} SELECT query_id, doc_id, score, rank::INT AS rank FROM ({_top('pairs')})",
+    "cosine_topk_indexed": f"WITH {MV}, {ALL_COSINE} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ({_top('pairs')})",
     "binary_then_cosine": f"WITH {STAGED_SQL} SELECT query_id, doc_id, binary_score, round(score, 6) AS score, rank::INT AS rank FROM staged",
     "bm25_stats": f"WITH {_BM25} SELECT term, df, tf, n_docs, round(avg_length, 6) AS avg_length FROM df, corpus",
     "bm25_terms": r"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), each AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM toks), own AS (SELECT doc_id, length, term, count(*) AS tf FROM each GROUP BY ALL)

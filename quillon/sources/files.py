@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SHIPPED = "spark.quillon.files.shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, so that functions passed to them can import it there."""
+    context = spark.sparkContext
+    if context.getLocalProperty(_SHIPPED):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="quillon-code-")) / "quillon_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(str(archive))
+    context.setLocalProperty(_SHIPPED, "yes")
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
     """A new folder in the shared one, deleted when the application ends."""
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"

@@ -130,8 +130,8 @@ def test_staged(docs):
 def test_batches_equal_single_queries_in_any_block(spark, docs):
     queries = spark.createDataFrame([("q1", [3]), ("q2", [0]), ("q3", [])], "query_id string, q_bin array<bigint>")
     want = {(q, c.alert_id, c.score) for q, code in (("q1", [3]), ("q2", [0]), ("q3", [])) for c in retrieval.BinaryRetriever(docs).search(Query(binary=code), 2)}
-    for block in (1, 2, 10):
-        top = topk.against_all(queries.select("query_id", "q_bin"), docs.select("doc_id", "bin"), lambda: retrieval.hamming_maxsim("q_bin", "bin").cast("double"), 2, block)
+    for block, tile in ((1, 2), (2, 1), (2, 100), (10, 2)):
+        top = topk.against_all(queries.select("query_id", "q_bin"), docs.select("doc_id", "bin"), lambda: retrieval.hamming_maxsim("q_bin", "bin").cast("double"), 2, block, tile)
         assert {(r.query_id, r.doc_id, r.score) for r in top.collect()} == want
 
 
