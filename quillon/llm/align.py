@@ -37,11 +37,13 @@ from quillon.llm._text import runs, utf8
 #: Stripes of the first side's ids: id modulo STRIPES. A stripe's matrix has a row for each of its ids.
 STRIPES = 128
 #: Bytes of text in a run, whose links are packed together; a longer text is a run of its own.
-RUN = 4 << 20
+RUN = 1 << 20
 #: Chunks that a process remembers. Beyond, it forgets them all.
 REMEMBERED = 400_000
+#: Bytes of chunks encoded as one text.
+TOGETHER = 1 << 17
 #: Pairs whose sums a task holds before it passes them on, and pairs in a row of counts.
-HELD, PASSED = 2_000_000, 1 << 20
+HELD, PASSED = 1_000_000, 1 << 20
 #: Runs scored by one task against one stripe.
 SCORED_RUNS = 4096
 #: Links expanded at a time.
@@ -130,6 +132,7 @@ class Aligner:
         self.sides = [SIDES[kind](path) for kind, path in (first, other)]
         self.widths = [len(s.bytes) for s in self.sides]
         self.tables = [_flat(s.bytes) for s in self.sides]
+        self.names = [[str(k) for k in range(w)] for w in self.widths]
         self.cuts = all(s.parts_at_blanks for s in self.sides)
         self.forget()
 
@@ -164,29 +167,37 @@ class Aligner:
         first[ends[:-1]] = True
         return np.flatnonzero(first[:n])
 
-    def _ids(self, chunks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each side: (ids of all chunks, number of ids of each). Chunks of a blank and ink go in one text, which the
-        libraries part at their blanks; where that can't be seen from the bytes, they go one by one."""
-        plain = [k for k, c in enumerate(chunks) if _JOINED(c)] if self.cuts else []
-        rest = sorted(set(range(len(chunks))) - set(plain))
-        ends = np.cumsum([len(chunks[k]) for k in plain], dtype=np.int64)
+    def _ids(self, chunks: list[bytes]) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+        """The chunks in another order, and of each side: (ids of all chunks, number of ids of each). Chunks of a blank and ink
+        go in texts of a bounded size, which the libraries part at their blanks; where that can't be seen from the bytes,
+        they go one by one."""
+        plain = [c for c in chunks if _JOINED(c)] if self.cuts else []
+        rest = [c for c in chunks if not _JOINED(c)] if self.cuts else chunks
+        upto = np.cumsum([len(c) for c in plain], dtype=np.int64)
+        parts = np.unique(np.searchsorted(upto, np.arange(0, int(upto[-1]) + 1 if plain else 0, TOGETHER)))
+        parts = [*parts.tolist(), len(plain)] if plain else [0]
         out = []
         for side, (_, starts) in zip(self.sides, self.tables):
-            found: list = [None] * len(chunks)
-            each = rest
-            if plain:
-                ids = np.array(side.encode([b"".join([chunks[k] for k in plain]).decode()])[0], np.int64)
-                stops = np.cumsum(np.diff(starts)[ids])
+            every, each = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def one_by_one(some: list[bytes]) -> None:
+                for k in range(0, len(some), 10_000):
+                    found = side.encode([c.decode("utf-8", "replace") for c in some[k : k + 10_000]])
+                    every.append(np.array([x for own in found for x in own], np.int64))
+                    each.append(np.array([len(own) for own in found], np.int64))
+
+            for i, j in zip(parts, parts[1:]):
+                ids = np.array(side.encode([b"".join(plain[i:j]).decode()])[0], np.int64)
+                stops, ends = np.cumsum(np.diff(starts)[ids]), upto[i:j] - (upto[i - 1] if i else 0)
                 at = np.searchsorted(stops, ends)
                 if len(stops) and stops[-1] == ends[-1] and (stops[np.minimum(at, len(stops) - 1)] == ends).all():
-                    for k, own in zip(plain, np.split(ids, at[:-1] + 1)):
-                        found[k] = own
+                    every.append(ids)
+                    each.append(np.diff(at, prepend=-1))
                 else:
-                    each = range(len(chunks))
-            for k, own in zip(each, side.encode([chunks[k].decode("utf-8", "replace") for k in each])):
-                found[k] = np.array(own, np.int64)
-            out.append((np.concatenate([np.zeros(0, np.int64), *found]), np.array([len(x) for x in found], np.int64)))
-        return out
+                    one_by_one(plain[i:j])
+            one_by_one(rest)
+            out.append((np.concatenate(every), np.concatenate(each)))
+        return plain + rest, out
 
     def _bytes(self, side: int, ids: np.ndarray) -> np.ndarray:
         data, starts = self.tables[side]
@@ -194,9 +205,9 @@ class Aligner:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Align chunks that are not remembered."""
+        chunks, sides = self._ids(chunks)
         sizes = np.array([len(c) for c in chunks], np.int64)
-        want, begins = np.frombuffer(b"".join(chunks), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
-        sides = self._ids(chunks)
+        want = np.frombuffer(b"".join(chunks), np.uint8)
         good = np.ones(len(chunks), bool)
         lengths = []
         for k, (ids, n) in enumerate(sides):
@@ -214,12 +225,10 @@ class Aligner:
             keep = np.repeat(good, n)
             owner = np.repeat(np.arange(len(chunks)), n)[keep]
             ids.append(every[keep])
-            base = np.concatenate(([0], np.cumsum(sizes[good])))
-            place = np.zeros(len(chunks), np.int64)
-            place[good] = base[:-1]
             stops.append(np.cumsum(lengths[k][keep]))
             owners.append(owner)
-        cuts = np.intersect1d(stops[0], stops[1])
+        at = np.searchsorted(stops[1], stops[0])
+        cuts = stops[0][stops[1][np.minimum(at, len(stops[1]) - 1)] == stops[0]] if len(stops[1]) else stops[1]
         groups = [np.searchsorted(cuts, s) for s in stops]
         first_of = np.searchsorted(cuts, np.cumsum(sizes[good]))  # the last group of each good chunk
         group_owner = np.repeat(np.flatnonzero(good), np.diff(np.concatenate(([-1], first_of))))
@@ -256,9 +265,10 @@ class Aligner:
         self.pool[:, self.used : self.used + len(pair)] = pair, times
         self.used += len(pair)
         # groups as text
-        written = [[str(i) for i in x.tolist()] for x in ids]
+        written = [list(map(names.__getitem__, x.tolist())) for names, x in zip(self.names, ids)]
         edge = [np.concatenate(([0], np.cumsum(n))).tolist() for n in n_ids]
-        shown = [f"{','.join(written[0][a:b])}|{','.join(written[1][c:d])}" for a, b, c, d in zip(edge[0], edge[0][1:], edge[1], edge[1][1:])]
+        left, right = ([own[i] if j == i + 1 else ",".join(own[i:j]) for i, j in zip(at, at[1:])] for own, at in zip(written, edge))
+        shown = [f"{x}|{y}" for x, y in zip(left, right)]
         at = 0
         for k, n in enumerate(facts[:, 3].tolist()):
             self.texts.append(";".join(shown[at : at + n]))
