@@ -6,10 +6,12 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, langid, minhash, mixing, wavelet
-from quillon.llm._cluster import Scratch, written
+from quillon.llm._cluster import Scratch, shared_dir, written
 from quillon.llm.queries import table, tokenizer_path
 
 #: Target weights of the mixing stage; children that are not named weigh 1. Nine tenths of the tokens are taken, once.
@@ -38,8 +40,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards of wavelet matrices; per document, read back: doc_id, start, n_tokens, ids_crc32."""
-    return wavelet.token_files(docs, tokenizer_path(), end_id=END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
+    """Shards of wavelet matrices, which outlive the session; per document, read back: doc_id, start, n_tokens, ids_crc32."""
+    folder = f"{shards_root(spark)}/{uuid.uuid4().hex}"
+    return wavelet.token_files(docs, tokenizer_path(), end_id=END_ID, folder=folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def shards_root(spark: SparkSession) -> str:
+    """Where each run's shards are: a folder a run, in spark.quillon.shards or, where that is unset, in the shared folder."""
+    return (spark.conf.get("spark.quillon.shards", None) or f"{shared_dir(spark)}/quillon-shards").rstrip("/")
+
+
+def shard_folders(spark: SparkSession) -> list[str]:
+    """The folders of the runs' shards, the latest last; wavelet.read_shards() and wavelet.documents() read them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shards_root(spark))
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.listStatus(root) if store.exists(root) else []
+    return [x.getPath().toString() for x in sorted(found, key=lambda x: x.getModificationTime())]
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("token_ids", token_ids)]
