@@ -63,10 +63,15 @@ def fold(column: str, parts: int):
     return F.crc32(F.col(column).cast("string")) % parts
 
 
+def held_out(column: str, parts: int, remainder: int):
+    """Whether an id is in a fold; a null id is in none."""
+    return F.coalesce(fold(column, parts) == remainder, F.lit(False)).alias("held_out")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.learn(docs, fold("doc_id", 4) != 2))
-    return found.select(F.col("doc").alias("doc_id"), (fold("doc", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+    return found.select(F.col("doc").alias("doc_id"), held_out("doc", 4, 2), "lang_pred", "score", "entropy", "rejected")
 
 
 #: Whole weights by level and child; other children weigh 1. Three fifths of all tokens are taken, in two epochs at most.
@@ -140,7 +145,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc", 3) != 1)
-    return found.select(F.col("doc").alias("doc_id"), (fold("doc", 3) == 1).alias("held_out"), "score", "predicted")
+    return found.select(F.col("doc").alias("doc_id"), held_out("doc", 3, 1), "score", "predicted")
 
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]

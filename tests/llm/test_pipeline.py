@@ -3,7 +3,7 @@ import re
 import zlib
 
 import corpus_pipeline
-from quillon.llm import decontaminate, langid, minhash
+from quillon.llm import decontaminate, langid, minhash, wavelet
 from tests.llm.test_decontaminate import smith_waterman
 from tests.llm.test_mixing import brute_force as mix_by_hand
 
@@ -75,7 +75,12 @@ def test_stages_by_brute_force(spark, tmp_path):
         own = [*library.encode(r[1], add_special_tokens=False).ids, 2]
         want.append((r[0], start, len(own), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))))
         start += len(own)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+    before = len(corpus_pipeline.shard_folders(spark))
+    for run in (1, 2):  # twice in a session, each with shards of its own that stay
+        assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+        folders = corpus_pipeline.shard_folders(spark)
+        assert len(folders) == before + run
+        assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in wavelet.documents(spark, folders[-1]).collect()) == want
 
 
 def test_stages_return_the_columns_of_documents(spark, tmp_path):

@@ -65,6 +65,13 @@ def test_op4(spark, tables):
     assert held and sum(held) / len(held) >= 0.95
 
 
+def test_null_ids_are_not_held_out(spark):
+    docs = spark.createDataFrame([(None,), (1,)], "doc long")
+    for parts, remainder in ((4, 2), (3, 1)):
+        got = docs.select("doc", queries.held_out("doc", parts, remainder)).collect()
+        assert {r.doc: r.held_out for r in got} == {None: False, 1: crc(1) % parts == remainder}
+
+
 def test_op7(spark, encoded):
     want, start = [], 0
     for k, ids in sorted(encoded.items()):
