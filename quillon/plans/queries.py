@@ -16,6 +16,7 @@ from quillon.functions.kernels import BITS, cosine_to, hamming_maxsim, normalize
 from quillon.operators import bm25, metrics, postings, pruned, retrieval, topk, triage
 from quillon.operators.records import Clause, Filter
 from quillon.sources import files, store
+from quillon.sources.versioned import VersionedTable
 
 K, PREFILTER = 10, retrieval.PREFILTER
 #: Fixed query texts of the lexical lane: frequent and rarer words of the corpus.
@@ -426,12 +427,56 @@ judged AS (SELECT *, CASE WHEN action = expected_action THEN 1.0::DOUBLE ELSE 0
 # Stores ----------------------------------------------------------------------------------------------------------------
 
 
-def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices of parts, overwritten by each line item in the order of its key; missing values keep the old ones."""
+def _price_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(-1).cast("bigint").alias("seq"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("brand"))
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     writes = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), seq.alias("seq"), F.when(F.col("l_quantity") > 10, F.col("l_extendedprice")).alias("price"), F.when(F.col("l_discount") > 0.05, F.col("l_returnflag")).alias("brand"))
-    return store.upsert(parts, writes)
+    return parts, writes
+
+
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of parts, overwritten by each line item in the order of its key; missing values keep the old ones."""
+    return store.upsert(*_price_changes(spark, sf_dir))
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> VersionedTable:
+    """The parts of store_upsert as a versioned table, to which the line items come in three batches, the latest first."""
+
+    def made() -> VersionedTable:
+        parts, writes = _price_changes(spark, sf_dir)
+        found = VersionedTable.create(parts, files.join(files.new_folder(spark, "prices"), "table"))
+        for third in (2, 1, 0):
+            found.write(writes.where(F.expr("seq div 10 % 3") == third))
+        return found
+
+    return _once(spark, sf_dir, "lineitem", made)
+
+
+def store_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """store_upsert by delta files that are merged when read."""
+    return _prices(spark, sf_dir).read(4)
+
+
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a compaction."""
+    found = _prices(spark, sf_dir)
+    if len(found.manifest()["parts"]) > 1:
+        found.compact()
+    return found.read()
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> VersionedTable:
+    def made() -> VersionedTable:
+        rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).cast("bigint").alias("seq"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+        return VersionedTable.create(rows, files.join(files.new_folder(spark, "orders"), "table"))
+
+    return _once(spark, sf_dir, "orders", made)
+
+
+def store_clustered_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by their keys from a table dealt to buckets and in order of them: those with a line item of 50 pieces."""
+    ids = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("id"))
+    return _orders(spark, sf_dir).fetch(ids).drop("seq")
 
 
 def store_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,7 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, hamming_topk_indexed, cosine_topk_indexed, binary_then_cosine,
         bm25_stats, bm25_terms, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
-        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_fetch, store_row_ids, evidence_attach, hamming_bytes_sql,
+        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_versioned, store_compacted, store_clustered_fetch, store_fetch, store_row_ids, evidence_attach, hamming_bytes_sql,
         rotated_codes,
     )
 } | {f"filter_{name}": _filtered(name) for name in FILTERS}
@@ -521,6 +566,9 @@ SELECT id, max(seq) AS seq, arg_max(price, seq) FILTER (price IS NOT NULL) AS pr
     "evidence_attach": f"WITH {_BM25} SELECT query_id, (rank - 1)::INT AS pos, h.doc_id::VARCHAR AS alert_id, round(score, 6) AS score, 'bm25' AS stage, md5(text) AS text_md5 FROM ({_top('found', 3, 'score > 0')}) h JOIN documents d ON d.doc_id = h.doc_id",
 } | {f"filter_{name}": f"WITH {MV}, {ALL_HAMMING} SELECT query_id, doc_id, score, rank::INT AS rank FROM ({_top('pairs', K, sql)})" for name, (_, sql) in FILTERS.items()}
 
+ORACLE_SQL |= {name: ORACLE_SQL["store_upsert"] for name in ("store_versioned", "store_compacted")}
+ORACLE_SQL["store_clustered_fetch"] = "SELECT o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)"
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds, codes, a typed filter, binary candidates and an exact rerank, for a batch of queries."""

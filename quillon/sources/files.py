@@ -18,14 +18,15 @@ def join(folder: str | Path, name: str) -> str:
     return f"{str(folder).rstrip('/')}/{name}"
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """(path, its file system) of Hadoop."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def state(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of the files at a path, which change when a table is written anew."""
-    at, store = _hadoop(spark, path)
+    at, store = hadoop(spark, path)
     found = store.listStatus(at)
     return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
@@ -33,7 +34,7 @@ def state(spark: SparkSession, path: str) -> tuple:
 def write_text(path: str | Path, text: str) -> None:
     """Replace a file."""
     if is_uri(path):
-        at, store = _hadoop(SparkSession.builder.getOrCreate(), str(path))
+        at, store = hadoop(SparkSession.builder.getOrCreate(), str(path))
         out = store.create(at, True)
         try:
             out.write(bytearray(text.encode()))
@@ -83,7 +84,7 @@ def ship(spark: SparkSession) -> None:
 def new_folder(spark: SparkSession, tag: str) -> str:
     """A new folder in the shared one, deleted when the application ends."""
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
-    at, store = _hadoop(spark, path)
+    at, store = hadoop(spark, path)
     store.mkdirs(at)
     store.deleteOnExit(at)
     return path
