@@ -386,8 +386,9 @@ def mean_judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of scores replayed from a table of them by id."""
-    judged = triage.judge(triage.decide(samples(spark, sf_dir)))
-    return scores(triage.mean_scores(triage.replay(triage.decide(samples(spark, sf_dir)), judged.select("query_id", *triage.SCORES), "judge")), 5)
+    decided = files.stored(triage.decide(samples(spark, sf_dir)), "decided")
+    judged = triage.judge(decided)
+    return scores(triage.mean_scores(triage.replay(decided.select("query_id", "evidence"), judged.select("query_id", *triage.SCORES), "judge")), 5)
 
 
 def audit_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,8 +400,8 @@ def audit_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions replayed from a table of them by id."""
-    fixture = triage.decide(samples(spark, sf_dir)).select("query_id", *triage.DECISION)
-    return triage.replay(samples(spark, sf_dir).select("query_id", "query_text"), fixture).groupBy("action", "disposition").agg(F.count("*").alias("n"))
+    decided = files.stored(triage.decide(samples(spark, sf_dir)).select("query_id", "query_text", *triage.DECISION), "decided")
+    return triage.replay(decided.select("query_id", "query_text"), decided.drop("query_text")).groupBy("action", "disposition").agg(F.count("*").alias("n"))
 
 
 def _rules_sql() -> str:

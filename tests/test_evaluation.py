@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import json
 import math
 import random
@@ -170,6 +171,32 @@ def test_exact_quantiles_without_a_buffer(spark):
         assert got == {(g, s): pytest.approx(float(np.quantile(xs, s)), rel=1e-9) for g, xs in groups.items() for s in (0.0, 0.25, 0.5, 0.95, 1.0)}
 
 
+
+def test_quantiles_read_their_input_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("double").alias("x"))
+    frame = rows.mapInPandas(counted, "g long, x double")
+    got = quantiles.exact(frame, "g", "x", (0.1, 0.5, 0.99), small=10)
+    assert read.value == 2 * 30_000
+    want = rows.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.99))).alias("q")).collect()
+    assert got == {(r.g, s): pytest.approx(q) for r in want for s, q in zip((0.1, 0.5, 0.99), r.q)}
+
+
+def test_quantiles_are_exact_where_brackets_miss(spark, monkeypatch):
+    rows = spark.range(5_000).select(F.lit("a").alias("g"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("double").alias("x"))
+    want = rows.agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.97))).alias("q")).first().q
+    for beyond in (-0.2, 0.0, 0.3):
+        monkeypatch.setattr(quantiles, "BEYOND", beyond)
+        got = quantiles.exact(rows, "g", "x", (0.5, 0.97), small=10)
+        assert [got["a", 0.5], got["a", 0.97]] == pytest.approx(want)
+
+
 def test_relevance_by_label_is_that_of_listed_pairs(spark):
     r = random.Random(7)
     docs = spark.createDataFrame([(k, r.randrange(4)) for k in range(40)], "doc_id long, label int")
