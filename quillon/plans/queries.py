@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import calibrator, filters
 from quillon.functions.kernels import BITS, cosine_to, hamming_maxsim, normalized, register, text_tokens, words_of_bytes
-from quillon.operators import bm25, metrics, postings, pruned, retrieval, topk, triage
+from quillon.operators import bm25, metrics, postings, pruned, retrieval, sql, topk, triage
 from quillon.operators.records import Clause, Filter
 from quillon.sources import files, store
 from quillon.sources.versioned import VersionedTable
@@ -122,6 +122,23 @@ def hamming_pairs_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT q.doc_id AS query_id, a.doc_id, CAST(hamming_maxsim(q.bin, a.bin) AS DOUBLE) AS score FROM quillon_mv q CROSS JOIN quillon_mv a WHERE q.doc_id % 50 = 0")
 
 
+def _searched(spark: SparkSession, sf_dir: str, allowed: str) -> DataFrame:
+    docs = encoded(spark, sf_dir).select("doc_id", "bin", "label")
+    sql.register_search(docs, name="quillon_hamming_topk", label="label")
+    docs.where("doc_id % 50 = 0").createOrReplaceTempView("quillon_asked")
+    return spark.sql(f"SELECT q.doc_id AS query_id, t.* FROM quillon_asked q, LATERAL quillon_hamming_topk(q.bin, {K}, {allowed}) t")
+
+
+def hamming_topk_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL table function, for each query."""
+    return _searched(spark, sf_dir, "NULL")
+
+
+def hamming_topk_sql_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among the documents of some labels."""
+    return _searched(spark, sf_dir, "array(1, 5, 7)")
+
+
 def hamming_bytes_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL function over rows of eight bytes, with their upper 16 bits set: orders' keys against their customers'."""
     register(spark)
@@ -501,7 +518,7 @@ def evidence_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, hamming_topk_indexed, cosine_topk_indexed, binary_then_cosine,
+        binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, hamming_topk_sql, hamming_topk_sql_filtered, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, hamming_topk_indexed, cosine_topk_indexed, binary_then_cosine,
         bm25_stats, bm25_terms, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
         gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_versioned, store_compacted, store_clustered_fetch, store_fetch, store_row_ids, evidence_attach, hamming_bytes_sql,
         rotated_codes,
@@ -567,6 +584,7 @@ SELECT id, max(seq) AS seq, arg_max(price, seq) FILTER (price IS NOT NULL) AS pr
     "evidence_attach": f"WITH {_BM25} SELECT query_id, (rank - 1)::INT AS pos, h.doc_id::VARCHAR AS alert_id, round(score, 6) AS score, 'bm25' AS stage, md5(text) AS text_md5 FROM ({_top('found', 3, 'score > 0')}) h JOIN documents d ON d.doc_id = h.doc_id",
 } | {f"filter_{name}": f"WITH {MV}, {ALL_HAMMING} SELECT query_id, doc_id, score, rank::INT AS rank FROM ({_top('pairs', K, sql)})" for name, (_, sql) in FILTERS.items()}
 
+ORACLE_SQL |= {"hamming_topk_sql": ORACLE_SQL["hamming_topk_batch"], "hamming_topk_sql_filtered": ORACLE_SQL["filter_in"]}
 ORACLE_SQL |= {name: ORACLE_SQL["store_upsert"] for name in ("store_versioned", "store_compacted")}
 ORACLE_SQL["store_clustered_fetch"] = "SELECT o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)"
 
