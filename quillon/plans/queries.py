@@ -17,6 +17,7 @@ from quillon.operators import bm25, metrics, postings, pruned, retrieval, sql, t
 from quillon.operators.records import Clause, Filter
 from quillon.sources import files, store
 from quillon.sources.versioned import VersionedTable
+from quillon.streaming import standing
 
 K, PREFILTER = 10, retrieval.PREFILTER
 #: Fixed query texts of the lexical lane: frequent and rarer words of the corpus.
@@ -515,12 +516,33 @@ def evidence_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.posexplode("evidence").alias("pos", "e")).select("query_id", "pos", F.col("e.alert_id").alias("alert_id"), F.round("e.score", 6).alias("score"), F.col("e.stage").alias("stage"), F.md5("e.text").alias("text_md5"))
 
 
+_STREAMED = "o_orderkey * 31 + o_custkey * 1009"
+_ASKED = "r_regionkey * 1000003"
+
+
+def standing_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions' codes as standing queries, orders' codes as a stream of documents that is read to its end."""
+    regions = table(spark, sf_dir, "region").selectExpr("cast(r_regionkey AS STRING) AS query_id", f"array(cast({_ASKED} AS BIGINT)) AS q_bin")
+    orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parque[t]")  # a pattern, as it may be a file
+    docs = orders.selectExpr("cast(o_orderkey AS STRING) AS doc_id", f"array(cast({_STREAMED} AS BIGINT)) AS bin")
+    folder = files.new_folder(spark, "standing")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", standing.STORE)
+    try:
+        found = standing.standing(docs, regions, lambda: hamming_maxsim("q_bin", "bin"), K)
+        write = lambda frame, batch: frame.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+        found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return standing.latest(spark.read.parquet(f"{folder}/out").drop("batch")).drop("latest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, hamming_topk_sql, hamming_topk_sql_filtered, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, hamming_topk_indexed, cosine_topk_indexed, binary_then_cosine,
         bm25_stats, bm25_terms, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
-        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_versioned, store_compacted, store_clustered_fetch, store_fetch, store_row_ids, evidence_attach, hamming_bytes_sql,
+        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_versioned, store_compacted, store_clustered_fetch, store_fetch, store_row_ids, standing_orders, evidence_attach, hamming_bytes_sql,
         rotated_codes,
     )
 } | {f"filter_{name}": _filtered(name) for name in FILTERS}
@@ -586,6 +608,8 @@ SELECT id, max(seq) AS seq, arg_max(price, seq) FILTER (price IS NOT NULL) AS pr
 
 ORACLE_SQL |= {"hamming_topk_sql": ORACLE_SQL["hamming_topk_batch"], "hamming_topk_sql_filtered": ORACLE_SQL["filter_in"]}
 ORACLE_SQL |= {name: ORACLE_SQL["store_upsert"] for name in ("store_versioned", "store_compacted")}
+ORACLE_SQL["standing_orders"] = f"""WITH pairs AS (SELECT r_regionkey::VARCHAR AS query_id, o_orderkey::VARCHAR AS doc_id, ({BITS} - bit_count(xor(({_ASKED})::BIGINT, ({_STREAMED})::BIGINT) & {(1 << BITS) - 1}))::DOUBLE AS score FROM region, orders)
+SELECT query_id, doc_id, score, rank::INT AS rank FROM ({_top('pairs')})"""
 ORACLE_SQL["store_clustered_fetch"] = "SELECT o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)"
 
 
