@@ -8,6 +8,7 @@ goes down each tree level by level, all rows at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -230,7 +231,10 @@ def learn(described: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", la
     ``sample`` such documents, those of the least hashes of their ids teach. Null ids and labels teach nothing."""
     known = labels.select(F.col(id_col).cast("bigint").alias("doc"), F.col(label_col).cast("double").alias("label")).where("doc is not null and label is not null")
     passed = (F.col("counts")[0] >= LEAST_WORDS) & (100 * F.col("counts")[4] <= MOST_REPEATED * F.col("counts")[0])
-    rows = described.where(passed).join(known, "doc").orderBy(F.xxhash64("doc"), "doc", "label", "stats").limit(sample).select("stats", "label").toArrow()
+    found = described.where(passed).join(known, "doc").select("doc", "stats", "label", F.xxhash64("doc").alias("hash"))
+    if (n := found.count()) > 2 * sample:  # the least hashes alone, so that no task gets more than a few samples
+        found = found.where(F.shiftrightunsigned("hash", 34) < math.ceil((1 << 30) * 1.5 * sample / n))
+    rows = found.orderBy(F.shiftrightunsigned("hash", 34), "hash", "doc", "label", "stats").limit(sample).select("stats", "label").toArrow()
     y = rows.column("label").to_numpy()
     x = rows.column("stats").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, len(FEATURES)))
     return fit(x, (y > 0).astype(np.float64), np.array([MONOTONE.get(name, 0) for name in FEATURES]))
