@@ -10,6 +10,7 @@ import json
 import math
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,23 +127,49 @@ def padded(vector: Column, bits: int = BITS) -> Column:
 def binary_words(tokens: Column | str, thresholds: Sequence[float], rotation: Sequence[Sequence[float]] | None = None) -> Column:
     """One BIGINT word a token: bit i is set where dimension i lies strictly above its threshold.
 
-    Vectors are padded to 48 dimensions first, and multiplied by the rotation (as a row) where there is one.
+    Vectors are padded to 48 dimensions first, and multiplied by the rotation (as a row) where there is one: by one matrix
+    product for each Arrow batch of tokens.
     """
     if len(thresholds) != BITS:
         raise ValueError(f"expected {BITS} thresholds, got {len(thresholds)}")
+    if rotation is not None:
+        return _rotated_words(tuple(map(float, thresholds)), rotation)(_column(tokens).cast("array<array<double>>"))
     limits = F.array(*(F.lit(float(t)).cast("float") for t in thresholds))
 
     def word(vector: Column) -> Column:
-        v = padded(vector)
-        if rotation is not None:
-            v = F.array(*(dot(v, F.array(*(F.lit(float(row[k])) for row in rotation))).cast("float") for k in range(BITS)))
-        bits = F.zip_with(v, limits, lambda x, t: x > t)
+        bits = F.zip_with(padded(vector), limits, lambda x, t: x > t)
         place = F.transform(bits, lambda b, i: F.when(b, F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
         return F.aggregate(place, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b))
 
     return F.transform(_column(tokens), word)
 
 
+def _rotated_words(thresholds: tuple[float, ...], rotation: Sequence[Sequence[float]]) -> Callable[[Column], Column]:
+    bits = BITS
+
+    @F.arrow_udf("array<bigint>")
+    def words(column: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+
+        sizes = np.array([x or 0 for x in column.value_lengths().to_pylist()], np.int64)
+        each = column.flatten()
+        widths = np.array([-1 if x is None else x for x in each.value_lengths().to_pylist()], np.int64)
+        if (widths > bits).any():
+            raise ValueError(f"token vectors must have at most {bits} dimensions")
+        some = np.maximum(widths, 0)
+        rows = np.zeros((len(each), bits))
+        at = np.repeat(np.arange(len(each)), some)
+        rows[at, np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some)] = each.flatten().to_numpy(zero_copy_only=False)
+        above = (rows @ np.array(rotation, np.float64)).astype(np.float32) > np.array(thresholds, np.float32)
+        own = pa.array(above @ (1 << np.arange(bits, dtype=np.int64)), pa.int64(), mask=widths < 0)
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.append(~known, False))
+        return pa.ListArray.from_arrays(offsets, own)
+
+    return words
+
+
 def register(spark: SparkSession) -> None:
     """Make the kernels SQL functions of the session: hamming_maxsim over words, hamming_maxsim_bytes over rows of eight
     bytes, words_of_bytes, hamming_distance, text_tokens."""

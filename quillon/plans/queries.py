@@ -155,6 +155,14 @@ def rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(codes, 1).alias("word"))
 
 
+def reflected_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes after a reflection that mixes all dimensions: at the plane across (1, 2, ..., 48)."""
+    square = sum((i + 1) ** 2 for i in range(BITS))
+    mirror = tuple(tuple(float(i == j) - 2 * (i + 1) * (j + 1) / square for j in range(BITS)) for i in range(BITS))
+    codes = calibrator.Calibrator((0.0,) * BITS, mirror).words(F.array(F.slice("embedding", 1, BITS)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(codes, 1).alias("word"))
+
+
 def normalized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivectors(spark, sf_dir).select("doc_id", F.posexplode(normalized("fp16")).alias("pos", "v")).select("doc_id", "pos", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"), F.round(F.element_at("v", 1), 6).alias("first"))
 
@@ -543,7 +551,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, hamming_topk_sql, hamming_topk_sql_filtered, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, hamming_topk_indexed, cosine_topk_indexed, binary_then_cosine,
         bm25_stats, bm25_terms, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
         gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_versioned, store_compacted, store_clustered_fetch, store_fetch, store_row_ids, standing_orders, evidence_attach, hamming_bytes_sql,
-        rotated_codes,
+        rotated_codes, reflected_codes,
     )
 } | {f"filter_{name}": _filtered(name) for name in FILTERS}
 
@@ -598,6 +606,8 @@ SELECT (SELECT n FROM missing WHERE asks = 'summary' AND kind = 'model_call') AS
     "store_row_ids": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR AS _rowid FROM orders",
     "hamming_bytes_sql": f"SELECT o_orderkey, ({BITS} - bit_count(xor(o_orderkey, o_custkey) & {(1 << BITS) - 1}))::DOUBLE AS score FROM orders",
     "rotated_codes": f"SELECT vec_id, list_sum(list_transform(range(1, {BITS + 1}), lambda i: CASE WHEN embedding[{BITS + 1} - i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END))::BIGINT AS word FROM embeddings",
+    "reflected_codes": f"""WITH s AS (SELECT vec_id, embedding, list_sum(list_transform(range(1, {BITS + 1}), lambda i: i * embedding[i]::DOUBLE)) AS along FROM embeddings)
+SELECT vec_id, list_sum(list_transform(range(1, {BITS + 1}), lambda i: CASE WHEN embedding[i]::DOUBLE - 2.0::DOUBLE * i * along / {sum((i + 1) ** 2 for i in range(BITS))} > 0 THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END))::BIGINT AS word FROM s""",
     "replay_decisions": f"WITH {SAMPLES_SQL} SELECT action, disposition, count(*) AS n FROM decided GROUP BY ALL",
     "store_upsert": """WITH w AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity > 10 THEN l_extendedprice END AS price, CASE WHEN l_discount > 0.05 THEN l_returnflag END AS brand FROM lineitem
   UNION ALL SELECT p_partkey, -1, p_retailprice, p_brand FROM part)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import npz
+
 TARGET = "struct<expected_action: string, expected_disposition: string, expected_evidence_ids: array<string>, rationale_keyword: string>"
 DECISION = "struct<query_id: string, query_text: string, action: string, disposition: string, confidence: double, rationale: string, cited_evidence_ids: array<string>>"
 REPLAY = f"struct<llm_model: string, judge_model: string, samples: map<string, struct<decision: {DECISION}, scores: map<string, double>>>>"
@@ -53,7 +56,11 @@ def replay_fixture(spark: SparkSession, path: str) -> tuple[str, str, DataFrame,
 
 
 def token_matrices(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(id, fp16) of .npz files with {kind}_ids and {kind}_tokens, read by the executors without pickle."""
+    """(id, fp16) of .npz files with {kind}_ids and {kind}_tokens, read by the executors without pickle: a single archive that
+    all machines see by ranges of rows, others whole, one in a task."""
+    at = npz.local(path)
+    if at is not None and Path(at).is_file():
+        return npz.matrices(spark, path, kind)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
