@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVIDENCE = "array<struct<alert_id: string, score: double, stage: string, text: string>>"
 DECISION = ("action", "disposition", "confidence", "rationale", "cited_evidence_ids")
@@ -71,33 +72,42 @@ def replay(samples: DataFrame, fixture: DataFrame, kind: str = "decision") -> Da
     return samples.join(fixture.select(*wanted), "query_id")
 
 
-def _record(kind: str, name: str, inputs: Column, outputs: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.to_json(inputs).alias("inputs"), F.to_json(outputs).alias("outputs"))
+def _record(kind: str, name: str, inputs: Column, outputs: Column, variant: bool) -> Column:
+    as_ = F.to_variant_object if variant else F.to_json
+    return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), as_(inputs).alias("inputs"), as_(outputs).alias("outputs"))
 
 
-def with_audit(judged: DataFrame, *, triager: str = TRIAGER, judge_name: str = JUDGE, tool: str = TERMINAL_TOOL) -> DataFrame:
+def with_audit(judged: DataFrame, *, triager: str = TRIAGER, judge_name: str = JUDGE, tool: str = TERMINAL_TOOL, variant: bool = False) -> DataFrame:
     """Add retrieved_alert_ids, the terminal fields and the three audit records: triager, judge, tool, in this order.
 
-    inputs and outputs of a record are JSON objects.
+    inputs and outputs of a record are JSON objects, as text or as VARIANT, whose fields are read without parsing.
     """
     ids = F.transform("evidence", lambda e: e["alert_id"]).alias("retrieved_alert_ids")
     decision = F.struct("query_id", "query_text", *DECISION)
     records = F.array(
-        _record("model_call", triager, F.struct(F.lit("triager").alias("role"), "query_text", ids), decision),
-        _record("model_call", judge_name, F.struct(F.lit("judge").alias("role"), "query_id", "query_text", ids), F.struct(*SCORES)),
-        _record("tool_call", tool, F.struct("query_id", "query_text"), F.struct("action", "disposition", "cited_evidence_ids")),
+        _record("model_call", triager, F.struct(F.lit("triager").alias("role"), "query_text", ids), decision, variant),
+        _record("model_call", judge_name, F.struct(F.lit("judge").alias("role"), "query_id", "query_text", ids), F.struct(*SCORES), variant),
+        _record("tool_call", tool, F.struct("query_id", "query_text"), F.struct("action", "disposition", "cited_evidence_ids"), variant),
     )
     return judged.withColumn("retrieved_alert_ids", ids).withColumn("terminal_output_kind", F.lit("tool_call")).withColumn("terminal_tool", F.lit(tool)).withColumn("audit_records", records)
 
 
+def as_text(samples: DataFrame) -> DataFrame:
+    """Samples whose records' inputs and outputs are VARIANT with these as JSON text, their keys in order."""
+    text = lambda r: F.struct(r["kind"].alias("kind"), r["name"].alias("name"), F.to_json(r["inputs"]).alias("inputs"), F.to_json(r["outputs"]).alias("outputs"))
+    return samples.withColumn("audit_records", F.transform("audit_records", text))
+
+
 def audit_summary(samples: DataFrame, *, names: Sequence[str], roles: Sequence[str] | None = None, tools: Sequence[str] | None = None) -> DataFrame:
     """One row: orphan_llm_calls and orphan_tool_calls, the expected names and roles missing, summed over samples."""
     tools = list(tools) if tools else [TERMINAL_TOOL]
+    inputs = samples.schema["audit_records"].dataType.elementType["inputs"].dataType
+    role = (lambda r: F.try_variant_get(r["inputs"], "$.role", "string")) if isinstance(inputs, T.VariantType) else (lambda r: F.get_json_object(r["inputs"], "$.role"))
     strings = lambda xs: F.array(*(F.lit(x) for x in xs)).cast("array<string>")
     of_kind = lambda kind: F.filter("audit_records", lambda r: r["kind"] == kind)
     missing = F.size(F.array_except(strings(sorted(set(names))), F.transform(of_kind("model_call"), lambda r: r["name"])))
     if roles is not None:
-        missing = missing + F.size(F.array_except(strings(sorted(set(roles))), F.transform(of_kind("model_call"), lambda r: F.get_json_object(r["inputs"], "$.role"))))
+        missing = missing + F.size(F.array_except(strings(sorted(set(roles))), F.transform(of_kind("model_call"), role)))
     missing_tools = F.size(F.array_except(strings(sorted(set(tools))), F.transform(of_kind("tool_call"), lambda r: r["name"])))
     return samples.agg(F.coalesce(F.sum(missing), F.lit(0)).alias("orphan_llm_calls"), F.coalesce(F.sum(missing_tools), F.lit(0)).alias("orphan_tool_calls"))
 

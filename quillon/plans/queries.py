@@ -424,6 +424,13 @@ def audit_and_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.crossJoin(triage.gates(done, names=[triage.TRIAGER, triage.JUDGE], roles=["triager", "judge"]))  # one row each
 
 
+def audit_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """audit_and_gates from records that are stored as VARIANT."""
+    done = files.stored(triage.with_audit(triage.judge(triage.decide(samples(spark, sf_dir))), variant=True).select("query_id", "terminal_output_kind", "terminal_tool", "audit_records"), "audit")
+    summary = triage.audit_summary(done, names=[triage.TRIAGER, "another judge"], roles=["triager", "judge"])
+    return summary.crossJoin(triage.gates(done, names=[triage.TRIAGER, triage.JUDGE], roles=["triager", "judge"]))  # one row each
+
+
 def replay_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions replayed from a table of them by id."""
     decided = files.stored(triage.decide(samples(spark, sf_dir)).select("query_id", "query_text", *triage.DECISION), "decided")
@@ -550,7 +557,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         binary_thresholds, binary_encode, packed_words, hamming_pairs_sql, hamming_topk_sql, hamming_topk_sql_filtered, normalized_tokens, tokenize_counts, hamming_topk, hamming_topk_batch, cosine_topk, cosine_topk_batch, hamming_topk_indexed, cosine_topk_indexed, binary_then_cosine,
         bm25_stats, bm25_terms, bm25_all, bm25_topk, hybrid_then_cosine, filter_orders, ranking_per_query, lane_comparison, latency_percentiles, weighted_f1, cohens_kappa, per_label_f1, confusion_matrix,
-        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, replay_decisions, replay_scores, store_upsert, store_versioned, store_compacted, store_clustered_fetch, store_fetch, store_row_ids, standing_orders, evidence_attach, hamming_bytes_sql,
+        gold_alignment, rule_triage, judge_scores, mean_judge_scores, audit_and_gates, audit_variant, replay_decisions, replay_scores, store_upsert, store_versioned, store_compacted, store_clustered_fetch, store_fetch, store_row_ids, standing_orders, evidence_attach, hamming_bytes_sql,
         rotated_codes, reflected_codes,
     )
 } | {f"filter_{name}": _filtered(name) for name in FILTERS}
@@ -616,7 +623,7 @@ SELECT id, max(seq) AS seq, arg_max(price, seq) FILTER (price IS NOT NULL) AS pr
     "evidence_attach": f"WITH {_BM25} SELECT query_id, (rank - 1)::INT AS pos, h.doc_id::VARCHAR AS alert_id, round(score, 6) AS score, 'bm25' AS stage, md5(text) AS text_md5 FROM ({_top('found', 3, 'score > 0')}) h JOIN documents d ON d.doc_id = h.doc_id",
 } | {f"filter_{name}": f"WITH {MV}, {ALL_HAMMING} SELECT query_id, doc_id, score, rank::INT AS rank FROM ({_top('pairs', K, sql)})" for name, (_, sql) in FILTERS.items()}
 
-ORACLE_SQL |= {"hamming_topk_sql": ORACLE_SQL["hamming_topk_batch"], "hamming_topk_sql_filtered": ORACLE_SQL["filter_in"]}
+ORACLE_SQL |= {"audit_variant": ORACLE_SQL["audit_and_gates"], "hamming_topk_sql": ORACLE_SQL["hamming_topk_batch"], "hamming_topk_sql_filtered": ORACLE_SQL["filter_in"]}
 ORACLE_SQL |= {name: ORACLE_SQL["store_upsert"] for name in ("store_versioned", "store_compacted")}
 ORACLE_SQL["standing_orders"] = f"""WITH pairs AS (SELECT r_regionkey::VARCHAR AS query_id, o_orderkey::VARCHAR AS doc_id, ({BITS} - bit_count(xor(({_ASKED})::BIGINT, ({_STREAMED})::BIGINT) & {(1 << BITS) - 1}))::DOUBLE AS score FROM region, orders)
 SELECT query_id, doc_id, score, rank::INT AS rank FROM ({_top('pairs')})"""

@@ -100,6 +100,19 @@ def test_judge_audit_and_gates(spark):
     assert stray.first().evidence_grounding == 0.0
 
 
+def test_audit_records_as_variant(spark, tmp_path):
+    """The same sums from VARIANT, also when stored, and the same records as text but for the order of keys."""
+    text = triage.with_audit(judged(spark))
+    triage.with_audit(judged(spark), variant=True).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    names = [triage.TRIAGER, triage.JUDGE]
+    for wanted in ({"names": names, "roles": ["triager", "judge"]}, {"names": [*names, "third"], "roles": ["fourth"], "tools": ["other"]}):
+        assert triage.audit_summary(stored, **wanted).first() == triage.audit_summary(text, **wanted).first()
+    assert triage.gates(stored, names=names, roles=["triager"]).first() == triage.gates(text, names=names, roles=["triager"]).first()
+    parsed = lambda frame: {r.query_id: [(a.kind, a.name, json.loads(a.inputs), json.loads(a.outputs)) for a in r.audit_records] for r in frame.collect()}
+    assert parsed(triage.as_text(stored)) == parsed(text)
+
+
 def test_replay_needs_every_sample(spark):
     own = samples(spark, [("q1", "t", []), ("q2", "t", [])])
     fixture = spark.createDataFrame([("q1", "act")], "query_id string, action string")
