@@ -29,8 +29,9 @@ LEAST, MOST = 512, 16384
 CUT_BITS = 11
 #: Bytes of an identifier.
 IDENTIFIER = 16
-#: Bits of the broadcast filter of digests in several places: 8 MB. Where it has others too, more contents are compared.
-FILTER_BITS = 26
+#: Bits of the broadcast filter of digests in several places, at least and at most (as powers of two: 8 to 64 MB), and bits
+#: for each of them. Where the filter has others too, as all filters do and full ones more often, more contents are compared.
+LEAST_BITS, MOST_BITS, BITS_EACH = 26, 29, 16
 #: Bytes of contents that a task remembers as given already.
 REMEMBERED = 32 << 20
 
@@ -110,23 +111,28 @@ def uses(found: DataFrame, size: int = IDENTIFIER) -> DataFrame:
     return each.groupBy("identifier").agg(F.count("*").alias("uses"))
 
 
-def _bit(digest: bytes) -> int:
-    return int.from_bytes((digest + bytes(8))[:8], "little") & ((1 << FILTER_BITS) - 1)
+def _bit(digest: bytes, bits: int) -> int:
+    return int.from_bytes((digest + bytes(8))[:8], "little") & ((1 << bits) - 1)
 
 
-def _filter(shared: DataFrame) -> np.ndarray:
-    """Which values of the low FILTER_BITS bits the identifiers of shared(identifier) have. They come as one row for 64
-    bits, so the driver gets no more than the filter's own size."""
+def filter_bits(shared: int) -> int:
+    """The power of two of the filter's bits for so many identifiers."""
+    return min(max((shared * BITS_EACH - 1).bit_length() if shared else 0, LEAST_BITS), MOST_BITS)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _filter(shared: DataFrame, bits: int) -> bytes:
+    """Which values of the low bits the identifiers of shared(identifier) have, a bit each. They come as one row for 64 bits, so
+    the driver gets no more than a few times the filter's own size."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_bit(x) for x in batch.column(0).to_pylist()], pa.int64())], names=["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(x, bits) for x in batch.column(0).to_pylist()], pa.int64())], names=["bit"])
 
-    words = shared.mapInArrow(bits, "bit bigint").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    words = shared.mapInArrow(places, "bit bigint").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits"))
+    out = np.zeros(max(1, (1 << bits) // 64), np.uint64)
     found = words.toArrow()
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.astype("<u8").tobytes()
 
 
 def contents(docs: DataFrame, shared: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = IDENTIFIER, key: int = 0) -> DataFrame:
@@ -134,11 +140,12 @@ def contents(docs: DataFrame, shared: DataFrame, *, id_col: str = "doc_id", text
     equal rows at most once for each time that a task's memory of them fills up."""
     spark = docs.sparkSession
     ship(spark)
-    wanted = broadcast(spark, np.packbits(_filter(shared)))  # of fixed size
+    bits = filter_bits(shared.count())
+    wanted = broadcast(spark, _filter(shared, bits))  # 64 MB at most
     digest = _digest(size, key)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(wanted.value).view(bool)
+        there = wanted.value
         given: dict[bytes, bytes] = {}
         held = 0
         for batch in batches:
@@ -149,7 +156,8 @@ def contents(docs: DataFrame, shared: DataFrame, *, id_col: str = "doc_id", text
                     for a, b in zip([int(at[row]), *ends], ends):
                         chunk = raw[a:b]
                         name = digest(chunk)
-                        if there[_bit(name)] and given.get(name) != chunk:
+                        at_bit = _bit(name, bits)
+                        if there[at_bit >> 3] >> (at_bit & 7) & 1 and given.get(name) != chunk:
                             out.append((name, chunk))
                             if held > REMEMBERED:
                                 given, held = {}, 0
@@ -166,11 +174,11 @@ def verified(scratch: Scratch, docs: DataFrame, *, id_col: str = "doc_id", text_
     key = 0
     while True:
         found = scratch.table(recipes(docs, id_col=id_col, text_col=text_col, size=size, key=key), "recipes")
-        shared = uses(found, size).where("uses > 1").select("identifier")
+        shared = scratch.table(uses(found, size).where("uses > 1").select("identifier"), "shared")
         chunks = contents(docs, shared, id_col=id_col, text_col=text_col, size=size, key=key)
         if not chunks.groupBy("identifier").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi").take(1):
             return found, size
-        scratch.drop(found)
+        scratch.drop(found, shared)
         size, key = min(2 * size, 64), key + 1
 
 

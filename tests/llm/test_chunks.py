@@ -49,6 +49,23 @@ def test_identifiers_of_one_byte_are_made_longer_until_they_tell_chunks_apart(sp
     assert {tuple(x)[:5] for x in got.collect()} == brute_force(rows)
 
 
+def test_the_filter_follows_the_number_of_identifiers():
+    assert [chunks.filter_bits(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 1 << 24, 1 << 40)] == [26, 26, 26, 27, 28, 29]
+
+
+def test_a_full_filter_moves_more_and_finds_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(9_000)) for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(texts + texts[:20])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = chunks.uses(chunks.recipes(frame)).where("uses > 1").select("identifier")
+    narrow = chunks.contents(frame, shared).select("identifier").distinct().count()
+    monkeypatch.setattr(chunks, "LEAST_BITS", 4)
+    monkeypatch.setattr(chunks, "MOST_BITS", 4)
+    assert chunks.contents(frame, shared).select("identifier").distinct().count() > narrow == shared.count()
+    assert {tuple(x)[:5] for x in chunks.duplicates(frame).collect()} == brute_force(rows)
+
+
 def test_row_that_stays_with_repeated_and_null_ids(spark):
     rows = [(None, "same", 1), (5, "same", 2), (5, "other text", 3), (5, "other text", 4), (None, "alone", 5), (7, None, 6), (8, " ", 7)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, recipe int")
