@@ -269,3 +269,17 @@ def test_fixture_files(spark, tmp_path):
         fixtures.reasoning_targets(spark, str(tmp_path / "bad.json")).collect()
     reports.write_latency_table(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first()[0] == "1"
+
+
+def test_task_times_and_the_kernel_alone(spark, tmp_path):
+    from quillon.functions.kernels import hamming_maxsim
+    from quillon.plans import timing
+
+    spark.range(5_000).write.parquet(str(tmp_path / "t"))
+    found = timing.of_tasks(spark, lambda: spark.read.parquet(str(tmp_path / "t")).groupBy((F.col("id") % 7).alias("k")).count().collect())
+    assert found.rows_read == 5_000 and found.run_ms >= 0 and found.cpu_ms > 0 and len(found.stages) >= 2
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    docs = spark.range(20_000).select(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("bin"))
+    queries = spark.range(8).select(F.array(*(F.xxhash64("id", F.lit(k)) for k in range(6))).alias("q_bin"))
+    ms, n = timing.kernel_ms(queries, docs, lambda: hamming_maxsim("q_bin", "bin"), ["q_bin", "bin"])
+    assert n == 160_000 and ms > 0

@@ -62,7 +62,7 @@ def test_hosted_calls(name, answer, path):
     scores, record = runtime.evaluate("q", "t", decision, EVIDENCE, TARGET)
     assert scores == SCORES and record.inputs["role"] == "judge" and record.inputs["provider"] == name
     first = fake.calls[0]
-    assert first["url"] == f"http://x/v1{path}" and first["payload"]["model"] == "m" and "JSON_INPUT" in json.dumps(first["payload"])
+    assert first["url"] == f"http://x/v1{path}" and first["payload"]["model"] == "m" and "The case, as JSON" in json.dumps(first["payload"])
     if name == "openai":
         assert first["payload"]["store"] is False and first["payload"]["tools"][0]["strict"] is True and first["headers"]["Authorization"] == "Bearer k"
     else:
