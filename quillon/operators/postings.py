@@ -5,8 +5,9 @@ of a bucket are cut into blocks of at most BLOCK, in order; a block has the dist
 first number, term frequencies and lengths, and the pairs of frequency and length that no other of its documents exceeds
 in both: the greatest score in a block is that of one of these, whatever the parameters and the mean length are.
 
-Beside the postings lie the terms (df, tf, buckets) and the corpus (documents, mean length). All tables are Parquet; the
-postings are in order of term, so that a search for few terms reads the row groups that have them.
+Beside the postings lie the terms (df, tf) and the corpus (documents, mean length). All tables are Parquet. A term's buckets
+are dealt to all files of the postings, each in order of term, so a search for few terms reads their row groups of each
+file, in parallel.
 """
 
 from __future__ import annotations
@@ -104,6 +105,9 @@ def build(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id",
     id_kind = docs.schema[id_col].dataType
     index = Index(spark, path, bucket, id_kind)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    cores, scan = spark.sparkContext.defaultParallelism, own._jdf.queryExecution().executedPlan().nodeName() != "AdaptiveSparkPlan"
+    if scan and own.rdd.getNumPartitions() < cores:  # a table of a few splits, which is small; plans with shuffles stay as they are
+        own = own.repartition(cores)
     if index.numbered:
         own = store.row_ids(own, "doc_id").withColumn("doc", F.col("_rowid").cast("bigint"))
         own.select("doc", "doc_id").write.parquet(files.join(path, "ids"))
@@ -118,7 +122,7 @@ def build(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id",
     cut = lists.select("term", "bucket", F.posexplode(F.transform(starts, lambda i: F.slice("rows", i + 1, F.lit(block)))).alias("block", "rows"))
     blocks = cut.select("term", "bucket", "block", F.size("rows").alias("n"), F.col("rows.at").alias("at"), F.col("rows.tf").alias("tf"), F.col("rows.length").alias("length"), _impacts(F.col("rows")).alias("impacts"))
     ordered = files.join(path, "postings")
-    blocks.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket", "block").write.option("compression", "zstd").parquet(ordered)
+    blocks.sortWithinPartitions("term", "bucket", "block").write.option("compression", "zstd").parquet(ordered)
     counted = spark.read.parquet(ordered).select("term", "n", F.aggregate("tf", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("tf"))
     counted.groupBy("term").agg(F.sum("n").alias("df"), F.sum("tf").alias("tf")).sortWithinPartitions("term").write.option("compression", "zstd").parquet(files.join(path, "terms"))
     n = docs.count()
