@@ -12,12 +12,16 @@ file, in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.kernels import text_tokens
 from quillon.operators import bm25, topk
 from quillon.sources import files, store
 
@@ -28,6 +32,11 @@ PROBED = 4
 #: Scores have ten decimals, and bounds are sums in another order.
 SLACK = 1e-9
 
+#: Documents whose postings are made at once, beside those of the bucket that they share.
+AT_ONCE = 2048
+_NO_ID = np.iinfo(np.int64).min
+_ROW = "term string, bucket bigint, block int, n int, at array<int>, tf array<int>, length array<int>, impacts array<struct<tf: int, length: int>>"
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -38,26 +47,59 @@ def _part(tf: Column, length: Column, avg_length: Column, k1: float, b: float) -
     return tf * (k1 + 1) / (tf + k1 * norm)
 
 
-def _term_counts(toks: Column) -> Column:
-    """(term, tf) of each distinct token, from the sorted tokens: a term begins where a token differs from the one before."""
-
-    def runs(own: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == 1) | (F.get(own, i - 1) != F.get(own, i - 2)))
-        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(own) + 1))
-        counted = F.transform(F.array(begins), lambda at: F.zip_with(at, ends(at), lambda i, j: F.struct(F.get(own, i - 1).alias("term"), (j - i).alias("tf"))))
-        return F.element_at(counted, 1)
-
-    found = F.element_at(F.transform(F.array(F.sort_array(toks)), runs), 1)
-    return F.when(F.size(toks) > 0, found)
-
-
-def _impacts(rows: Column) -> Column:
-    """Of an array of (at, tf, length): the (tf, length) that no other exceeds, by falling tf and rising length."""
-    ordered = F.array_sort(F.transform(rows, lambda r: F.struct((-r["tf"]).alias("less"), r["length"].alias("length"))))
-    start = F.array().cast("array<struct<tf:int,length:int>>")
-    shorter = lambda kept, r: (F.size(kept) == 0) | (F.element_at(kept, -1)["length"] > r["length"])
-    add = lambda kept, r: F.when(shorter(kept, r), F.concat(kept, F.array(F.struct((-r["less"]).alias("tf"), r["length"].alias("length"))))).otherwise(kept)
-    return F.aggregate(ordered, start, add)
+def _posted(block: int):
+    """From (bucket, at, toks) in order of both to the rows of the postings. Buckets are never cut; of one that the next batch
+    may go on with, the documents wait for it."""
+    pairs = pa.struct([("tf", pa.int32()), ("length", pa.int32())])
+
+    def lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+
+    def blocks(rows: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, place, toks = rows.columns
+        length = np.diff(toks.offsets.to_numpy())
+        words = toks.flatten().dictionary_encode()
+        buckets = bucket.fill_null(_NO_ID).to_numpy()
+        run = np.cumsum(np.diff(buckets, prepend=buckets[:1]) != 0)  # the bucket's number among these rows
+        size, own = len(words.dictionary), np.repeat(np.arange(len(length)), length)
+        # sorted by bucket, term and document; how often a document has the term is its tf
+        key, tf = np.unique((run[own] * size + words.indices.to_numpy()) * len(length) + own, return_counts=True)
+        term, doc = key // max(len(length), 1), key % max(len(length), 1)
+        first = np.flatnonzero(np.diff(term, prepend=-1))  # where each term of a bucket begins
+        inside = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        begins = np.flatnonzero(inside % block == 0)
+        ends = np.append(begins, len(key))
+        n, at = np.diff(ends), place.fill_null(0).to_numpy()
+        # of a block's pairs by falling tf and rising length, those shorter than all before them
+        number = np.repeat(np.arange(len(begins)), n)
+        best = np.lexsort((length[doc], -tf, number))
+        low = length[doc][best] - (number << 32)  # all of a block are below all of the blocks before it
+        kept = np.flatnonzero(low < np.append(np.iinfo(np.int64).max, np.minimum.accumulate(low)[:-1])[: len(low)])
+        best, impacts = best[kept], np.append(0, np.cumsum(np.bincount(number[kept], minlength=len(begins))))
+        pair = pa.StructArray.from_arrays([pa.array(tf[best].astype(np.int32)), pa.array(length[doc][best].astype(np.int32))], fields=list(pairs))
+        columns = [
+            words.dictionary.take(pa.array(term[begins] % max(size, 1))), bucket.take(pa.array(doc[begins])), pa.array((inside[begins] // block).astype(np.int32)), pa.array(n.astype(np.int32)),
+            lists(ends, at[doc]), lists(ends, tf), lists(ends, length[doc]), lists(impacts, pair),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "bucket", "block", "n", "at", "tf", "length", "impacts"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE)
+                buckets = part.column(0).fill_null(_NO_ID).to_numpy()
+                last = int(np.searchsorted(buckets, buckets[-1]))
+                if waiting and waiting[-1].column(0).fill_null(_NO_ID)[0].as_py() != buckets[-1]:
+                    yield blocks(pa.concat_batches([*waiting, part.slice(0, last)]))
+                    waiting = []
+                elif not waiting and last:
+                    yield blocks(pa.concat_batches([part.slice(0, last)]))
+                waiting.append(part.slice(last))
+        if waiting:
+            yield blocks(pa.concat_batches(waiting))
+
+    return go
 
 
 @dataclass
@@ -98,31 +140,24 @@ class Index:
 
 def build(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> Index:
     """Write an index of docs(doc_id, text) with unique ids, in a new folder of the shared one by default, which goes with the
-    application. Null texts count as documents without terms. Texts are read once; a task counts a document's terms
-    before the one shuffle of postings, which groups at most ``bucket`` documents of a term."""
+    application. Null texts count as documents without terms. Texts are dealt to tasks by bucket, in the one shuffle there
+    is; a task has all documents of its buckets, so their postings are made and ordered where they are."""
     spark = docs.sparkSession
+    files.ship(spark)
     path = folder or files.new_folder(spark, "postings")
     id_kind = docs.schema[id_col].dataType
     index = Index(spark, path, bucket, id_kind)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cores, scan = spark.sparkContext.defaultParallelism, own._jdf.queryExecution().executedPlan().nodeName() != "AdaptiveSparkPlan"
-    if scan and own.rdd.getNumPartitions() < cores:  # a table of a few splits, which is small; plans with shuffles stay as they are
-        own = own.repartition(cores)
     if index.numbered:
         own = store.row_ids(own, "doc_id").withColumn("doc", F.col("_rowid").cast("bigint"))
         own.select("doc", "doc_id").write.parquet(files.join(path, "ids"))
     else:
         own = own.withColumn("doc", F.col("doc_id").cast("bigint"))
-    toks = bm25.tokens(own, "doc").withColumnRenamed("doc_id", "doc")
-    each = toks.select("doc", "length", F.explode(_term_counts(F.col("toks"))).alias("t")).select(
-        F.col("t.term").alias("term"), F.expr(f"(doc - pmod(doc, {bucket}L)) div {bucket}").alias("bucket"), F.pmod("doc", F.lit(bucket)).cast("int").alias("at"), F.col("t.tf").alias("tf"), "length"
-    )
-    lists = each.groupBy("term", "bucket").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "length"))).alias("rows"))
-    starts = F.sequence(F.lit(0), F.size("rows") - 1, F.lit(block))
-    cut = lists.select("term", "bucket", F.posexplode(F.transform(starts, lambda i: F.slice("rows", i + 1, F.lit(block)))).alias("block", "rows"))
-    blocks = cut.select("term", "bucket", "block", F.size("rows").alias("n"), F.col("rows.at").alias("at"), F.col("rows.tf").alias("tf"), F.col("rows.length").alias("length"), _impacts(F.col("rows")).alias("impacts"))
+    place = [F.expr(f"(doc - pmod(doc, {bucket}L)) div {bucket}").alias("bucket"), F.pmod("doc", F.lit(bucket)).cast("int").alias("at")]
+    dealt = own.select(*place, "text").repartition("bucket").sortWithinPartitions("bucket", "at")
+    toks = dealt.select("bucket", "at", F.coalesce(text_tokens("text"), F.array().cast("array<string>")).alias("toks"))
     ordered = files.join(path, "postings")
-    blocks.sortWithinPartitions("term", "bucket", "block").write.option("compression", "zstd").parquet(ordered)
+    toks.mapInArrow(_posted(block), _ROW).sortWithinPartitions("term", "bucket", "block").write.option("compression", "zstd").parquet(ordered)
     counted = spark.read.parquet(ordered).select("term", "n", F.aggregate("tf", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("tf"))
     counted.groupBy("term").agg(F.sum("n").alias("df"), F.sum("tf").alias("tf")).sortWithinPartitions("term").write.option("compression", "zstd").parquet(files.join(path, "terms"))
     n = docs.count()

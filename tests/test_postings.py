@@ -83,3 +83,18 @@ def test_empty_corpus_and_many_terms(spark, tables, monkeypatch):
     assert rows(postings.top(index, queries, 3)) == rows(topk.ranked(bm25.scores(docs, queries), 3))
     with pytest.raises(ValueError, match="k must be >= 1"):
         postings.top(index, queries, 0)
+
+
+def test_texts_are_shuffled_and_not_postings(spark):
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    rows = corpus(1, 700)
+    before = shuffled()
+    postings.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    pairs = sum(len(set((text or "").split())) for _, text in rows)
+    assert shuffled() - before < 2 * len(rows) < pairs  # the texts, and the counts of nine terms
