@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import filters
 from quillon.functions.kernels import cosine_maxsim, cosine_to, hamming_maxsim, normalized
-from quillon.operators import bm25, postings, topk
+from quillon.operators import bm25, dense, postings, topk
 from quillon.operators.records import Candidate, Filter, Query
 
 #: Documents that the coarse stage of a staged retriever keeps.
@@ -36,7 +36,7 @@ def cosine_lane(queries: DataFrame, docs: DataFrame, k: int, where: Filter | Non
     """Cosine MaxSim of queries(query_id, q_fp16) and docs(doc_id, fp16). Each token is normalized once."""
     left = queries.select("query_id", normalized("q_fp16").alias("q_unit"))
     right = filters.apply(docs, where).select("doc_id", normalized("fp16").alias("unit"))
-    return topk.against_all(left, right, lambda: cosine_maxsim("q_unit", "unit", unit=True), k)
+    return dense.cosine_top(left, right, k)
 
 
 def bm25_lane(queries: DataFrame, docs: DataFrame | postings.Index, k: int, where: Filter | None = None) -> DataFrame:
