@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import filters
 from quillon.functions.kernels import BITS, cosine_maxsim, hamming_maxsim, normalized
-from quillon.operators import topk
+from quillon.operators import dense, topk
 from quillon.operators.records import Filter
 from quillon.sources import files
 
@@ -37,6 +37,9 @@ FLIPS = (0, 1, 2)
 CENTRES, RING = 256, math.pi / 48
 #: Lists that each query token looks into, level by level.
 LISTS = (4, 16, 64)
+#: Postings that a query looks through at a level, at least and as a share of the documents; with more of them it is held
+#: against all documents, where a pair costs far less than one that lists bring together.
+FEW, SHARE = 1_000, 0.005
 #: Bounds of angles lose some digits near zero.
 SLACK = 1e-6
 
@@ -50,19 +53,29 @@ class Found:
     scored: DataFrame
 
 
-def search(queries: DataFrame, docs: DataFrame, postings: DataFrame, probes: DataFrame, rests: DataFrame, score: Callable[[], Column], k: int) -> Found:
+def search(queries: DataFrame, docs: DataFrame, postings: DataFrame, probes: DataFrame, rests: DataFrame, score: Callable[[], Column], k: int, every: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Found:
     """The k best of docs(doc_id, ...) for each of queries(query_id, ...) by score(), a column over both sides' columns.
 
     postings(list, doc_id) are the lists; probes(query_id, level, list) those that a query looks into at a level, from 0;
     rests(query_id, level, rest) the greatest score of a document that it has not met up to a level. Each level's scores
-    are written in the shared folder.
+    are written in the shared folder. Queries whose lists are long (FEW, SHARE), or bound them badly, are held against all
+    documents by every(queries, docs), which is topk.against_all() by default.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     levels = sorted(r["level"] for r in rests.select("level").distinct().collect())  # a few
     found = counts = None
-    open_ = queries.select("query_id")
+    size = docs.count()
+    lengths = postings.groupBy("list").agg(F.count("*").alias("n"))
+    costs = probes.join(lengths, "list").groupBy("query_id", "level").agg(F.sum("n").alias("n"))
+    dear = files.stored(costs.where(F.col("n") > max(FEW, SHARE * size)).groupBy("query_id").agg(F.min("level").alias("level")), "dear")
+    open_, late = queries.select("query_id"), []
     for level in levels:
+        long = dear.where(F.col("level") == level).select("query_id")
+        late.append(open_.join(long, "query_id", "left_semi"))
+        open_ = files.stored(open_.join(long, "query_id", "left_anti"), "worth")
+        if open_.isEmpty():
+            break
         met = probes.where(F.col("level") == level).join(open_, "query_id").join(postings, "list").select("query_id", "doc_id").distinct()
         if found is not None:
             met = met.join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
@@ -76,9 +89,12 @@ def search(queries: DataFrame, docs: DataFrame, postings: DataFrame, probes: Dat
         open_ = files.stored(open_, "open")
         if open_.isEmpty():
             break
+    for other in late:
+        open_ = open_.unionByName(other)
+    open_ = files.stored(open_, "all")
     if found is None or not open_.isEmpty():
-        every = topk.against_all(queries.join(open_, "query_id", "left_semi"), docs, score, k)
-        size = docs.count()
+        left = queries.join(open_, "query_id", "left_semi")
+        every = every(left, docs) if every else topk.against_all(left, docs, score, k)
         last = open_.select("query_id", F.lit(-1).alias("level"), F.lit(size).cast("bigint").alias("n"))
         hits = topk.ranked(found.join(open_, "query_id", "left_anti"), k).unionByName(every) if found is not None else every
         return Found(hits, last if counts is None else counts.unionByName(last))
@@ -209,4 +225,4 @@ def cosine_search(queries: DataFrame, docs: DataFrame, k: int, where: Filter | N
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, level int, list bigint, rest double"
     found = files.stored(left.where("q_unit is not null").mapInArrow(look, schema), "probes")
     probes, rests = found.where("list is not null").select("query_id", "level", "list"), found.where("list is null").select("query_id", "level", "rest")
-    return search(left, kept, index.postings, probes, rests, lambda: cosine_maxsim("q_unit", "unit", unit=True), k)
+    return search(left, kept, index.postings, probes, rests, lambda: cosine_maxsim("q_unit", "unit", unit=True), k, lambda some, all_: dense.cosine_top(some, all_, k))

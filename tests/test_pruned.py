@@ -78,3 +78,12 @@ def test_no_documents_and_no_queries(spark, codes):
     assert pruned.cosine_search(asked, dense.limit(0), 3).hits.collect() == []
     with pytest.raises(ValueError, match="k must be >= 1"):
         pruned.binary_search(queries, docs, 0)
+
+
+def test_queries_with_long_lists_are_held_against_all_documents_at_once(spark, monkeypatch):
+    monkeypatch.setattr(pruned, "FEW", 0)
+    monkeypatch.setattr(pruned, "SHARE", 0.0)
+    docs, queries = vectors(spark, 2.0)
+    found = pruned.cosine_search(queries, docs, 10)
+    assert rows(found.hits) == rows(retrieval.cosine_lane(queries, docs, 10))
+    assert {(r.level, r.n) for r in found.scored.collect() if r.query_id.startswith("q")} == {(-1, docs.count())}
